@@ -58,7 +58,29 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import id_bucket
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, sf_dir, "labels"), usable=id_bucket("doc_id", 3) != 1)
+    out = score(docs, model)
+    return out.select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import fit, identify
+    from .shared import id_bucket
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs, usable=id_bucket("i", 4) != 2)
+    found = identify(docs, model)
+    return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op7_language_id": op7_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_format": op6_chat_format,
     "op8_best_fit_packing": op8_best_fit_packing,
