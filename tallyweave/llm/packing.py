@@ -25,15 +25,20 @@ CAPACITY = 4096
 OPEN_BINS = 256
 ITEMS_PER_PARTITION = 20_000
 FAN_IN = 64
-MEMO_WORDS = 200_000
+MEMO_WORDS = 600_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+#: Letters, then signs: two words to the tokenizer, whose ids don't depend on each other.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
     """Little-endian uint32 ids of whole texts, by a tokenizer whose words never cross plain white space.
 
-    Each run between space, tab, newline and carriage return is encoded once and remembered, MEMO_WORDS at most.
+    Each run between space, tab, newline and carriage return is encoded once and remembered, MEMO_WORDS at most;
+    of runs of letters with signs after them, letters (lower-case, as the tokenizer makes them) and signs apart.
     """
 
     def __init__(self, path: str):
@@ -44,22 +49,27 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def learn(self, words: list[str]) -> None:
+        """Into parts."""
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
+            self.parts.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = re.compile("[\t\n\r]")
         words = [split.sub(" ", t).split(" ") for t in texts]
+        if len(self.known) > MEMO_WORDS:
+            self.known = {"": b""}
+        if len(self.parts) > MEMO_WORDS:
+            self.parts = {"": b""}
         known = self.known
-        new = {w for ws in words for w in ws if w not in known}
-        if new:
-            if len(known) + len(new) > MEMO_WORDS:
-                known.clear()
-                known[""] = b""
-                new = {w for ws in words for w in ws if w}
-            new = list(new)
-            for k in range(0, len(new), 10_000):
-                part = new[k : k + 10_000]
-                for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
+        cut = {w: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for ws in words for w in ws if w not in known}
+        self.learn(list({p for pair in cut.values() for p in pair if p not in self.parts}))
+        parts = self.parts
+        for w, (a, b) in cut.items():
+            known[w] = parts[a] + parts[b] if b else parts[a]
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
