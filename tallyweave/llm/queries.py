@@ -58,6 +58,28 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_components
+
+    return similar_components(_table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
+
+
+OP1_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as a from documents
+), s as (
+  select doc_id, unnest(list_distinct(case when len(a) = 0 then [] when len(a) < 3 then [array_to_string(a, ' ')]
+    else list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) end)) as g from w
+), z as (select doc_id, count(*) as n from s group by doc_id
+), p as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2
+), e as (select a, b from p join z u on u.doc_id = a join z v on v.doc_id = b where 100 * k >= 90 * (u.n + v.n - k)
+), l as (select a, b from e union all select b, a from e
+), r as (select doc_id, doc_id as c from documents union select l.b, r.c from r join l on r.doc_id = l.a
+), c as (select doc_id, min(c) as component_id from r group by doc_id)
+select documents.doc_id, coalesce(n, 0) as n_shingles, component_id from documents join c on c.doc_id = documents.doc_id left join z on z.doc_id = documents.doc_id
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import id_bucket
     from .toxicity import fit, score
@@ -79,10 +101,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op7_language_id": op7_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_format": op6_chat_format,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
