@@ -100,12 +100,32 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op9_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id <> y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.98
+), r as (select vec_id, vec_id as c from embeddings union select l.b, r.c from r join l on r.vec_id = l.a
+), c as (select vec_id, min(c) as component_id from r group by vec_id
+), n as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from c left join n on a = vec_id
+"""
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op7_language_id": op7_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_format": op6_chat_format,
+    "op9_pivot_near_dedup": op9_pivot_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL = {"op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
