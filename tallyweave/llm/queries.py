@@ -119,6 +119,12 @@ select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as
 """
 
 
+def op10_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sp_scan import encode
+
+    return encode(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -126,6 +132,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_format": op6_chat_format,
     "op9_pivot_near_dedup": op9_pivot_near_dedup,
+    "op10_sentencepiece_scan": op10_sentencepiece_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLE_SQL = {"op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
