@@ -125,6 +125,13 @@ def op10_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import fit, scan
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan(docs, fit(docs)).drop("text_hash")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -133,6 +140,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op9_pivot_near_dedup": op9_pivot_near_dedup,
     "op10_sentencepiece_scan": op10_sentencepiece_scan,
+    "op3_secret_scan": op3_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLE_SQL = {"op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
