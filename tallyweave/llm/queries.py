@@ -132,10 +132,36 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, fit(docs)).drop("text_hash")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents
+), s as (select doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 49))) as i from d where length(x) >= 100
+), w as (select doc_id, i, substr(x, 2 * i + 1, 100) as g from s
+), m as (select g, min(doc_id) as low from w group by g
+), gone as (select w.doc_id, w.i from w join m on w.g = m.g where m.low < w.doc_id
+), b as (select doc_id, i, case when i > max(i + 50) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) then 1 else 0 end as jump from gone
+), n as (select doc_id, i, 1 + sum(jump) over (partition by doc_id order by i) as k from b
+), p as (select doc_id, k, min(i) as a, max(i) + 50 as z from n group by doc_id, k
+), q as (select doc_id, count(*) as n_spans, sum(z - a) as n_removed from p group by doc_id
+), k as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) as before from p
+), t as (select d.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as body, max(z) as last from d join k on d.doc_id = k.doc_id group by d.doc_id)
+select d.doc_id, length(x) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when t.doc_id is null then x else t.body || substr(x, 2 * t.last + 1) end)) as kept_sha256
+from d left join q on q.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
+"""
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op7_language_id": op7_language_id,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_format": op6_chat_format,
     "op9_pivot_near_dedup": op9_pivot_near_dedup,
@@ -143,4 +169,4 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
-ORACLE_SQL = {"op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL = {"op4_suffix_array_dedup": OP4_SQL, "op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
