@@ -19,21 +19,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import per_process, saved
 
 CAPACITY = 4096
 OPEN_BINS = 256
 ITEMS_PER_PARTITION = 20_000
 FAN_IN = 64
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+_BREAKS = re.compile("[\t\n\r]")
 #: Letters, then signs: two words to the tokenizer, whose ids don't depend on each other.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def _byte_signs() -> dict[int, str]:
+    """How byte-level vocabularies write the letters beyond ASCII, by code point: printable bytes stand for themselves,
+    the others for the characters from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    sign = {b: chr(b if b in printable else next(others)) for b in range(256)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+class _Letters(dict):
+    """Ids of a word of lower-case letters, by the tokenizer's merges alone."""
+
+    def __init__(self, tok):
+        self.merge, self.signs = tok.model.tokenize, _byte_signs()
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.translate(self.signs)
+        ids = self[word] = np.asarray([t.id for t in self.merge(shown)], "<u4").tobytes()
+        return ids
+
+
+class _Runs(dict):
+    """Ids of a run without white space."""
+
+    def __init__(self, tok):
+        self.tok, self.letters = tok, _Letters(tok)
+        self[""] = b""
+
+    def __missing__(self, run: str) -> bytes:
+        m = _PLAIN.fullmatch(run)
+        if m is None:
+            ids = np.asarray(self.tok.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            ids = self.letters[m[1].lower()]
+            if m[2]:
+                ids += self[m[2]]
+        self[run] = ids
+        return ids
+
+
 class WordEncoder:
     """Little-endian uint32 ids of whole texts, by a tokenizer whose words never cross plain white space.
 
@@ -47,45 +88,32 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        """Into parts."""
-        for k in range(0, len(words), 10_000):
-            part = words[k : k + 10_000]
-            self.parts.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = re.compile("[\t\n\r]")
-        words = [split.sub(" ", t).split(" ") for t in texts]
-        if len(self.known) > MEMO_WORDS:
-            self.known = {"": b""}
-        if len(self.parts) > MEMO_WORDS:
-            self.parts = {"": b""}
-        known = self.known
-        cut = {w: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for ws in words for w in ws if w not in known}
-        self.learn(list({p for pair in cut.values() for p in pair if p not in self.parts}))
-        parts = self.parts
-        for w, (a, b) in cut.items():
-            known[w] = parts[a] + parts[b] if b else parts[a]
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        self.runs = _Runs(Tokenizer.from_file(path))
+
+    def encode(self, text: str) -> bytes:
+        runs = self.runs
+        if len(runs) > MEMO_WORDS:
+            letters = runs.letters
+            runs.clear()
+            runs[""] = b""
+            if len(letters) > MEMO_WORDS:
+                letters.clear()
+        return b"".join(map(runs.__getitem__, _BREAKS.sub(" ", text).split(" ")))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32. A null text is empty: one end id."""
 
     def step(batches):
-        enc = WordEncoder(tokenizer)
+        enc = per_process("packing", tokenizer, lambda: WordEncoder(tokenizer))
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows: list[tuple] = []
-                for i, data in zip(ids, enc.encode([t or "" for t in texts])):
-                    data += end
+                for i, t in zip(ids, texts):
+                    data = enc.encode(t or "") + end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[at : at + 4 * capacity]
                         rows.append((i, k, at // 4, len(cut) // 4, zlib.crc32(cut)))

@@ -26,6 +26,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, tuple] = {}
+
+
+def per_process(kind: str, key, make):
+    """make(), kept by this Python worker for its next tasks; one value of each kind."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT[kind] = (key, make())
+    return _KEPT[kind][1]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
