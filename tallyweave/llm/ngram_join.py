@@ -155,6 +155,8 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, light: int, hot: tupl
         hot_keys, hot_counts = shared.value
         shingler = per_process("shingler", n, lambda: Shingler(n))
         none, none_sizes = np.zeros(0, "i8"), np.zeros(0, "i4")
+        maybe_hot = np.zeros(1 << 22, bool)  # keeps most elements from the search among the hot ones
+        maybe_hot[hot_keys & np.uint64((1 << 22) - 1)] = True
         for b in batches:
             for s in range(0, b.num_rows, 1000):
                 part = b.slice(s, 1000)
@@ -166,10 +168,13 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, light: int, hot: tupl
                     fps.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63))
                     hists.append(np.minimum(np.bincount((x >> np.uint64(40)).astype("i8") & (BINS - 1), minlength=BINS), 65535).astype("<u2").tobytes())
                     if p >= near and p:
-                        at = np.searchsorted(hot_keys, x)
-                        at[at == len(hot_keys)] = 0
-                        common = hot_keys[at] == x if len(hot_keys) else np.zeros(p, bool)
-                        late = x[common][np.argsort(hot_counts[at[common]], kind="stable")] if common.any() else x[:0]
+                        common = maybe_hot[x & np.uint64((1 << 22) - 1)]
+                        if common.any():
+                            at = np.minimum(np.searchsorted(hot_keys, x[common]), len(hot_keys) - 1)
+                            real = hot_keys[at] == x[common]
+                            common[common] = real
+                            at = at[real]
+                        late = x[common][np.argsort(hot_counts[at], kind="stable")] if common.any() else x[:0]
                         prefixes.append(_signed(np.concatenate([x[~common], late])[: p - least_partner(p, num, den) + 1]))
                     else:
                         prefixes.append(none)
@@ -287,18 +292,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num
     roles = salted.select(F.col("b").alias("fp"), F.struct(F.col("a"), F.col("salt"), F.lit(True).alias("member")).alias("role")).union(
         counts.select(F.col("a").alias("fp"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(F.col("a"), k.cast("bigint").alias("salt"), F.lit(False).alias("member")))).alias("role"))
     )
-    roles = roles.join(classes.select("fp", "id"), "fp")
+    # a class's set is made once, whatever its number of parts
+    roles = roles.groupBy("fp").agg(F.collect_list("role").alias("roles")).join(classes.select("fp", "id"), "fp")
     texts = docs.join(roles, "id")  # one row of the class stands for it
 
     def sets(batches):
         shingler = per_process("shingler", n, lambda: Shingler(n))
         for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                part = b.slice(s, 1000)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([shingler.of(t).tobytes() for t in part.column(4).to_pylist()], pa.binary())], ["a", "salt", "member", "fp", "x"])
+            for s in range(0, b.num_rows, 200):
+                part = b.slice(s, 200)
+                rows = [(r["a"], r["salt"], r["member"], fp, x) for fp, roles_, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), (shingler.of(t).tobytes() for t in part.column(2).to_pylist())) for r in roles_]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], ["a", "salt", "member", "fp", "x"])
 
     parts = shuffle_partitions(spark)
-    sent = texts.select("role.a", "role.salt", "role.member", "fp", "t").mapInArrow(sets, "a bigint, salt bigint, member boolean, fp bigint, x binary")
+    sent = texts.select("fp", "roles", "t").mapInArrow(sets, "a bigint, salt bigint, member boolean, fp bigint, x binary")
     # a repeated id can bring texts of another class along: the class of what has come is told by its set below
     dealt = sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "member", "fp")
 
@@ -336,7 +343,8 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     docs = every.where("id is not null")
     survey = saved(_survey(docs, n), "ngram-survey")
     sizes = {r["key"]: r["n"] for r in survey.where(f"kind = 0 and key <= {2 * LIGHT_MOST}").collect()}
-    lists_mean = survey.where("kind = 2").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first()["m"] or 1.0
+    # the lists that are scanned are those of rare elements, so the plain mean tells, not the one by entries
+    lists_mean = survey.where("kind = 2").agg((F.sum("n") / F.count("*")).alias("m")).first()["m"] or 1.0
     light = boundary(sizes, float(lists_mean), num, den)
     hot = survey.where("kind = 1").orderBy(F.desc("n"), "key").limit(HOT_ELEMENTS).toPandas()
     keys = hot["key"].to_numpy(dtype="i8").view("u8")
