@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .shared import components, per_process, saved, shuffle_partitions
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 HOT_ELEMENTS = 200_000  # the most common elements that are put last; the broadcast is bounded by this
 HOT_IN_TASK = 6
 LIGHT_MOST = 40  # sizes over this are never light

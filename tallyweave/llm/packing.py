@@ -25,7 +25,7 @@ CAPACITY = 4096
 OPEN_BINS = 256
 ITEMS_PER_PARTITION = 20_000
 FAN_IN = 64
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 

@@ -26,14 +26,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_KEPT: dict[str, tuple] = {}
+_KEPT: list = [None, None]
 
 
 def per_process(kind: str, key, make):
-    """make(), kept by this Python worker for its next tasks; one value of each kind."""
-    if kind not in _KEPT or _KEPT[kind][0] != key:
-        _KEPT[kind] = (key, make())
-    return _KEPT[kind][1]
+    """make(), kept by this Python worker for its next tasks. Only the last one asked for is kept: workers live on
+    from stage to stage, and what earlier stages remembered would add up."""
+    if _KEPT[0] != (kind, key):
+        _KEPT[:] = [None, None]
+        _KEPT[:] = [(kind, key), make()]
+    return _KEPT[1]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

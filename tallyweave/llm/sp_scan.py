@@ -14,6 +14,7 @@ with the longer last piece is taken inside a chunk, and the smaller state at a b
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -27,9 +28,40 @@ from .shared import per_process, saved
 CHUNK_CHARS = 32_768
 GROUP = 256  # chunks whose matrices one task multiplies
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 SPACE = "▁"
 NONE = -np.inf
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+class _Plain(dict):
+    """Ids of what stands between two sure borders."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self[text] = self.model.search(text)
+        return ids
+
+
+class _AfterSpace(dict):
+    """Ids of what follows a single space, with the space; newlines, letters and signs apart where the pieces allow."""
+
+    def __init__(self, model: PieceModel, plain: _Plain):
+        self.model, self.plain = model, plain
+
+    def __missing__(self, text: str) -> bytes:
+        if self.model.alone and "\n" in text:  # hardly ever met again
+            first, *rest = text.split("\n")
+            return self[first] + b"".join([self.plain["\n"] + (self.plain[r] if r else b"") for r in rest])
+        m = _LETTERS.match(text)
+        if m and m.end() < len(text) and text[m.end() - 1 : m.end() + 1] not in self.model.joins:
+            ids = self[m[0]] + self.plain[text[m.end() :]]
+        else:
+            ids = self.model.search(SPACE + text)
+        self[text] = ids
+        return ids
 
 
 class PieceModel:
@@ -54,7 +86,13 @@ class PieceModel:
         assert not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.alone = not any("\n" in p for p in self.ids)
         self.words = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.memo: dict[str, tuple[float, np.ndarray]] = {}
+        # pairs of neighbours that some piece holds; between others every path has a border
+        self.joins = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.plain = _Plain(self)
+        self.after_space = _AfterSpace(self, self.plain)
+        low = [chr(self.bytes[i]) if i in self.bytes and self.bytes[i] < 128 else p for i, p in enumerate(self.pieces)]
+        self.shown = [p.replace(SPACE, " ") for p in low]
+        self.high = np.asarray([self.bytes.get(i, 0) >= 128 for i in range(n)])
 
     def arcs_to(self, text: str, end: int, least: int = 0):
         """(start, score) of the pieces that end at end, longest first; a single character is always one."""
@@ -72,15 +110,21 @@ class PieceModel:
         total, back = [0.0] + [NONE] * n, [0] * (n + 1)
         known, unknown = self.starts.get, self.unknown
         for start in range(n):
-            here, end = total[start], start + 1
-            s = known(text[start:end])
+            here = total[start]
+            s = known(text[start])
             if s is None:  # no piece begins so, the character itself included
                 s = unknown
-            while s is not None:
-                if s + here > total[end]:
-                    total[end], back[end] = s + here, start
+            end = start + 1
+            if s + here > total[end]:
+                total[end], back[end] = s + here, start
+            while end < n:
                 end += 1
-                s = known(text[start:end]) if end <= n else None
+                s = known(text[start:end])
+                if s is None:
+                    break
+                s += here
+                if s > total[end]:
+                    total[end], back[end] = s, start
         ends, at = [], n
         while at:
             ends.append(at)
@@ -95,22 +139,26 @@ class PieceModel:
             at = end
         return out
 
-    def word(self, word: str) -> tuple[float, bytes]:
-        known = self.memo.get(word)
-        if known is None:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            score, ends = self.best(word)
-            known = self.memo[word] = (score, np.asarray(self.ids_of(word, ends), "<i4").tobytes())
-        return known
+    def search(self, text: str) -> bytes:
+        ids = self.ids_of(text, self.best(text)[1])
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text between two borders of states 0."""
-        memo = self.memo
-        return b"".join([(memo.get(w) or self.word(w))[1] for w in self.words.findall(text)])
+        """Ids of a text between two borders of states 0, spaces written as SPACE."""
+        if len(self.after_space) > MEMO_WORDS:
+            self.after_space.clear()
+        if len(self.plain) > MEMO_WORDS:
+            self.plain.clear()
+        if text[:1] == SPACE and SPACE * 2 not in text:
+            return b"".join(map(self.after_space.__getitem__, text[1:].split(SPACE)))
+        out = []
+        for w in self.words.findall(text):
+            single = w[0] == SPACE and w[1:2] != SPACE
+            out.append(self.after_space[w[1:]] if single else self.plain[w])
+        return b"".join(out)
 
     def score_of(self, text: str) -> float:
-        return sum(self.word(w)[0] for w in self.words.findall(text))
+        return sum(self.best(w)[0] for w in self.words.findall(text))
 
     def states_through(self, text: str, size: int, entries: int, exits: int) -> np.ndarray:
         """entries x exits matrix of best scores from position i to position size + j; pieces may reach beyond size by
@@ -165,20 +213,24 @@ class PieceModel:
 
     def decode(self, ids: bytes, first: bool = True) -> str:
         """The text of ids; of a text's first chunk, without the space put before it."""
-        out, raw = [], bytearray()
-        pieces, as_byte = self.pieces, self.bytes
-        for i in np.frombuffer(ids, "<i4").tolist():
-            b = as_byte.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            out.append(pieces[i])
-        if raw:
+        at = np.frombuffer(ids, "<i4")
+        if not len(at):
+            return ""
+        if self.high[at].any():  # bytes of longer characters, to be put together first
+            out, raw = [], bytearray()
+            for i in at.tolist():
+                b = self.bytes.get(i)
+                if b is not None:
+                    raw.append(b)
+                    continue
+                if raw:
+                    out.append(raw.decode("utf-8", "surrogatepass"))
+                    raw.clear()
+                out.append(self.shown[i])
             out.append(raw.decode("utf-8", "surrogatepass"))
-        text = "".join(out).replace(SPACE, " ")
+            text = "".join(out)
+        else:
+            text = "".join(map(self.shown.__getitem__, at.tolist()))
         return text[1:] if first and text[:1] == " " else text
 
 
@@ -251,8 +303,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str
     def whole(batches):
         m = per_process("pieces", model_path, lambda: PieceModel(model_path))
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
+            for s in range(0, b.num_rows, 200):
+                part = b.slice(s, 200)
                 texts = part.column(1).to_pylist()
                 out = [(x := m.encode(shown(t)), m.decode(x) == (t or "").replace(SPACE, " ")) for t in texts]
                 yield emit([part.column(0), pa.array(np.zeros(len(texts)), pa.int32()), pa.array(np.ones(len(texts)), pa.int32())], out)
