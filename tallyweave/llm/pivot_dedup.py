@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from .shared import components, saved, shuffle_partitions
 
 MIN_PIVOTS, MAX_PIVOTS = 64, 1024  # reference points: twice the root of the number of distinct vectors, within these
+SAMPLE = 4  # times as many vectors are drawn to choose them from
+APART = 0.9  # no two of them are more alike
 NEAREST = 5
 SHARED = 2
 BLOCK = 1000
@@ -47,6 +49,18 @@ def unit(raws: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def spread(x: np.ndarray, most: int) -> np.ndarray:
+    """Rows of x, in order, that are not close to one kept before; most at most. A crowd of near copies in the sample
+    would else be described by its own members, whose order is chance."""
+    kept = np.zeros((0, x.shape[1]))
+    for row in x:
+        if len(kept) == most:
+            break
+        if not len(kept) or (kept @ row).max() < APART:
+            kept = np.vstack([kept, row])
+    return kept
+
+
 def permutations(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     """Numbers of the m nearest reference points of each row, nearest first; ties by number."""
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :m]
@@ -132,8 +146,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "pivot-nodes")
     n = nodes.count()
     n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * n**0.5)))
-    drawn = [bytes(r["raw"]) for r in nodes.orderBy(F.xxhash64("node", "digest"), "node").select("raw").limit(n_pivots).collect()]
-    pivots = {s // 8: unit([r for r in drawn if len(r) == s]) for s in {len(r) for r in drawn}}
+    drawn = [bytes(r["raw"]) for r in nodes.orderBy(F.xxhash64("node", "digest"), "node").select("raw").limit(SAMPLE * n_pivots).collect()]
+    pivots = {s // 8: spread(unit([r for r in drawn if len(r) == s]), n_pivots) for s in {len(r) for r in drawn}}
 
     lists = _lists(nodes, pivots).withColumn("key", F.explode("keys"))
     # lists with one vector end here; the number of the others' blocks follows their length

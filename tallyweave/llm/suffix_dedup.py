@@ -21,9 +21,11 @@ back one bit each: no name's occurrences are ever gathered, however common the p
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ngram_join import _mix
 from .shared import saved
@@ -337,12 +339,13 @@ def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     total = docs.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = int(max(1, min(MAX_BATCHES, -(-total // BATCH_BYTES))))
     splitters = docs.approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = sorted(set(int(s) for s in splitters))
-    if bounds:
-        shared = docs.sparkSession.createDataFrame([(a, z, k) for k, (a, z) in enumerate(zip([-(1 << 63), *bounds], [*bounds, (1 << 63) - 1]))], "a bigint, z bigint, batch int")
-        docs = docs.join(F.broadcast(shared), (F.col("id") >= F.col("a")) & ((F.col("id") < F.col("z")) | (F.col("z") == (1 << 63) - 1))).drop("a", "z")  # MAX_BATCHES rows
-    else:
-        docs = docs.withColumn("batch", F.lit(0))
+    bounds = np.asarray(sorted({int(s) for s in splitters}), "i8")
+
+    @F.pandas_udf(T.IntegerType())
+    def batch_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "right").astype("i4"))
+
+    docs = docs.withColumn("batch", batch_of("id") if len(bounds) else F.lit(0))
     dealt = docs.repartition(n, "batch")
 
     def send_names(table: pa.Table) -> pa.Table:
