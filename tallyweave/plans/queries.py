@@ -172,7 +172,7 @@ def totals_gap(spark, sf_dir):
 @query("with " + FLAGSHIP_SQL + """, cr as (select run_id, a_id, row_number() over (partition by run_id order by a_id) k from cls where status = 'blue' and a_id % 97 = 0
 ), ex as (select run_id, count(*) n, string_agg(cast(a_id as varchar), ',' order by a_id) filter (where k <= 8) s from cr group by run_id
 ), q as (select run_id, count(*) n from cls group by run_id)
-select q.run_id, q.n total_a_rows, q.n matched_a_rows, coalesce(ex.n, 0) critical_blue, coalesce(ex.s, '') critical_examples, 0 missing_a_rows from q left join ex on ex.run_id = q.run_id""")
+select q.run_id, q.n total_a_rows, q.n matched_a_rows, coalesce(ex.n, 0) critical_blue, coalesce(ex.s, '') critical_examples, cast(0 as bigint) missing_a_rows from q left join ex on ex.run_id = q.run_id""")
 def coverage_audit(spark, sf_dir):
     items = S.items(spark, sf_dir)
     assigned = M.assign_one_to_one(_exact_proposals(items).withColumn("critical_blue", F.col("a_id") % 97 == 0))
@@ -195,7 +195,7 @@ def report_rows(spark, sf_dir):
   coalesce(cast(nullif(regexp_extract(a_desc, '^\\s*(\\d+)\\s*[.)]\\s*', 1), '') as int), 9999), case status when 'orange' then 0 when 'blue' then 1 when 'green' then 2 else 3 end, lower(room_a), rr.a_id nulls first, rr.b_id nulls first) place from rr""")
 def report_order(spark, sf_dir):
     rows = R.report_rows(_with_nuggets(spark, sf_dir), S.items(spark, sf_dir))
-    return R.in_order(rows).select("run_id", _id("a_id"), _id("b_id"), "place")
+    return R.in_order(rows).select("run_id", _id("a_id"), _id("b_id"), F.col("place").cast("bigint").alias("place"))
 
 
 @query("with " + FLAGSHIP_SQL + " select run_id, id b_id, cast((row_number() over (partition by run_id order by lower(room), lower(description), id) - 1) // 8 as int) chunk from nug")
@@ -211,7 +211,7 @@ def report_comments(spark, sf_dir):
     return rows.select("run_id", "place", "status", R.comment().alias("comment"), R.colour(F.col("status")).alias("highlight"), R.colour(F.col("status"), R.NOTE).alias("note"))
 
 
-@query("with " + REPORT_SQL + """ select run_id, count(*) "rows", count(*) filter (where status <> 'nugget') annotated, count(*) filter (where status = 'nugget') nuggets, 0 critical, count(distinct a_page) pages from rr group by run_id""")
+@query("with " + REPORT_SQL + """ select run_id, count(*) "rows", count(*) filter (where status <> 'nugget') annotated, count(*) filter (where status = 'nugget') nuggets, cast(0 as bigint) critical, count(distinct a_page) pages from rr group by run_id""")
 def render_stats(spark, sf_dir):
     return R.render_stats(R.report_rows(_with_nuggets(spark, sf_dir), S.items(spark, sf_dir)))
 
@@ -351,7 +351,7 @@ def metadata_alignment(spark, sf_dir):
     return _same_room_pairs(S.items(spark, sf_dir)).select("run_id", "a_id", "b_id", F.round(N.metadata_alignment("a_", "b_"), 9).alias("align"))
 
 
-RECTS_SQL = """rc as (select c_custkey id, c_nationkey g, (c_custkey * 37 % 500) * 1.0 x0, (c_custkey * 53 % 700) * 1.0 y0, (c_custkey * 37 % 500) + 20.0 + c_custkey % 80 x1, (c_custkey * 53 % 700) + 8.0 + c_custkey % 9 y1 from customer)"""
+RECTS_SQL = """rc as (select c_custkey id, c_nationkey g, cast(c_custkey * 37 % 500 as double) x0, cast(c_custkey * 53 % 700 as double) y0, cast(c_custkey * 37 % 500 + 20 + c_custkey % 80 as double) x1, cast(c_custkey * 53 % 700 + 8 + c_custkey % 9 as double) y1 from customer)"""
 
 
 def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,7 +372,7 @@ def rect_overlap_theta(spark, sf_dir):
 
 
 @query("with " + RECTS_SQL + """ select id, round(greatest(x0 - 1.5, 0), 6) x0, round(800 - least(y1 + 0.8, 800), 6) y0, round(least(x1 + 1.5, 612), 6) x1, round(800 - greatest(y0 - 0.8, 0), 6) y1,
-  round(case when x1 + 3 + 14 > 610 then greatest(2, greatest(16, x0 - 3) - 14) else greatest(2, x1 + 3) end, 6) note_x0, round(greatest(16.0, 800 - 24 - (id % 50) * 16.0), 6) margin_y1 from rc""")
+  round(case when x1 + 3 + 14 > 610 then greatest(2, greatest(16, x0 - 3) - 14) else greatest(2, x1 + 3) end, 6) note_x0, cast(greatest(16, 800 - 24 - (id % 50) * 16) as double) margin_y1 from rc""")
 def rect_geometry(spark, sf_dir):
     w, h = F.lit(612.0), F.lit(800.0)
     r = _rectangles(spark, sf_dir)
@@ -411,7 +411,7 @@ def room_pairs_with_ratio(spark, sf_dir):
     return G.score_pairs(G.profiles(S.items(spark, sf_dir)))
 
 
-@query("with " + ITEMS_SQL + " select distinct a.run_id, a.room room_a, b.room room_b, 0.99 confidence from it a join it b on a.run_id = b.run_id and a.doc = 'A' and b.doc = 'B' and lower(trim(a.room)) = lower(trim(b.room))")
+@query("with " + ITEMS_SQL + " select distinct a.run_id, a.room room_a, b.room room_b, cast(0.99 as double) confidence from it a join it b on a.run_id = b.run_id and a.doc = 'A' and b.doc = 'B' and lower(trim(a.room)) = lower(trim(b.room))")
 def room_exact_links(spark, sf_dir):
     return G.exact_links(S.items(spark, sf_dir).select("run_id", "doc", "room").distinct()).select("run_id", "room_a", "room_b", "confidence")
 
@@ -428,12 +428,12 @@ def _ranked(spark, sf_dir):
 
 @query("with " + RANKED_SQL + " select run_id, room_a, room_b, rank, accepted, ambiguous from r4")
 def room_topk_candidates(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("run_id", "room_a", "room_b", "rank", "accepted", "ambiguous")
+    return _ranked(spark, sf_dir).select("run_id", "room_a", "room_b", F.col("rank").cast("bigint").alias("rank"), "accepted", "ambiguous")
 
 
 @query("with " + RANKED_SQL + ", r5 as (select *, row_number() over (partition by run_id, room_a order by rank) choice from r4 where ambiguous) select run_id, room_a, room_b, choice from r5 where choice <= 5")
 def room_ambiguous_top5(spark, sf_dir):
-    return G.ambiguous_pairs(_ranked(spark, sf_dir)).select("run_id", "room_a", "room_b", "choice")
+    return G.ambiguous_pairs(_ranked(spark, sf_dir)).select("run_id", "room_a", "room_b", F.col("choice").cast("bigint").alias("choice"))
 
 
 LINKS_SQL = RANKED_SQL + """, dl as (select run_id, room_a, room_b, greatest(0.60, least(0.97, combined * 0.68 + name * 0.24 + 0.08)) confidence from r4 where accepted
@@ -518,7 +518,7 @@ def room_candidate_cascade(spark, sf_dir):
 select run_id, a_id, b_id, rank from h where rank <= 8""")
 def name_exact_hints(spark, sf_dir):
     a, b = M.sides(S.items(spark, sf_dir))
-    return M.exact_hints(a, b).where("kind = 'text'").select("run_id", "a_id", "b_id", "rank")
+    return M.exact_hints(a, b).where("kind = 'text'").select("run_id", "a_id", "b_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 #: the words of every other description turned about, so that equal sets meet in another order
@@ -536,7 +536,7 @@ def name_tokenset_hints(spark, sf_dir):
     order = (F.expr("(id div 100000) div 1000000") - F.col("page")) / 10
     turned = F.when(order.cast("long") % 2 == 0, F.regexp_replace("description", r"^(\d+\. )(\S+) (\S+)$", "$1$3 $2")).otherwise(F.col("description"))
     a, b = M.sides(items.withColumn("description", turned))
-    return M.exact_hints(a, b).where("kind = 'tokens'").select("run_id", "a_id", "b_id", "rank")
+    return M.exact_hints(a, b).where("kind = 'tokens'").select("run_id", "a_id", "b_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query()
