@@ -108,22 +108,27 @@ def assign_one_to_one(proposals: DataFrame) -> DataFrame:
 def greedy_matching(edges: DataFrame) -> DataFrame:
     """One-to-one pairs of a run's room, best score first (edges: run_id, room_a, a_id, b_id, score; ties by ids).
 
-    Rounds of edges that are best for both ends give what the sequential walk gives; each group is one room's exact
-    candidates."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        pdf = pdf.sort_values(["score", "a_id", "b_id"], ascending=[False, True, True])
-        for a, b in zip(pdf["a_id"], pdf["b_id"]):
-            ok = a not in used_a and b not in used_b
-            keep.append(ok)
-            if ok:
-                used_a.add(a)
-                used_b.add(b)
-        return pdf[keep]
-
+    Edges come sorted, a room's together, and are walked as they come; only the ids used in the room are held.
+    """
+    order = [F.col("run_id"), F.col("room_a"), F.desc("score"), F.col("a_id"), F.col("b_id")]
     cols = edges.select("run_id", "room_a", "a_id", "b_id", "score")
-    return cols.groupBy("run_id", "room_a").applyInPandas(walk, cols.schema)
+    dealt = cols.repartition(F.col("run_id"), F.col("room_a")).sortWithinPartitions(*order)
+
+    def walk(frames):
+        at, used_a, used_b = None, set(), set()
+        for pdf in frames:
+            keep = []
+            for run, room, a, b in zip(pdf["run_id"], pdf["room_a"], pdf["a_id"], pdf["b_id"]):
+                if (run, room) != at:
+                    at, used_a, used_b = (run, room), set(), set()
+                ok = a not in used_a and b not in used_b
+                keep.append(ok)
+                if ok:
+                    used_a.add(a)
+                    used_b.add(b)
+            yield pdf[keep]
+
+    return dealt.mapInPandas(walk, cols.schema)
 
 
 def enforce_exact(proposals: DataFrame, edges: DataFrame) -> DataFrame:
