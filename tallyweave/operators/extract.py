@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,3 +118,40 @@ def page_cut(pages: DataFrame) -> DataFrame:
     flagged = pages.withColumn("last", F.when(summary & ~image, F.col("page")).when(image, F.col("page") - 1))
     cut = flagged.groupBy(*BY_DOC).agg(F.min("last").alias("cut"))
     return pages.join(cut, BY_DOC).where("cut is null or page <= cut").drop("cut")
+
+
+EXTRACTED = "run_id string, doc string, page int, room string, description string, quantity double, unit string, unit_price double, amount double, confidence double, pos int, reader string"
+
+
+def read_pages(pages: DataFrame, by_text: Callable[[str], list[dict]], by_image: Callable[[bytes], list[dict]] | None = None, chunk_chars: int = 18_000, least: float = 0.40) -> DataFrame:
+    """Items of pages (run_id, doc, page, text, image) by injected readers, in place of models: the image first; where
+    it is missing, fails or leaves no item of enough confidence, the text in chunks. An item is a dict of the columns
+    room to confidence; what it lacks is null. Readers run on the executors, page by page."""
+    fields = ["room", "description", "quantity", "unit", "unit_price", "amount", "confidence"]
+    image = F.col("image") if "image" in pages.columns else F.lit(None).cast("binary")
+    cut = pages.select("run_id", "doc", "page", X.chunks("text", max(6000, chunk_chars)).alias("parts"), image.alias("image"))
+
+    def read(frames):
+        for pdf in frames:
+            rows = []
+            for run, doc, page, parts, picture in zip(*(pdf[c] for c in ("run_id", "doc", "page", "parts", "image"))):
+                found, reader = [], "image"
+                if by_image is not None and picture is not None:
+                    try:
+                        found = [x for x in by_image(bytes(picture)) if (x.get("confidence") or 0) >= least]
+                    except Exception:  # noqa: BLE001  a reader that fails leaves the page to the other one
+                        found = []
+                if not found:
+                    found, reader = [x for part in (parts if parts is not None else []) for x in by_text(part)], "text"
+                rows += [(run, doc, page, *(x.get(f) for f in fields), k, reader) for k, x in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["run_id", "doc", "page", *fields, "pos", "reader"])
+
+    return cut.mapInPandas(read, EXTRACTED)
+
+
+def extraction_counters(extracted: DataFrame) -> DataFrame:
+    """Pages and items of each document, pages that an image gave, and how often each reader was used."""
+    by_page = extracted.groupBy(*BY_DOC, "page", "reader").agg(F.count("*").alias("n"))
+    by_reader = by_page.groupBy(*BY_DOC, "reader").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+    image = F.sum(F.when(F.col("reader") == "image", F.col("pages")).otherwise(0))
+    return by_reader.groupBy(*BY_DOC).agg(F.sum("pages").alias("pages"), F.sum("n").alias("items"), image.alias("image_pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("reader", "n")))).alias("usage"))

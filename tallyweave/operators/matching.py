@@ -141,3 +141,12 @@ def enforce_exact(proposals: DataFrame, edges: DataFrame) -> DataFrame:
     hit = F.col("f_id").isNotNull()
     new = {"b_id": F.coalesce("f_id", "b_id"), "scope_same": hit | F.col("scope_same"), "confidence": F.when(hit, F.least(F.lit(1.0), F.greatest(F.lit(0.93), F.col("confidence")))).otherwise(F.col("confidence")), "critical_blue": ~hit & F.col("critical_blue")}
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in proposals.columns))
+
+
+def brief_items(items: DataFrame, length: int = 180) -> DataFrame:
+    """What a model is shown of an item, as JSON: id, room, cut description and amount (null too), the rest if present."""
+    rest = [F.col(c) for c in ("quantity", "unit", "unit_price")]
+    head = [F.col("id"), F.col("room"), X.cut("description", length).alias("description")]
+    with_amount = F.to_json(F.struct(*head, F.col("amount"), *rest))
+    without = F.concat(F.regexp_replace(F.to_json(F.struct(*head, *rest)), r"\}$", ""), F.lit(',"amount":null}'))
+    return items.select("run_id", "doc", "id", F.when(F.col("amount").isNull(), without).otherwise(with_amount).alias("brief"))

@@ -199,3 +199,10 @@ def candidate_rooms(profiles_: DataFrame, links: DataFrame, components_: DataFra
     soft = soft_candidates(profiles_, with_ratio=with_ratio).select("run_id", "room_a", "room_b")
     rest = soft.join(linked.select("run_id", "room_a").distinct(), ["run_id", "room_a"], "left_anti")
     return expand(linked.union(rest), profiles_, with_ratio)
+
+
+def component_counts(components_: DataFrame) -> DataFrame:
+    """Number of components of each run, and of rooms of A with a room of B in theirs."""
+    w = Window.partitionBy("run_id", "component")
+    marked = components_.withColumn("b", F.max(F.col("node").startswith("B::")).over(w))
+    return marked.groupBy("run_id").agg(F.countDistinct("component").alias("components"), F.count(F.when(F.col("b") & F.col("node").startswith("A::"), 1)).alias("rooms_a_covered"))

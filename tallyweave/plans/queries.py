@@ -497,6 +497,12 @@ def room_block_candidates(spark, sf_dir):
     return G.component_candidates(_components(spark, sf_dir))
 
 
+@query("with " + COMPONENTS_SQL + """, m as (select *, bool_or(node like 'B::%') over (partition by run_id, component) b from cp)
+select run_id, count(distinct component) components, count(*) filter (where b and node like 'A::%') rooms_a_covered from m group by run_id""")
+def room_component_counts(spark, sf_dir):
+    return G.component_counts(_components(spark, sf_dir))
+
+
 @query("with " + PAIR_SCORES_SQL + """, tp as (select run_id, room_a, room_b, combined confidence, max(combined) over (partition by run_id, room_a) top, row_number() over (partition by run_id, room_a order by combined desc, room_b) r from sc where (length(room_a) + length(room_b)) % 3 = 0)
 select run_id, room_a, room_b from tp where confidence >= 0.6 or (top < 0.6 and top >= 0.45 and confidence >= greatest(0.45, top - 0.12) and r <= 3)""")
 def room_strong_links(spark, sf_dir):
@@ -708,6 +714,17 @@ def payload_round_trip(spark, sf_dir):
     return S.from_payload(sent, "id bigint, quantity double, amount double, room string")
 
 
+@query("with " + ITEMS_SQL + " select run_id, doc, count(distinct page) pages, count(*) items, count(distinct case when page % 3 = 0 then page end) image_pages from it group by run_id, doc")
+def extraction_counters(spark, sf_dir):
+    items = S.items(spark, sf_dir).withColumn("reader", F.when(F.col("page") % 3 == 0, "image").otherwise("text"))
+    return E.extraction_counters(items).drop("usage")
+
+
+@query()
+def brief_item_payloads(spark, sf_dir):
+    return M.brief_items(S.items(spark, sf_dir))
+
+
 @query("with " + RECTS_SQL + ", h as (select id, g, x0, bool_or(x0 <= 0.55 * 612) over (partition by g, id % 3) any_left from rc) select id from h where x0 <= 0.55 * 612 or not any_left")
 def left_side_preference(spark, sf_dir):
     r = _rectangles(spark, sf_dir).select(F.col("id"), F.col("g").alias("run_id"), (F.col("id") % 3).alias("page"), F.lit(0).alias("key"), "x0")

@@ -184,3 +184,24 @@ def test_report_details(spark):
     got = {x["status"]: x["c"] for x in full.select("status", R.comment().alias("c")).collect()}
     assert got["blue"].startswith("[#3] The adjuster") and "$2.00" in got["nugget"]
     assert [x["status"] for x in R.in_order(full).orderBy("place").collect()] == ["blue", "nugget"]
+
+
+def test_pages_are_read(spark):
+    def text(t):
+        return [{"description": w, "room": "Hall", "confidence": 0.9} for w in t.split()]
+
+    def image(b):
+        if b == b"bad":
+            raise ValueError
+        return [{"description": b.decode(), "confidence": 0.3 if b == b"weak" else 0.8}]
+
+    rows = [("r", "A", 1, "one two", None), ("r", "A", 2, "three", bytearray(b"seen")), ("r", "A", 3, "four", bytearray(b"bad")), ("r", "A", 4, "five", bytearray(b"weak")), ("r", "A", 5, None, None)]
+    out = E.read_pages(spark.createDataFrame(rows, "run_id string, doc string, page int, text string, image binary"), text, image)
+    assert sorted((x["page"], x["description"], x["reader"]) for x in out.collect()) == [(1, "one", "text"), (1, "two", "text"), (2, "seen", "image"), (3, "four", "text"), (4, "five", "text")]
+    counted = E.extraction_counters(out).first()
+    assert (counted["pages"], counted["items"], counted["image_pages"], counted["usage"]) == (4, 5, 1, {"image": 1, "text": 4})
+
+
+def test_briefs(spark):
+    got = {x["id"]: x["brief"] for x in M.brief_items(spark.createDataFrame(ITEM_ROWS, S.ITEMS)).collect()}
+    assert got[4] == '{"id":4,"description":"","amount":null}' and '"unit":"SF"' in got[1]
