@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .shared import bounded_batches
+
 #: Reserved ids above the vocabulary of 50,257: headers of the known roles, of any other role (whose name follows
 #: as tokens up to ROLE_END), and the end of a turn.
 HEADERS = {"system": 50257, "user": 50258, "assistant": 50259}
@@ -91,7 +93,7 @@ def format_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
                     ["conv_id", "turn", "role", "formatted", "token_ids", "loss_mask"],
                 )
 
-    cols = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    cols = bounded_batches(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     turns = cols.mapInArrow(step, TURN)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "formatted")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import saved, shuffle_partitions
+from .shared import bounded_batches, saved, shuffle_partitions
 
 PREFIX_BYTES = 24
 
@@ -45,7 +45,7 @@ def exact_dedup(
     smaller than any for "max": it stays only where all ids of the texts are null (keep_id is then null). Rows with
     the same text and id: one of them is kept. An empty table gives an empty result.
     """
-    spark = df.sparkSession
+    spark = bounded_batches(df).sparkSession
     n = partitions or shuffle_partitions(spark)
     id_field = df.schema[id_col]
     order = F.col("i").asc_nulls_last() if keep == "min" else F.col("i").desc_nulls_last()

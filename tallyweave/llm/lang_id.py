@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import bounded_batches, gathered
 
 MAX_SAMPLE = 6000  # labelled documents that the n-gram tables are learned from
 BUCKETS = 1 << 15
 SWITCH_PENALTY = 8.0
 MEMO_WORDS = 200_000
 OFF_SCRIPT = -60.0
+STEP_ROWS = 2500  # documents whose words are labelled in step
 
 # First code points of blocks, and the script from there on.
 SCRIPTS = [
@@ -73,7 +74,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """Learned from rows with a language that meet usable. Without any, there are no languages to tell."""
-    known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t is not null")
+    known = bounded_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t is not null")
     if usable is not None:
         known = known.where(usable)
     sizes = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}
@@ -188,31 +189,29 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_c
     und, 0.0 and no spans where the text is null or has no letter, or the model knows no language. Ties go to the
     language first in order of its name. Repeated and null ids are kept as they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
 
     def step(batches):
         m = shared.value
         labeller = Labeller(m, penalty)
-        for b in batches:
-            for s in range(0, b.num_rows, 2500):
-                part = b.slice(s, 2500)
-                labels, letters = labeller.label([t or "" for t in part.column(1).to_pylist()])
-                preds, scores, spans = [], [], []
-                for lab, n in zip(labels, letters):
-                    weight = np.bincount(lab, n, len(m.langs)) if len(lab) and m.langs else np.zeros(1)
-                    total = weight.sum()
-                    if not total:
-                        preds.append("und")
-                        scores.append(0.0)
-                        spans.append([])
-                        continue
-                    top = int(weight.argmax())
-                    preds.append(m.langs[top])
-                    scores.append(float(weight[top] / total))
-                    cuts = [0, *(np.flatnonzero(np.diff(lab)) + 1).tolist(), len(lab)]
-                    spans.append([{"start": a, "end": z, "lang": m.langs[lab[a]]} for a, z in zip(cuts, cuts[1:])])
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["i", "lang_pred", "score", "spans"])
+        for part in gathered(batches, STEP_ROWS):
+            labels, letters = labeller.label([t or "" for t in part.column(1).to_pylist()])
+            preds, scores, spans = [], [], []
+            for lab, n in zip(labels, letters):
+                weight = np.bincount(lab, n, len(m.langs)) if len(lab) and m.langs else np.zeros(1)
+                total = weight.sum()
+                if not total:
+                    preds.append("und")
+                    scores.append(0.0)
+                    spans.append([])
+                    continue
+                top = int(weight.argmax())
+                preds.append(m.langs[top])
+                scores.append(float(weight[top] / total))
+                cuts = [0, *(np.flatnonzero(np.diff(lab)) + 1).tolist(), len(lab)]
+                spans.append([{"start": a, "end": z, "lang": m.langs[lab[a]]} for a, z in zip(cuts, cuts[1:])])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["i", "lang_pred", "score", "spans"])
 
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(step, f"i {kind}, lang_pred string, score double, spans {SPANS}")

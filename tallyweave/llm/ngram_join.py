@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import components, per_process, saved, shuffle_partitions
+from .shared import bounded_batches, components, per_process, saved, shuffle_partitions
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 HOT_ELEMENTS = 200_000  # the most common elements that are put last; the broadcast is bounded by this
 HOT_IN_TASK = 6
 LIGHT_MOST = 40  # sizes over this are never light
@@ -299,8 +299,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num
     def sets(batches):
         shingler = per_process("shingler", n, lambda: Shingler(n))
         for b in batches:
-            for s in range(0, b.num_rows, 200):
-                part = b.slice(s, 200)
+            for s in range(0, b.num_rows, 50):
+                part = b.slice(s, 50)
                 rows = [(r["a"], r["salt"], r["member"], fp, x) for fp, roles_, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), (shingler.of(t).tobytes() for t in part.column(2).to_pylist())) for r in roles_]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], ["a", "salt", "member", "fp", "x"])
 
@@ -315,12 +315,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num
         centre, key = None, None
         for b in batches:
             out_a, out_b = [], []
-            for a, salt_no, member, fp, x in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for k, (a, salt_no, member, fp) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
+                x = b.column(4)[k].as_buffer()  # no copy
                 if xxhash.xxh3_64_intdigest(x) - (1 << 63) != fp:
                     continue
                 x = np.frombuffer(x, "u8")
                 if not member:
-                    centre, key = x, (a, salt_no)
+                    centre, key = x.copy(), (a, salt_no)
                 elif key == (a, salt_no):
                     both = len(np.intersect1d(centre, x, assume_unique=True))
                     if den * both >= num * (len(centre) + len(x) - both):
@@ -339,7 +340,7 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     with a null id take no part and have a null component; rows that repeat an id are documents that share it.
     """
     num, den = threshold
-    every = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    every = bounded_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     docs = every.where("id is not null")
     survey = saved(_survey(docs, n), "ngram-survey")
     sizes = {r["key"]: r["n"] for r in survey.where(f"kind = 0 and key <= {2 * LIGHT_MOST}").collect()}

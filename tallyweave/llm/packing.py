@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import per_process, saved
+from .shared import bounded_batches, per_process, saved
 
 CAPACITY = 4096
 OPEN_BINS = 256
 ITEMS_PER_PARTITION = 20_000
 FAN_IN = 64
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -120,7 +120,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(step, PIECES)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(step, PIECES)
 
 
 def best_fit(lengths, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import components, saved, shuffle_partitions
+from .shared import bounded_batches, components, saved, shuffle_partitions
 
 MIN_PIVOTS, MAX_PIVOTS = 64, 1024  # reference points: twice the root of the number of distinct vectors, within these
 SAMPLE = 4  # times as many vectors are drawn to choose them from
@@ -136,7 +136,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     is then the row's own id. Equal vectors are linked with each other. An empty table gives no rows. No pair below
     least is linked; recall is measured against brute force in the tests.
     """
-    spark = df.sparkSession
+    spark = bounded_batches(df).sparkSession
     label = F.col(label_col) if label_col else F.lit(0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).alias("v"))
     kind = dict(rows.dtypes)["label"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import per_process, saved
+from .shared import bounded_batches, per_process, saved
 
 CHUNK_CHARS = 32_768
 GROUP = 256  # chunks whose matrices one task multiplies
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str
     empty text gives one row without ids. Ids of documents may be null or repeat.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     shown_size = F.coalesce(F.length("t"), F.lit(0)) + 1
     look = per_process("pieces", model_path, lambda: PieceModel(model_path)).longest
 

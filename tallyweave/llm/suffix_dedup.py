@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ngram_join import _mix
-from .shared import saved
+from .shared import bounded_batches, saved
 
 LENGTH = 50
 K = 24
@@ -335,7 +335,7 @@ def _spans(region: _Region, answers: pa.Table, windows: pa.Table) -> pa.Table:
 
 def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, th (64-bit hash of the text) and array spans (start, end, in bytes; disjoint, in order) of what goes."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th")).where("id is not null and octet_length(t) >= %d" % LENGTH)
+    docs = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th")).where("id is not null and octet_length(t) >= %d" % LENGTH)
     total = docs.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = int(max(1, min(MAX_BATCHES, -(-total // BATCH_BYTES))))
     splitters = docs.approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
