@@ -157,9 +157,6 @@ class PieceModel:
             out.append(self.after_space[w[1:]] if single else self.plain[w])
         return b"".join(out)
 
-    def score_of(self, text: str) -> float:
-        return sum(self.best(w)[0] for w in self.words.findall(text))
-
     def states_through(self, text: str, size: int, entries: int, exits: int) -> np.ndarray:
         """entries x exits matrix of best scores from position i to position size + j; pieces may reach beyond size by
         the text's own lookahead, but each starts before size unless the path has no way to go."""
@@ -176,7 +173,7 @@ class PieceModel:
         return out
 
     def matrix(self, text: str, size: int, first: bool, last: bool) -> np.ndarray:
-        """Transfer matrix of a chunk: text is the chunk and its lookahead, size the chunk's own length."""
+        """Transfer matrix of a chunk, up to a constant: text is the chunk and its lookahead, size its own length."""
         k = self.longest
         entries, exits = 1 if first else k, 1 if last else k
         cuts = [m.start() for m in self.words.finditer(text) if k <= m.start() <= size - k]
@@ -186,7 +183,7 @@ class PieceModel:
             a, z = cuts[0], cuts[-1]
             into = self.states_through(text[:a], a, entries, 1)
             out = self.states_through(text[z:], size - z, 1, exits)
-            m = into + self.score_of(text[a:z]) + out
+            m = into + out  # what all paths share between the two would be added to every entry alike
         full = np.full((k, k), NONE)
         full[:entries, :exits] = m
         return full
