@@ -37,7 +37,8 @@ LIST_SAMPLE = 64  # list lengths are measured on one in so many elements
 VERIFY_COST = 4.0  # of looking at one list entry, against writing one
 STAR_ROUNDS = 2
 BLOCK = 2000
-BINS = 256
+BINS = 256  # of a histogram of hashes, a byte each; FULL stands for FULL or more
+FULL = 255
 
 
 class _Words(dict):
@@ -166,7 +167,7 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, light: int, hot: tupl
                     p = len(x)
                     sizes.append(p)
                     fps.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63))
-                    hists.append(np.minimum(np.bincount((x >> np.uint64(40)).astype("i8") & (BINS - 1), minlength=BINS), 65535).astype("<u2").tobytes())
+                    hists.append(np.minimum(np.bincount((x >> np.uint64(40)).astype("i8") & (BINS - 1), minlength=BINS), FULL).astype("u1").tobytes())
                     if p >= near and p:
                         common = maybe_hot[x & np.uint64((1 << 22) - 1)]
                         if common.any():
@@ -190,8 +191,8 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, light: int, hot: tupl
 
 
 def _may_link(ha: np.ndarray, hb: np.ndarray, na, nb, num: int, den: int) -> np.ndarray:
-    """Whether the histograms allow the link; bins at their limit count as unbounded."""
-    over = np.minimum(ha, hb).sum(-1, dtype="i8") + np.where(((ha == 65535) & (hb == 65535)).any(-1), 1 << 40, 0)
+    """Whether the histograms allow the link; bins that are FULL in both count as unbounded."""
+    over = np.minimum(ha, hb).sum(-1, dtype="i8") + np.where(((ha == FULL) & (hb == FULL)).any(-1), 1 << 40, 0)
     return over * (den + num) >= num * (na + nb)
 
 
@@ -245,7 +246,7 @@ def _blocks(lists: DataFrame, comp: DataFrame, classes: DataFrame, num: int, den
         def flush():
             table = pa.Table.from_batches(held)
             rows = {k: table.column(k).to_numpy() for k in ("mine", "fp", "n", "c", "heavy")}
-            rows["hist"] = np.stack([np.frombuffer(h, "<u2") for h in table.column("hist").to_pylist()])
+            rows["hist"] = np.stack([np.frombuffer(h, "u1") for h in table.column("hist").to_pylist()])
             found = pairs_of(rows, key[1], key[2])
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
@@ -275,7 +276,7 @@ def _allowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
     def step(batches):
         for batch in batches:
             if batch.num_rows:
-                h = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("h_a", "h_b")]
+                h = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, BINS) for c in ("h_a", "h_b")]
                 n = [batch.column(c).to_numpy().astype("i8") for c in ("n_a", "n_b")]
                 yield batch.filter(pa.array(_may_link(h[0], h[1], n[0], n[1], num, den))).select(["a", "b"])
 
