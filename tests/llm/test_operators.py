@@ -493,3 +493,12 @@ def test_scan_agrees_with_the_library():
     for t in texts:
         mine = np.frombuffer(m.encode(sp_scan.SPACE + t.replace(" ", sp_scan.SPACE)), "<i4").tolist()
         assert total(mine) >= total(lib.encode(t)) and lib.decode(mine) == t
+
+
+def test_ngram_join_of_texts_beyond_the_histogram(spark):
+    """Sets with full bins are compared in full."""
+    words = [f"w{k}" for k in range(120_000)]
+    near = [w if k % 20_000 else w + "x" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.similar_components(spark.createDataFrame(rows, DOCS), n=3, threshold=(9, 10)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
