@@ -156,13 +156,11 @@ def _unpack(raw: bytes) -> np.ndarray:
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def _names(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct sampled names (40 bits) of a batch, and whether two ids of it have each."""
-    names, owners = [], []
-    for k, _, buf, starts in chunks(texts):
-        text, _, _, h = sampled(buf, starts)
-        names.append(h & ~_LOW)
-        owners.append(rank[k + text])
+def _names(samples: list[tuple], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct sampled names (40 bits) of a batch, and whether two ids of it have each. samples: what sampled
+    gives for each chunk, after the chunk's first text."""
+    names = [h & ~_LOW for _, (_, _, _, h) in samples]
+    owners = [rank[k + text] for k, (text, _, _, _) in samples]
     if not names:
         return np.zeros(0, "u8"), np.zeros(0, bool)
     h, o = np.concatenate(names), np.concatenate(owners)
@@ -236,12 +234,13 @@ def _earlier(table: pa.Table, several: bool) -> pa.Table:
 def _regions(table: pa.Table, answers: pa.Table, n: int) -> pa.Table:
     """Bytes of the batch that may be repeated: batch, id, th, start, t."""
     table, texts, rank = _ranked(table)
-    names, local = _names(texts, rank)
+    parts = list(chunks(texts))
+    samples = [(k, sampled(buf, starts)) for k, _, buf, starts in parts]
+    names, local = _names(samples, rank)
     shared = names[_bits(answers, "b0") | local] if len(names) else names
     ids, ths = _decode_ids(table)
     out: list[tuple] = []
-    for k, _, buf, starts in chunks(texts):
-        text, s0, s1, h = sampled(buf, starts)
+    for (_, _, buf, starts), (k, (text, s0, s1, h)) in zip(parts, samples):
         h = h & ~_LOW
         if not len(h) or not len(shared):
             continue
@@ -350,7 +349,7 @@ def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     def send_names(table: pa.Table) -> pa.Table:
         table_, texts, rank = _ranked(table)
-        names, _ = _names(texts, rank)
+        names, _ = _names([(k, sampled(buf, starts)) for k, _, buf, starts in chunks(texts)], rank)
         return _rows(_cuts(names, n), [_pack(names)], table_.column("batch")[0].as_py())
 
     sent = dealt.groupBy("batch").applyInArrow(send_names, "bucket int, batch int, x0 binary")
