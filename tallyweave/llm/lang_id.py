@@ -23,7 +23,7 @@ BUCKETS = 1 << 15
 SWITCH_PENALTY = 8.0
 MEMO_WORDS = 200_000
 OFF_SCRIPT = -60.0
-STEP_ROWS = 2500  # documents whose words are labelled in step
+STEP_ROWS = 1500  # documents whose words are labelled in step
 
 # First code points of blocks, and the script from there on.
 SCRIPTS = [
