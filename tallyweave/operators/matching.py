@@ -53,14 +53,20 @@ def near_hints(a: DataFrame, b: DataFrame, least: float = 0.64, k: int = 6) -> D
     return a.select(*key, "a_norm", "a_id").join(best, [*key, "a_norm"]).select(*key, "a_id", "b_id", F.round("score", 3).alias("similarity"), "rank")
 
 
-def offline_proposals(a: DataFrame, exact: DataFrame, near: DataFrame, b: DataFrame) -> DataFrame:
+def exact_edges(exact: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of exact names with what their numbers score, for greedy_matching."""
+    key = ["run_id", "room_a"]
+    numbers = lambda df, s: df.select(*key, *(f"{s}_{c}" for c in ("id", "page", "amount", "quantity", "unit_price", "unit")))
+    pairs = exact.select(*key, "a_id", "b_id").join(numbers(a, "a"), [*key, "a_id"]).join(numbers(b, "b"), [*key, "b_id"])
+    return pairs.select(*key, "a_id", "b_id", "b_page", N.metadata_alignment("a_", "b_").alias("score"))
+
+
+def offline_proposals(a: DataFrame, edges: DataFrame, near: DataFrame) -> DataFrame:
     """The default scorer in place of a model: an exact candidate (0.93; of several the closest numbers), else the most
     alike one, else none. One row for each item of A."""
     key = ["run_id", "room_a"]
-    numbers = lambda df, s: df.select(*key, *(f"{s}_{c}" for c in ("id", "page", "amount", "quantity", "unit_price", "unit")))
     w = Window.partitionBy("run_id", "a_id")
-    scored = exact.select(*key, "a_id", "b_id").join(numbers(a, "a"), [*key, "a_id"]).join(numbers(b, "b"), [*key, "b_id"]).withColumn("close", N.metadata_alignment("a_", "b_"))
-    first = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc("close"), "b_page", "b_id"))).where("rank = 1").select("run_id", "a_id", F.col("b_id").alias("exact_id"))
+    first = edges.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "b_page", "b_id"))).where("rank = 1").select("run_id", "a_id", F.col("b_id").alias("exact_id"))
     second = near.where("rank = 1").select("run_id", "a_id", F.col("b_id").alias("near_id"), "similarity")
     out = a.select(*key, "a_id", "a_page").join(first, ["run_id", "a_id"], "left").join(second, ["run_id", "a_id"], "left")
     chosen = F.coalesce("exact_id", "near_id")
@@ -132,10 +138,10 @@ def greedy_matching(edges: DataFrame) -> DataFrame:
 
 def enforce_exact(proposals: DataFrame, edges: DataFrame) -> DataFrame:
     """Proposals with the greedy pairs of exact wording put in: same scope, 0.93 at least, never critical. Items of B
-    that an exact proposal holds already are not given away."""
+    that an exact proposal of the room holds already are not given away."""
     key = ["run_id", "room_a"]
-    held = proposals.join(edges.select(*key, "a_id", "b_id"), [*key, "a_id", "b_id"]).select("run_id", "b_id").distinct()
-    forced = greedy_matching(edges.join(held, ["run_id", "b_id"], "left_anti")).select(*key, "a_id", F.col("b_id").alias("f_id"))
+    held = proposals.join(edges.select(*key, "a_id", "b_id"), [*key, "a_id", "b_id"]).select(*key, "b_id").distinct()
+    forced = greedy_matching(edges.join(held, [*key, "b_id"], "left_anti")).select(*key, "a_id", F.col("b_id").alias("f_id"))
     out = proposals.join(forced, [*key, "a_id"], "left")
     hit = F.col("f_id").isNotNull()
     new = {"b_id": F.coalesce("f_id", "b_id"), "scope_same": hit | F.col("scope_same"), "confidence": F.when(hit, F.least(F.lit(1.0), F.greatest(F.lit(0.93), F.col("confidence")))).otherwise(F.col("confidence")), "critical_blue": ~hit & F.col("critical_blue")}

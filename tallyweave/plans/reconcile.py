@@ -38,11 +38,23 @@ def map_rooms(items: DataFrame, judge: Callable[[DataFrame], DataFrame] | None =
     return rooms_.cap_links(rooms_.merge_links(*groups))
 
 
-def first_pass(items: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    """Offline proposals for every item of A, exact wording enforced."""
+def first_pass(items: DataFrame, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Offline proposals for every item of A, exact wording enforced, and the scored pairs of exact names."""
     a, b = M.sides(items, blocks)
-    exact, near = M.exact_hints(a, b), M.near_hints(a, b)
-    return M.offline_proposals(a, exact, near, b)
+    edges = stored(M.exact_edges(M.exact_hints(a, b), a, b), "exact-edges")
+    proposals = stored(M.offline_proposals(a, edges, M.near_hints(a, b)), "offline")
+    return M.enforce_exact(proposals, edges), edges
+
+
+def second_pass(first: DataFrame, edges: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What second says of the uncertain rows, exact wording enforced among these, coalesced with the first pass."""
+    cols = ["b_id", "scope_same", "confidence", "critical_blue"]
+    unsure = first.where("uncertain")
+    asked = unsure.select("run_id", "room_a", "a_id")
+    said = second(unsure).select("run_id", "a_id", *cols, F.lit(True).alias("said"))
+    answers = stored(asked.join(said, ["run_id", "a_id"], "left"), "second-pass")
+    reviewed = M.enforce_exact(answers, edges.join(asked, ["run_id", "room_a", "a_id"], "left_semi")).where("said or b_id is not null")
+    return M.coalesce_passes(first, reviewed)
 
 
 def reconcile(items: DataFrame, judge: Callable | None = None, second: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.6) -> Reconciled:
@@ -51,10 +63,10 @@ def reconcile(items: DataFrame, judge: Callable | None = None, second: Callable[
     components = rooms_.components(items.select("run_id", "doc", "room").distinct(), links, max(0.40, least - 0.18))
     profiles = rooms_.profiles(items, rooms_.X.match_tokens)
     blocks = stored(rooms_.candidate_rooms(profiles, links, components, least), "room-blocks")
-    proposals = first_pass(items, blocks)
+    proposals, edges = first_pass(items, blocks)
     if second is not None:
         first = stored(M.uncertain(proposals), "first-pass")
-        proposals = M.coalesce_passes(first, second(first.where("uncertain"))).drop("uncertain")
+        proposals = second_pass(first, edges, second).drop("uncertain")
     assigned = stored(M.assign_one_to_one(proposals), "assigned")
     pairs = stored(C.classify(C.with_sides(assigned, items)), "pairs")
     nuggets = C.nuggets(items, assigned, links)

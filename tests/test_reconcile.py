@@ -10,7 +10,7 @@ from tallyweave.operators import extract as E
 from tallyweave.operators import matching as M
 from tallyweave.operators import report as R
 from tallyweave.operators import rooms as G
-from tallyweave.plans.reconcile import map_rooms, reconcile
+from tallyweave.plans.reconcile import map_rooms, reconcile, second_pass
 from tallyweave.sources import tables as S
 
 FIELDS = ["amount", "quantity", "unit_price", "unit", "description"]
@@ -153,6 +153,22 @@ def test_reconcile(spark):
     assert empty.matches.count() == 0 and empty.report.count() == 0
 
 
+def test_equal_texts_are_all_matched(spark):
+    rows = [("r", d, k, 1, room, "1. Paint wall", 1.0, "EA", n, n) for d, k, room, n in (("A", 1, "Hall", 10.0), ("A", 2, "Hall", 10.5), ("B", 11, "Hall", 10.2), ("B", 12, "Hall", 30.0), ("A", 3, "Bath", 7.0), ("B", 13, "Bath", 7.0))]
+    got = {x["a_id"]: (x["b_id"], x["status"]) for x in reconcile(spark.createDataFrame(rows, S.ITEMS)).pairs.collect()}
+    assert {got[1][0], got[2][0]} == {11, 12} and got[3][0] == 13
+    assert "blue" not in {s for _, s in got.values()}
+
+
+def test_second_pass_enforces_exact_wording(spark):
+    """As in the reference: among the reviewed items only, before the passes are coalesced."""
+    first = M.uncertain(spark.createDataFrame([("r", "x", 1, 1, None, 0.1, False, False), ("r", "x", 2, 1, None, 0.1, False, True), ("r", "x", 3, 1, 13, 0.9, True, False), ("r", "x", 4, 1, None, 0.1, False, False)], PROPOSAL))
+    edges = spark.createDataFrame([("r", "x", a, b, s) for a, b, s in ((1, 11, 0.9), (1, 12, 0.5), (2, 11, 0.8), (2, 12, 0.4), (3, 14, 1.0))], "run_id string, room_a string, a_id bigint, b_id bigint, score double")
+    said = lambda asked: asked.select("run_id", "a_id", F.lit(11).cast("bigint").alias("b_id"), F.lit(True).alias("scope_same"), F.lit(0.95).alias("confidence"), F.lit(False).alias("critical_blue")).where("a_id = 2")
+    got = {x["a_id"]: (x["b_id"], x["confidence"]) for x in second_pass(first, edges, said).collect()}
+    assert got == {1: (12, 0.93), 2: (11, 0.95), 3: (13, 0.9), 4: (None, 0.1)}
+
+
 def test_judged_links_are_checked(spark):
     items = spark.createDataFrame(ITEM_ROWS, S.ITEMS)
     wrong = lambda asked: spark.createDataFrame([("r", "Nowhere", "Kitchen", 1.0, "made up")], S.ROOM_LINKS)  # noqa: E731, ARG005
