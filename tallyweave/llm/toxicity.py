@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -93,13 +94,18 @@ class Decoder:
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         out = []
+        first, last = len(token) - len(token.lstrip(_SIGNS)), len(token.rstrip(_SIGNS))
+        at = 0
         for ch, run in itertools.groupby(token):
             n = len(list(run))
+            at += n
             if ch.isalpha():
                 out.append([(ch, 0.0)] if n == 1 else [(ch * 2, 0.0), (ch, 1.5)] if n == 2 else [(ch, 0.2), (ch * 2, 0.7)])
             elif ch in LEET:
                 letters = LEET[ch]
                 out.append([(x * k, 1.0 + 0.5 * (k > 1)) for x in letters for k in ((1,) if n == 1 else (1, 2))])
+                if at <= first or at > last:  # signs at an edge may be no letters
+                    out[-1].append(("", 1.0))
             elif ch == "*":
                 out.append([(x, 3.0) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", 1.0)])
             elif ch == " ":
@@ -111,9 +117,10 @@ class Decoder:
     def decode(self, token: str, n_best: int = N_BEST) -> list[tuple[float, str]]:
         """(cost, restored) of the n_best cheapest at each last pair of letters, cheapest first."""
         cost, cls = self.costs, self.classes
-        states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+        # paths are linked backwards: (cost, (path before, letters))
+        states: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {(0, 0): [(0.0, None)]}
         for arcs in self.lattice(token):
-            after: dict[tuple[int, int], list[tuple[float, str]]] = {}
+            after: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {}
             for (a, b), paths in states.items():
                 for letters, own in arcs:
                     x, y, more = a, b, own
@@ -121,44 +128,70 @@ class Decoder:
                         z = int(cls[ord(ch)])
                         more += float(cost[x, y, z])
                         x, y = y, z
-                    after.setdefault((x, y), []).extend((c + more, s + letters) for c, s in paths)
-            states = {k: sorted(v)[:n_best] for k, v in after.items()}
-        return sorted((c + float(cost[a, b, 0]), s) for (a, b), paths in states.items() for c, s in paths)[: 2 * n_best]
+                    after.setdefault((x, y), []).extend((c + more, (s, letters)) for c, s in paths)
+            states = {k: sorted(v, key=_cost)[:n_best] for k, v in after.items()}
+        ends = sorted(((c + float(cost[a, b, 0]), s) for (a, b), paths in states.items() for c, s in paths), key=_cost)
+        return sorted((c, _spelt(s)) for c, s in ends[: 2 * n_best])
 
 
+_cost = itemgetter(0)
+
+
+def _spelt(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+_SIGNS = "".join(c for c in LEET if not c.isdigit())
 _EDGES = re.compile(r"^[^\w@$]+|[\W_]+$")
 _TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
-_SPACED_HINT = re.compile(r" \S \S \S \S ")
+_RUN = re.compile(r"(.)\1{3,}", re.S)
+_OUTER = re.compile(rf"^[^\w{re.escape(_SIGNS)}]+|(?:(?![{re.escape(_SIGNS)}])[\W_])+$")
+# signs between words of a long token: beside two word characters, so that letters set apart stay together
+_BETWEEN = re.compile(r"(?<=\w\w)[^\w@$!|+(€£*]+|[^\w@$!|+(€£*]+(?=\w\w)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_SPACED_HINT = re.compile(r"\s\S\s+\S\s+\S\s")
 
 
 def disguised(word: str) -> bool:
-    letters = sum(map(str.isalpha, word))
-    return letters >= 2 and (letters < len(word) or bool(_TRIPLE.search(word)))
+    """Two letters or signs for letters at least, not all of them plain; digits alone are a number."""
+    plain = sum(map(str.isalpha, word))
+    coded = sum(c in LEET for c in word)
+    return plain + coded >= 2 and (plain > 0 or any(c in _SIGNS for c in word)) and (plain < len(word) or bool(_TRIPLE.search(word)))
 
 
 def restored(token: str, decoder: Decoder) -> list[str]:
-    """The words that a lower-case token may stand for: itself if plain."""
-    word = _EDGES.sub("", token)
-    if word.isalpha() and not _TRIPLE.search(word):
-        return [word]
-    if not disguised(word) or len(word) > 64:  # longer: keys, addresses, markup
-        return [w for w in re.split(r"[\W\d_]+", word) if w]
-    best = decoder.decode(word)
+    """The words that a lower-case token may stand for: itself if plain. Signs at its edges are read both as letters
+    and as signs."""
+    token = _RUN.sub(r"\1\1\1", token)  # longer runs have the same lattice
+    word, whole = _EDGES.sub("", token), _OUTER.sub("", token)
     plain = [w for w in re.split(r"[\W\d_]+", word) if w]
+    if word == whole and word.isalpha() and not _TRIPLE.search(word):
+        return [word]
+    if len(whole) > 64:  # keys, addresses, markup: word by word
+        parts = [p for p in _BETWEEN.split(whole) if p]
+        if len(parts) > 1:
+            return [w for p in parts for w in restored(p, decoder)] + plain
+    if not disguised(whole):
+        return plain
+    best = decoder.decode(whole)
     return [s for c, s in best if c <= best[0][0] + 6 and s] + plain
 
 
 def joined(text: str, decoder: Decoder) -> list[str]:
-    """Words restored from letters set apart by single spaces."""
+    """Words restored from letters set apart by white space."""
     shown = f" {text} "
     if not _SPACED_HINT.search(shown):
         return []
     out = []
     for m in _SPACED.finditer(shown):
-        best = decoder.decode(m[0])
+        said = " ".join(m[0].split())
+        best = decoder.decode(said)
         out += [w for c, s in best if c <= best[0][0] + 6 for w in s.split()]
-        out += [w for w in (m[0].replace(" ", ""),) if w.isalpha()]
+        out += [w for w in (said.replace(" ", ""),) if w.isalpha()]
     return out
 
 

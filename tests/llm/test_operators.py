@@ -345,6 +345,22 @@ def test_decoder_restores_disguised_words():
     assert toxicity.restored("weather,", d) == ["weather"]
 
 
+def test_decoder_takes_long_coded_edged_and_spaced_words():
+    text = " ".join(["idiot trash rash clown ass sad the weather is fine and this idiot is trash and sad"] * 200)
+    counts = np.zeros((toxicity.ALPHABET,) * 3)
+    c = toxicity.classes()[np.frombuffer(f" {text} ".encode("utf-32-le"), "u4")].astype(int)
+    np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    d = toxicity.Decoder(toxicity.language_model(counts))
+    long = "https://site.example/" + "weather/" * 20 + "1d1ot/i.d.i.o.t/fine"
+    for said, word in (("tr" + "a" * 70 + "sh", "trash"), ("1d107", "idiot"), ("!diot", "idiot"), ("!d!0+", "idiot"), ("+rash", "trash"), ("(lown", "clown"), ("(lown!", "clown"), ("a$$", "ass"), ("a$$!", "ass"), ("@$$", "ass"), (long, "idiot"), ("(weather!)", "weather")):
+        assert word in toxicity.restored(said, d), said
+    for said, word in (("so s a d today", "sad"), ("you i  d\ti\no t", "idiot")):
+        assert word in toxicity.joined(said, d), said
+    assert toxicity.restored("2023", d) == [] and toxicity.restored("weather.", d) == ["weather"]
+    blob = "".join(random.Random(1).choice("abcdefgh0123456789") for _ in range(3000))
+    assert toxicity.restored(blob, d)
+
+
 def test_toxicity_model(spark):
     r = random.Random(8)
     bad = ["idiot", "moron", "scum"]
