@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches
+from .shared import bounded_batches, saved
 from .toxicity import classes, language_model, trigram_counts
 
 MAX_FINDINGS = 6000
-DICTIONARY_WORDS = 50_000
-COMMON_IN_BATCH = 5  # a word that so many documents of a batch of 500 have may enter the dictionary
+COMMON_SHARE, COMMON_DOCS = 1 / 1000, 5  # a word of the dictionary is in this share of all documents, and in so many
+HELD_WORDS = 200_000  # different words that a task counts before it passes its counts on
 TREES, DEPTH = 40, 9
 THRESHOLD = 0.5
 MASK = "[secret]"
@@ -111,19 +111,29 @@ def generated_findings(n: int = MAX_FINDINGS, seed: int = 11) -> list[tuple[str,
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
-    """Lower-case words that many documents have, over all documents; the DICTIONARY_WORDS commonest."""
+    """Lower-case words that at least COMMON_SHARE of all documents have, and COMMON_DOCS of them. Every count reaches the
+    sum, so files and batches don't matter. Their number doesn't grow with the corpus: it is at most the mean number of
+    different words of a document over COMMON_SHARE."""
 
     def step(batches):
+        n, docs_seen = Counter(), 0
+
+        def out():
+            names = ["", *n]  # the empty word counts documents
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([docs_seen, *n.values()], pa.int64())], ["w", "n"])
+
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                n = Counter()
-                for t in b.column(0).slice(s, 500).to_pylist():
-                    n.update(set((t or "").lower().split()))
-                common = [(w, c) for w, c in n.items() if c >= COMMON_IN_BATCH and len(w) >= 4 and w.isalpha()]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in common], pa.string()), pa.array([c for _, c in common], pa.int64())], ["w", "n"])
+            for t in b.column(0).to_pylist():
+                docs_seen += 1
+                n.update({w for w in (t or "").lower().split() if len(w) >= 4 and w.isalpha()})
+                if len(n) > HELD_WORDS:
+                    yield out()
+                    n, docs_seen = Counter(), 0
+        yield out()
 
-    counted = bounded_batches(docs).select(text_col).mapInArrow(step, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return frozenset(r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).collect())
+    counted = saved(bounded_batches(docs).select(text_col).mapInArrow(step, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    total = next((r["n"] for r in counted.where("w = ''").collect()), 0)
+    return frozenset(r["w"] for r in counted.where((F.col("w") != "") & (F.col("n") >= max(COMMON_DOCS, total * COMMON_SHARE))).select("w").collect())
 
 
 class SecretModel:
@@ -149,7 +159,7 @@ def fit(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "tex
 def scan(docs: DataFrame, model: SecretModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per candidate: id_col, text_hash (64 bits, of the whole text), start, length (in characters), score,
     is_secret. Null and empty texts have none. Rows that repeat give theirs each."""
-    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast((model.costs, model.words))  # fixed size; DICTIONARY_WORDS at most
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast((model.costs, model.words))  # fixed size; the dictionary is bounded by COMMON_SHARE
     kind = dict(docs.dtypes)[id_col]
 
     def step(batches):

@@ -462,6 +462,16 @@ def test_secrets(spark):
     assert secret_scan.scan(docs, own).count() > 0
 
 
+def test_dictionary_counts_over_all_documents(spark, monkeypatch):
+    """A word that few documents of any slice have, but enough of all; however the rows are dealt."""
+    rows = [(k, " ".join(["common", *(["seldom"] if k % 200 == 0 else []), *(["never"] if k % 1500 == 0 else []), *(["cat"] if k % 2 else [])])) for k in range(6000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(secret_scan, "HELD_WORDS", 1)
+    for parts in (1, 7, 400):
+        assert secret_scan.dictionary(docs.repartition(parts)) == {"common", "seldom"}
+    assert secret_scan.dictionary(docs.limit(0)) == frozenset()
+
+
 # SentencePiece --------------------------------------------------------------------------------------------------
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
