@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are long runs of key-like characters with a digit in them. Each is described by its length, shares of
+Candidates are runs of key-like characters, dotted tokens, what follows an issuer's prefix and values after a key-like
+name. Each is described by its length, shares of
 kinds of characters, entropy, character transitions under a trigram model of all documents, dictionary coverage,
 signs of a path around it and the words beside it. The forest learns from labelled findings; where the caller has
 none, from a generated table of MAX_FINDINGS rows at most.
@@ -31,16 +32,51 @@ TREES, DEPTH = 40, 9
 THRESHOLD = 0.5
 MASK = "[secret]"
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+# Runs of key-like signs, where a run begins; those under LONG signs need a digit or a capital after a small letter.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}+={0,2}")
+LONG = 16
+DOTTED = re.compile(r"(?<![\w.\-])[A-Za-z0-9_\-]{2,}+(?:\.[A-Za-z0-9_\-]{2,}+){2,}+")  # three parts and more, one of them a run
+MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+# A value: what stands in quotes after a sign of assignment, or runs to the next white space or bracket.
+ASSIGNED = re.compile(r"""(?:[=:]|\bbearer\s)>?\s*(?:(["'`])([^"'`\s]{4,}+)\1|["'`]?([^\s"'`<>&;,]{4,}+))""", re.I)
+NAME = re.compile(r"""[A-Za-z0-9_.\-]*["'`\])]*\s*$""")
+TAIL = ".,:)]}#?\\"
 LETTERS = re.compile(r"[A-Za-z]{4,}")
 # Words that speak for and against a secret beside them, and starts of issuers' keys.
 FOR = re.compile(r"key|secret|token|passw|pwd|auth|credential|bearer|private|api", re.I)
 AGAINST = re.compile(r"commit|sha|md5|sum|uuid|guid|image|img|src|href|url|http|file|version|example|sample|card|phone|isbn|order|invoice|revision|build", re.I)
 ISSUED = re.compile(r"(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|xox[bap]-|AIza|glpat-|npm_)")
+KEYS = re.compile(rf"(?<![A-Za-z0-9+/_\-]){ISSUED.pattern}[A-Za-z0-9+/_\-]{{8,}}+")
 
 FEATURES = ["length", "digits", "upper", "lower", "other", "entropy", "transitions", "changes", "dictionary", "path", "said_for", "said_against", "hex", "issued", "assigned"]
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of everything that the forest is asked about, in order; what overlaps is one candidate."""
+    spans = [m.span() for m in KEYS.finditer(text)]
+    for m in CANDIDATE.finditer(text):
+        s = m[0]
+        if (len(s) >= LONG or MIXED.search(s)) and any(map(str.isalnum, s)):
+            spans.append(m.span())
+    spans += [m.span() for m in DOTTED.finditer(text) if any(len(p) >= 12 for p in m[0].split("."))]
+    for m in ASSIGNED.finditer(text):
+        name = NAME.search(text, max(0, m.start() - 48), m.start())
+        if not (m[0][0] in "bB" or (name and FOR.search(name[0]))):
+            continue
+        a, z = m.span(2) if m[2] else m.span(3)
+        if not m[2]:
+            z = a + len(text[a:z].rstrip(TAIL))
+        if z - a >= 4:
+            spans.append((a, z))
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 def describe(text: str, start: int, end: int, costs: np.ndarray, words: frozenset[str]) -> list[float]:
     s = text[start:end]
     n = len(s)
@@ -62,13 +98,17 @@ def describe(text: str, start: int, end: int, costs: np.ndarray, words: frozense
     ]
 
 
-def generated_findings(n: int = MAX_FINDINGS, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, is_secret): secrets of common forms, and look-alikes, amid plain words."""
+def generated_findings(n: int = MAX_FINDINGS, seed: int = 11, words: list[str] | None = None) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, is_secret): secrets of common forms, and look-alikes, amid plain words (half of them of words, if given)."""
     r = random.Random(seed)
     low, up, dig, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
     draw = lambda signs, k: "".join(r.choice(signs) for _ in range(k))
     syllables = ["the", "an", "re", "ing", "tion", "er", "ou", "es", "ment", "ver", "sch", "que", "os", "ción", "en", "ha", "le", "und", "de", "la", "st", "th"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    made = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    word = lambda: r.choice(words) if words and r.random() < 0.5 else made()
+    sign = "!#$%^*@?+-_"
+    password = lambda: "".join(r.sample(a := r.choice(low) + r.choice(up) + r.choice(dig) + r.choice(sign) + draw(low + up + dig + sign, r.randint(4, 12)), len(a)))
+    dotted = lambda: "eyJ" + ".".join(draw(low + up + dig + "_-", k) for k in (r.randint(12, 40), r.randint(4, 60), r.randint(20, 43)))
     name = lambda: r.choice(["token", "secret", "api_key", "apikey", "password", "passwd", "auth", "access_token", "client_secret", "SECRET_KEY", "private_key"])
     secret = [
         lambda: ("", "AKIA" + draw(up + dig, 16), ""),
@@ -80,6 +120,13 @@ def generated_findings(n: int = MAX_FINDINGS, seed: int = 11) -> list[tuple[str,
         lambda: (f"{name()}: ", draw(low + up + dig, r.randint(18, 44)), ""),
         lambda: (f"{name()} = '", draw(low + up + dig + "+/", 40), "'"),
         lambda: ("Authorization: Bearer ", draw(low + up + dig + "_-", r.randint(30, 80)), ""),
+        lambda: (r.choice(["", f"{name()}: "]), "AKIA" + draw(up, 16), ""),
+        lambda: ("", r.choice(["ghp_", "gho_", "glpat-", "npm_"]) + draw(low + up, 36), ""),
+        lambda: (f'{name()} = "', password(), '"'),
+        lambda: (f"{name()}{r.choice(['=', ': '])}", draw(low + up, 2) + password() + draw(low + dig, 2), ""),
+        lambda: (f'{name()} = "', draw(low + up + dig, r.randint(8, 15)), '"'),
+        lambda: (f"{name()}{r.choice(['=', ': '])}", draw(low + up, r.randint(16, 40)), ""),
+        lambda: (r.choice(["", f"{name()}=", "Authorization: Bearer "]), dotted(), ""),
     ]
     other = [
         lambda: ("", draw(dig, r.choice([16, 16, 17, 18, 20])), ""),
@@ -96,6 +143,15 @@ def generated_findings(n: int = MAX_FINDINGS, seed: int = 11) -> list[tuple[str,
         lambda: ("uuid ", "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), ""),
         lambda: ("", r.choice(["-", "_", "="]).replace("=", "-") * r.randint(16, 30) + draw(dig, 1), ""),
         lambda: ("", f"{word()}/{word()}/{word()}/{word()}-{draw(dig, 4)}", ""),
+        lambda: (f"{name()}{r.choice([': ', ' = ', '='])}", word() + r.choice(["", "()", f".{word()}", f"_{word()}"]), ""),
+        lambda: (r.choice(["author: ", "Author: ", "key: ", "keywords: ", "authority: ", "Keynote: "]), r.choice([word().title(), word()]), ""),
+        lambda: (f'{name()}: "', r.choice([word(), "required", "string", "string", "password", "changeme", "null"]), '"'),
+        lambda: (f"{name()} = ", r.choice([f"os.environ['{name()}']", f"config.{word()}.{name()}", f"get_{name()}({word()})", f"self.{name()}", f"${{{name()}}}"]), ""),
+        lambda: ("", "".join(word() for _ in range(r.randint(4, 6))), ""),
+        lambda: ("", word() + "".join(word().title() for _ in range(r.randint(2, 5))), ""),
+        lambda: ("", r.choice("-_/").join(word() for _ in range(r.randint(3, 6))), ""),
+        lambda: ("", f"www.{word()}{word()}-{word()}{word()}.{r.choice(['com', 'org', 'co.uk'])}", ""),
+        lambda: ("", f"{word()}.{word()}_{word()}_{word()}.{word().title()}{word().title()}", ""),
     ]
     out = []
     while len(out) < n:
@@ -104,9 +160,9 @@ def generated_findings(n: int = MAX_FINDINGS, seed: int = 11) -> list[tuple[str,
         left = " ".join(word() for _ in range(r.randint(0, 8)))
         text = left + r.choice([" ", "\n", "### ", "; "]) * bool(left) + a
         shown = text + body + z + r.choice([" ", "", "###", ".", "\n"]) + " ".join(word() for _ in range(r.randint(0, 8)))
-        found = [m for m in CANDIDATE.finditer(shown) if m.start() < len(text) + len(body) and m.end() > len(text) and any(map(str.isdigit, m[0]))]
+        found = [(s, e) for s, e in candidates(shown) if s < len(text) + len(body) and e > len(text)]
         if found:
-            out.append((shown, found[0].start(), found[0].end(), is_secret))
+            out.append((shown, *found[0], is_secret))
     return out
 
 
@@ -147,7 +203,7 @@ def fit(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "tex
     spark: SparkSession = docs.sparkSession
     costs, words = language_model(trigram_counts(docs, text_col)), dictionary(docs, text_col)
     if findings is None:
-        rows = generated_findings()
+        rows = generated_findings(words=sorted(words))
     else:
         rows = [tuple(r) for r in findings.select("text", "start", "end", "is_secret").dropna().orderBy(F.xxhash64("text", "start"), "text", "start").limit(MAX_FINDINGS).collect()]
     table = [(describe(t, a, z, costs, words), float(y)) for t, a, z, y in rows]
@@ -168,12 +224,11 @@ def scan(docs: DataFrame, model: SecretModel, text_col: str = "text", id_col: st
             ids, hashes = b.column(0), b.column(1)
             at, starts, sizes, rows = [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
-                for m in CANDIDATE.finditer(t or ""):
-                    if any(map(str.isdigit, m[0])):
-                        at.append(k)
-                        starts.append(m.start())
-                        sizes.append(m.end() - m.start())
-                        rows.append(describe(t, m.start(), m.end(), costs, words))
+                for a, z in candidates(t or ""):
+                    at.append(k)
+                    starts.append(a)
+                    sizes.append(z - a)
+                    rows.append(describe(t, a, z, costs, words))
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["i", "text_hash", "start", "length", "f"])
 

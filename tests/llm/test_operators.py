@@ -462,6 +462,42 @@ def test_secrets(spark):
     assert secret_scan.scan(docs, own).count() > 0
 
 
+def test_secrets_of_each_form(spark):
+    """Keys without a digit, short passwords, values with other signs and dotted tokens; look-alikes stay."""
+    r = random.Random(15)
+    draw = lambda signs, n: "".join(r.choice(signs) for _ in range(n))
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    b64 = low + up + "0123456789_-"
+    forms = {
+        "issued": lambda: ("", "AKIA" + draw(up, 16), ""),
+        "letters": lambda: ("token = '", draw(low + up, 32), "'"),
+        "short": lambda: ('password = "', draw(low, 3) + "7" + draw(up, 3) + "4" + draw(low, 2), '"'),
+        "signs": lambda: ('password = "', "S3" + draw(low, 2) + "!t#9" + draw(up, 2), '"'),
+        "dotted": lambda: ("", f"eyJ{draw(b64, 20)}.{draw(b64, 5)}.{draw(b64, 30)}", ""),
+    }
+    plain = ["author: Peter", "key: value", "internationalization", "getElementsByTagName", "password: required", "www.weather-and-travel.co.uk", "one/two/three/four-five"]
+    rows, planted, k = [], {}, 0
+    for form, make in forms.items():
+        for _ in range(20):
+            a, s, z = make()
+            rows.append((k, f"{prose(r, 12)} {a}{s}{z} {prose(r, 8)}"))
+            planted[k], k = (form, s), k + 1
+    rows += [(k + n, f"{prose(r, 12)} {p} {prose(r, 8)}") for n, p in enumerate(plain * 4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = {x["doc_id"]: x["text"] for x in secret_scan.redact(docs).collect()}
+    for form in forms:
+        left = [s for i, (f, s) in planted.items() if f == form and s in out[i]]
+        assert len(left) <= 2, (form, left)
+    assert sum(secret_scan.MASK in out[i] for i in out if i not in planted) <= 4
+
+
+def test_candidates_are_apart_and_linear():
+    text = "password=ghp_" + "a" * 40 + " x.y token: " + "b." * 50_000 + " " + "c-" * 100_000 + " key=" + "'" * 1000
+    spans = secret_scan.candidates(text)
+    assert spans == sorted(spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert text[slice(*spans[0])] == "ghp_" + "a" * 40
+
+
 def test_dictionary_counts_over_all_documents(spark, monkeypatch):
     """A word that few documents of any slice have, but enough of all; however the rows are dealt."""
     rows = [(k, " ".join(["common", *(["seldom"] if k % 200 == 0 else []), *(["never"] if k % 1500 == 0 else []), *(["cat"] if k % 2 else [])])) for k in range(6000)]
