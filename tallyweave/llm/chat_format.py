@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .shared import bounded_batches
@@ -29,16 +28,7 @@ HEADERS = {"system": 50257, "user": 50258, "assistant": 50259}
 OTHER, ROLE_END, TURN_END = 50260, 50261, 50262
 TITLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 
-TURN = T.StructType(
-    [
-        T.StructField("conv_id", T.LongType()),
-        T.StructField("turn", T.LongType()),
-        T.StructField("role", T.StringType()),
-        T.StructField("formatted", T.StringType()),
-        T.StructField("token_ids", T.ArrayType(T.IntegerType())),
-        T.StructField("loss_mask", T.ArrayType(T.ByteType())),
-    ]
-)
+TURN = "conv_id {conv}, turn {turn}, role string, formatted string, token_ids array<int>, loss_mask array<tinyint>"
 
 
 def escape(text: str) -> str:
@@ -62,7 +52,7 @@ def format_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
     (0, 1, ... in the conversation), token_start and char_start (prefix sums over the conversation).
 
     A null text is empty; a null role is written as an unnamed one. Rows go by turn (null first), ties by role, then
-    text. Conversations with a null id form one of their own. No conversation is gathered in memory: turns are
+    text; extra columns are left out. Conversations with a null id form one of their own. No conversation is gathered in memory: turns are
     encoded where they lie and stay rows, so a conversation may be as long as it likes.
     """
 
@@ -71,9 +61,12 @@ def format_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
 
         tok = Tokenizer.from_file(tokenizer)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        if tok.get_vocab_size() > HEADERS["system"]:
+            raise ValueError("the vocabulary reaches into the reserved ids")
         for b in batches:
             for s in range(0, b.num_rows, 1000):
-                rows = b.slice(s, 1000).to_pylist()
+                part = b.slice(s, 1000)
+                rows = part.select(["role", "text"]).to_pylist()
                 safe = [escape(r["text"] or "") for r in rows]
                 ids = [e.ids for e in tok.encode_batch(safe, add_special_tokens=False)]
                 shown, tokens, masks = [], [], []
@@ -89,12 +82,13 @@ def format_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
                     tokens.append(one)
                     masks.append(loss_mask(one))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["conv_id"] for r in rows], pa.int64()), pa.array([r["turn"] for r in rows], pa.int64()), pa.array([r["role"] for r in rows], pa.string()), pa.array(shown), pa.array(tokens, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))],
+                    [part.column(0), part.column(1), pa.array([r["role"] for r in rows], pa.string()), pa.array(shown), pa.array(tokens, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))],
                     ["conv_id", "turn", "role", "formatted", "token_ids", "loss_mask"],
                 )
 
-    cols = bounded_batches(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    turns = cols.mapInArrow(step, TURN)
+    kinds = dict(conversations.dtypes)
+    cols = bounded_batches(conversations).select("conv_id", "turn", "role", "text")
+    turns = cols.mapInArrow(step, TURN.format(conv=kinds["conv_id"], turn=kinds["turn"]))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "formatted")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -115,7 +109,7 @@ def read_turn(ids: list[int], mask: list[int], tok) -> tuple[str, str, str]:
     return role, unescape(tok.decode(body, skip_special_tokens=False)), unescape(tok.decode(under, skip_special_tokens=False))
 
 
-DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+DIGEST = "conv_id {conv}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
 def digests(turns: DataFrame, tokenizer: str) -> DataFrame:
@@ -135,9 +129,11 @@ def digests(turns: DataFrame, tokenizer: str) -> DataFrame:
 
         def batch():
             c = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3], pa.int64()), pa.array(c[4]), pa.array(c[5], pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            return pa.RecordBatch.from_arrays([pa.array(c[0], kind), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3], pa.int64()), pa.array(c[4]), pa.array(c[5], pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
+        kind = None
         for b in batches:
+            kind = b.schema.field(0).type
             for conv, ids, mask, shown, seq, start in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if seq == 0:
                     if state:
@@ -160,4 +156,4 @@ def digests(turns: DataFrame, tokenizer: str) -> DataFrame:
         if out:
             yield batch()
 
-    return turns.select("conv_id", "token_ids", "loss_mask", F.length("formatted").cast("long").alias("shown"), "seq", "token_start").mapInArrow(step, DIGEST)
+    return turns.select("conv_id", "token_ids", "loss_mask", F.length("formatted").cast("long").alias("shown"), "seq", "token_start").mapInArrow(step, DIGEST.format(conv=dict(turns.dtypes)["conv_id"]))

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, gathered
+from .shared import SHORT, bounded_batches, gathered
 
 MAX_SAMPLE = 6000  # labelled documents that the n-gram tables are learned from
 BUCKETS = 1 << 15
 SWITCH_PENALTY = 8.0
-MEMO_WORDS = 200_000
+MEMO_WORDS, LONG_CHARS = 200_000, 4 << 20  # beyond these, what is remembered is dropped before the next texts
 OFF_SCRIPT = -60.0
 STEP_ROWS = 1500  # documents whose words are labelled in step
 
@@ -82,8 +82,9 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", l
         return LanguageModel([], np.zeros((BUCKETS, 0), "f4"), np.zeros((len(SCRIPT_NAMES), 0), bool))
     langs = sorted(sizes)
     each = MAX_SAMPLE / len(langs)
-    rate = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, each / n) * (1 << 20))))), F.col("l"))
-    sample = known.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < rate).select("t", "l").limit(2 * MAX_SAMPLE)
+    # a share of each language by a hash: bounded whatever the number of documents, and without a shuffle
+    rate = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, each / n) * (1 << 40))))), F.col("l"))
+    sample = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 40)) < rate).select("t", "l")
     number = {k: j for j, k in enumerate(langs)}
 
     def count(batches):
@@ -116,15 +117,16 @@ class Labeller:
         self.index: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.langs)), "f4")
         self.letters = np.zeros(0, "i4")
+        self.long = 0  # characters of remembered tokens that are not short
 
     def learn(self, tokens: set[str]) -> None:
+        if len(self.index) > MEMO_WORDS or self.long > LONG_CHARS:
+            self.index.clear()
+            self.scores, self.letters, self.long = self.scores[:0], self.letters[:0], 0
         new = [t for t in tokens if t not in self.index]
         if not new:
             return
-        if len(self.index) + len(new) > MEMO_WORDS:
-            self.index.clear()
-            self.scores, self.letters = self.scores[:0], self.letters[:0]
-            new = list(tokens)
+        self.long += sum(len(t) for t in new if len(t) > SHORT)
         words = [word_of(t) for t in new]
         buckets, owner = gram_buckets(words)
         own = np.zeros((len(words), len(self.m.langs)), "f4")
@@ -143,7 +145,8 @@ class Labeller:
         self.letters = np.concatenate([self.letters, np.asarray([len(w) for w in words], "i4")])
 
     def label(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Labels of the words of each text, and their numbers of letters. All texts step together, longest first."""
+        """Labels of the words of each text, and their numbers of letters. All texts step together, longest first; what
+        they came from is kept as two bytes a word and language."""
         tokens = [t.lower().split() for t in texts]
         self.learn({t for ts in tokens for t in ts})
         ids = [np.fromiter(map(self.index.__getitem__, ts), "i4", len(ts)) for ts in tokens]
@@ -151,27 +154,29 @@ class Labeller:
         lengths = np.asarray([len(ids[k]) for k in order])
         n_lang = len(self.m.langs)
         longest = int(lengths[0]) if len(lengths) else 0
-        labels = [np.zeros(n, "i1") for n in lengths]
+        labels = [np.zeros(n, "i2") for n in lengths]
         if longest and n_lang:
             active = np.searchsorted(-lengths, -np.arange(longest), "left")  # texts with more than t words
             flat = np.concatenate([ids[k] for k in order])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             best = np.zeros((len(order), n_lang), "f4")
-            back: list[np.ndarray] = []
+            at_step = np.concatenate([[0], np.cumsum(active)])
+            back = np.empty((len(flat), n_lang), "i2")
+            own = np.arange(n_lang, dtype="i2")
             for t in range(longest):
                 n = active[t]
                 now = best[:n]
                 top = now.argmax(1)
                 jump = now[np.arange(n), top] - self.penalty
                 stay = now >= jump[:, None]
-                back.append(np.where(stay, np.arange(n_lang, dtype="i1"), top[:, None].astype("i1")))
+                back[at_step[t] : at_step[t + 1]] = np.where(stay, own, top[:, None].astype("i2"))
                 best[:n] = np.maximum(now, jump[:, None]) + self.scores[flat[starts[:n] + t]]
-            at = best.argmax(1).astype("i1")
-            out = np.zeros(len(flat), "i1")
+            at = best.argmax(1).astype("i2")
+            out = np.zeros(len(flat), "i2")
             for t in range(longest - 1, -1, -1):
                 n = active[t]
                 out[starts[:n] + t] = at[:n]
-                at[:n] = back[t][np.arange(n), at[:n]]
+                at[:n] = back[at_step[t] + np.arange(n), at[:n]]
             labels = [out[s : s + n] for s, n in zip(starts, lengths)]
         back_in_order: list = [None] * len(ids)
         for k, lab in zip(order, labels):
@@ -187,7 +192,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_c
     in white-space-separated words, end excluded, and lang).
 
     und, 0.0 and no spans where the text is null or has no letter, or the model knows no language. Ties go to the
-    language first in order of its name. Repeated and null ids are kept as they are.
+    language first in order of its name. Repeated and null ids are kept as they are. Texts may be of any length: about
+    BATCH_BYTES of them, or one text, are labelled at a time.
     """
     shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
 

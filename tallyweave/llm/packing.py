@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, per_process, saved
+from .shared import SHORT, bounded_batches, per_process, saved
 
 CAPACITY = 4096
 OPEN_BINS = 256
@@ -27,7 +27,7 @@ ITEMS_PER_PARTITION = 20_000
 FAN_IN = 64
 MEMO_WORDS = 400_000
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 _BREAKS = re.compile("[\t\n\r]")
@@ -52,7 +52,9 @@ class _Letters(dict):
 
     def __missing__(self, word: str) -> bytes:
         shown = word if word.isascii() else word.translate(self.signs)
-        ids = self[word] = np.asarray([t.id for t in self.merge(shown)], "<u4").tobytes()
+        ids = np.asarray([t.id for t in self.merge(shown)], "<u4").tobytes()
+        if len(word) <= SHORT:
+            self[word] = ids
         return ids
 
 
@@ -71,14 +73,15 @@ class _Runs(dict):
             ids = self.letters[m[1].lower()]
             if m[2]:
                 ids += self[m[2]]
-        self[run] = ids
+        if len(run) <= SHORT:
+            self[run] = ids
         return ids
 
 
 class WordEncoder:
     """Little-endian uint32 ids of whole texts, by a tokenizer whose words never cross plain white space.
 
-    Each run between space, tab, newline and carriage return is encoded once and remembered, MEMO_WORDS at most;
+    Each run between space, tab, newline and carriage return is encoded once and remembered (short ones, MEMO_WORDS at most);
     of runs of letters with signs after them, letters (lower-case, as the tokenizer makes them) and signs apart.
     """
 
@@ -110,17 +113,16 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows: list[tuple] = []
-                for i, t in zip(ids, texts):
+                for row, t in enumerate(part.column(1).to_pylist()):
                     data = enc.encode(t or "") + end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[at : at + 4 * capacity]
-                        rows.append((i, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+                        rows.append((row, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
                 c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(c[0])), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(step, PIECES)
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(step, PIECES.format(kind=dict(docs.dtypes)[id_col]))
 
 
 def best_fit(lengths, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
@@ -187,16 +189,18 @@ def _round(items: DataFrame, partitions: int, round_no: int, base: int, capacity
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, items_per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
-    """pieces with sequence_id and offset (gapless from 0 in each sequence). pieces must have a column length.
+    """pieces with sequence_id and offset (gapless from 0 in each sequence), in place of columns of these names. pieces must
+    have a column length.
 
-    Works on any columns; rows that are repeated are packed as often as they occur. Lengths are 1 to capacity.
+    Works on any other columns; rows that are repeated are packed as often as they occur. Lengths are 1 to capacity.
     """
-    numbered = saved(pieces.withColumn("item__", F.monotonically_increasing_id()), "pieces")
+    row = F.struct(*(F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")))
+    numbered = saved(pieces.select(row.alias("row"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("number")), "pieces")
     part = numbered.where(F.col("length") < capacity)
     n = part.count()
     parts = max(1, -(-n // items_per_partition))
     base, round_no = 1, 0
-    packed = _round(part.select(F.col("item__").alias("item"), "length"), parts, 0, base, capacity, open_bins)
+    packed = _round(part.select(F.col("number").alias("item"), "length"), parts, 0, base, capacity, open_bins)
     place = packed.select("item", "bin", "offset")
     while parts > 1:
         base, round_no, parts = base + parts, round_no + 1, -(-parts // FAN_IN)
@@ -204,10 +208,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
         packed = _round(opened, parts, round_no, base, capacity, open_bins)
         moved = packed.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("offset").alias("by"))
         place = place.join(moved, "bin", "left").select("item", F.coalesce("to", "bin").alias("bin"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"))
-    cols = [c for c in numbered.columns if c != "item__"]
-    whole = numbered.where(F.col("length") == capacity).select(*cols, (-1 - F.col("item__")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = numbered.where(F.col("length") < capacity).join(place, F.col("item__") == F.col("item")).select(*cols, F.col("bin").alias("sequence_id"), "offset")
-    return whole.unionByName(rest)
+    whole = numbered.where(F.col("length") == capacity).select("row.*", (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = part.join(place, F.col("number") == F.col("item")).select("row.*", F.col("bin").alias("sequence_id"), "offset")
+    return whole.union(rest)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:

@@ -214,7 +214,8 @@ def fit(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "tex
 
 def scan(docs: DataFrame, model: SecretModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per candidate: id_col, text_hash (64 bits, of the whole text), start, length (in characters), score,
-    is_secret. Null and empty texts have none. Rows that repeat give theirs each."""
+    is_secret. Null and empty texts have none. Rows that repeat give theirs each. Whole texts are read, however long;
+    candidates don't overlap, so there are no ties; score THRESHOLD itself is a secret."""
     shared = bounded_batches(docs).sparkSession.sparkContext.broadcast((model.costs, model.words))  # fixed size; the dictionary is bounded by COMMON_SHARE
     kind = dict(docs.dtypes)[id_col]
 
@@ -239,12 +240,16 @@ def scan(docs: DataFrame, model: SecretModel, text_col: str = "text", id_col: st
 
 
 def redact(docs: DataFrame, model: SecretModel | None = None, text_col: str = "text", id_col: str = "doc_id", size_col: str = "n_chars") -> DataFrame:
-    """docs with each secret replaced by MASK, and size_col, where there is one, set to the new length; no row goes."""
+    """docs with each secret replaced by MASK, and size_col, where there is one, set to the new length; no row goes.
+    Null and empty texts stay as they are; texts may be of any length, and columns of any names; repeated rows and rows
+    that repeat an id are masked each by their own text."""
     model = model or fit(docs, text_col=text_col)
-    secrets = scan(docs, model, text_col, id_col).where("is_secret").groupBy(F.col(id_col).alias("i__"), F.col("text_hash").alias("h__"))
-    spans = secrets.agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("s__"))
-    joined = docs.withColumn("k__", F.xxhash64(text_col)).join(spans, F.col(id_col).eqNullSafe(F.col("i__")) & (F.col("k__") == F.col("h__")), "left")
-    packed = joined.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col(text_col).alias("t"), "s__")
+    secrets = scan(docs, model, text_col, id_col).where("is_secret").groupBy(F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
+    spans = secrets.agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("s"))
+    # the caller's columns are out of the way inside a struct
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col(text_col).alias("t"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("k"))
+    joined = whole.join(spans, F.col("own").eqNullSafe(F.col("i")) & (F.col("k") == F.col("h")), "left")
+    packed = joined.select("r", "t", "s")
     out = T.StructType([T.StructField("r", docs.schema), T.StructField("t", T.StringType()), T.StructField("changed", T.BooleanType())])
 
     def step(batches):

@@ -10,24 +10,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: list[str] = []  # this process's own folder, where Spark runs in one machine and none is named
+_SAVED: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where none is named (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where none is named, a local one, if the master is local
+    (tests); on a cluster, where each executor would write to its own disk, an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tallyweave-"))
+        named = _LOCAL[0]
     return named.rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back, which cuts its lineage."""
+    """df written as Parquet to the shared folder and read back, which cuts its lineage. drop_saved deletes it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> int:
+    """Deletes every table that this driver has saved, and says how many; for use once results are written."""
+    n = 0
+    while _SAVED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, or with underscores after it, so that no column of df has the name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 BATCH_BYTES = 8 << 20
+SHORT = 64  # characters of the longest key that memos keep; what is longer is worked out each time, so memos are bounded in bytes
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -39,15 +66,16 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def gathered(batches, rows: int):
-    """Record batches put together to at least rows rows, but for the last."""
-    held, n = [], 0
+def gathered(batches, rows: int, size: int = BATCH_BYTES):
+    """Record batches put together to at least rows rows or size bytes, but for the last."""
+    held, n, held_bytes = [], 0, 0
     for b in batches:
         held.append(b)
         n += b.num_rows
-        if n >= rows:
+        held_bytes += b.nbytes
+        if n >= rows or held_bytes >= size:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
+            held, n, held_bytes = [], 0, 0
     if n:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -81,7 +109,6 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     the logarithm of the longest path. Every round is written to the shared folder. Nodes without an edge to
     another node don't appear.
     """
-    spark = edges.sparkSession
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -100,4 +127,4 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.union(roots) if spark else nodes
+    return nodes.union(roots)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, saved
+from .shared import SHORT, bounded_batches, free_name, saved
 
 #: Bounds of the labelled sample that the weights are learned from, in documents.
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
@@ -224,7 +224,9 @@ class Scorer:
         for t in set(text.split()):
             fs = memo.get(t)
             if fs is None:
-                fs = memo[t] = self.known(restored(t, self.decoder))
+                fs = self.known(restored(t, self.decoder))
+                if len(t) <= SHORT:
+                    memo[t] = fs
             if fs:
                 found.update(fs)
         found.update(self.known(joined(text, self.decoder)))
@@ -277,6 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text_c
 
     Candidate features are those clearly likelier in the sample's toxic documents; a greedy cover picks few of them,
     and logistic regression weighs those. Without labels of both kinds every score is the share of toxic ones (0 without any).
+    Rows with a null id or label lend nothing; a document labelled several times is toxic if one label says so; rows of
+    documents that repeat an id count each.
     """
     costs = language_model(trigram_counts(docs, text_col))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -288,9 +292,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text_c
     share = toxic / max(1, toxic + clean)
     if not toxic or not clean:
         return ToxicityModel(costs, {}, 30.0 if toxic else -30.0)
-    draw = F.pmod(F.xxhash64("id__"), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64("id__"), F.lit(1 << 40))
     most = {1: MAX_TOXIC, 0: MAX_CLEAN}
-    threshold = F.when(F.col("y__") == 1, F.lit(int(min(1.0, MAX_TOXIC / toxic) * (1 << 20)))).otherwise(F.lit(int(min(1.0, MAX_CLEAN / clean) * (1 << 20))))
+    threshold = F.when(F.col("y__") == 1, F.lit(int(min(1.0, MAX_TOXIC / toxic) * (1 << 40)))).otherwise(F.lit(int(min(1.0, MAX_CLEAN / clean) * (1 << 40))))
     drawn = known.where(draw < threshold).limit(2 * sum(most.values()))  # the bound makes the broadcast safe
     sample = docs.select(F.col(id_col).alias("d__"), F.col(text_col).alias("text__")).join(F.broadcast(drawn), F.col("d__") == F.col("id__"))
     sample = saved(sample.select("id__", "y__", "text__"), "toxic-sample")
@@ -340,9 +344,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text_c
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a column score_col (double, 0 to 1) at the end. A null text scores as an empty one. The name must be free."""
-    if score_col in docs.columns:
-        raise ValueError(f"there is a column {score_col} already")
+    """docs with a column score_col (double, 0 to 1) at the end, in place of one of that name. A null text scores as an
+    empty one; texts may be of any length; repeated rows are scored each."""
     spark = bounded_batches(docs).sparkSession
     shared = spark.sparkContext.broadcast(model)  # a few hundred weights and ALPHABET ** 3 costs
 
@@ -358,10 +361,10 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
     row = T.StructType([T.StructField("r", docs.schema), T.StructField("s", T.DoubleType())])
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col(text_col).alias("t"))
     out = packed.mapInArrow(step, row)
-    return out.select("r.*", F.col("s").alias(score_col))
+    return out.select(*(F.col(f"r.`{c}`") for c in docs.columns if c.lower() != score_col.lower()), F.col("s").alias(score_col))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, usable: Column | None = None) -> DataFrame:
     """docs without the rows that score threshold or more; same columns."""
-    model = fit(docs, labels, usable)
-    return score(docs, model, score_col="toxic_score__").where(F.col("toxic_score__") < threshold).drop("toxic_score__")
+    model, name = fit(docs, labels, usable), free_name(docs, "toxic_score")
+    return score(docs, model, score_col=name).where(F.col(name) < threshold).drop(name)
