@@ -25,11 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import bounded_batches, components, per_process, saved, shuffle_partitions
 
-MEMO_WORDS = 500_000
+LONG_WORD, BLOCK_BYTES = 4096, 1 << 18
 HOT_ELEMENTS = 200_000  # the most common elements that are put last; the broadcast is bounded by this
 HOT_IN_TASK = 6
 LIGHT_MOST = 40  # sizes over this are never light
@@ -37,39 +36,94 @@ LIST_SAMPLE = 64  # list lengths are measured on one in so many elements
 VERIFY_COST = 4.0  # of looking at one list entry, against writing one
 STAR_ROUNDS = 2
 BLOCK = 2000
+SETS_BYTES = 4 << 20  # of sets in one batch
+ROLES = 500  # or so, in one row
 BINS = 256  # of a histogram of hashes, a byte each; FULL stands for FULL or more
 FULL = 255
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, "u8")
+    out[0] = 1
+    return np.cumprod(out)
+
 
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype="u1")
+_LOWER[65:91] += 32
+_BASE = 0xD6E8FEB86659FD93
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of the n-grams of a text. Words are lower-cased in A-Z and end at ASCII white space."""
+    """Sorted distinct 64-bit hashes of the n-grams of texts. Words are lower-cased in A-Z and end at ASCII white space.
+
+    A word's hash is a polynomial of its bytes, taken for all words of a block at once from one running sum, and mixed;
+    words over LONG_WORD bytes, which would need blocks of their own size, are hashed one by one.
+    """
 
     def __init__(self, n: int):
-        self.n, self.words = n, _Words()
+        self.n = n
         self.mult = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3) + 2 * k) & 0xFFFFFFFFFFFFFFFF | 1) for k in range(n)]
+        self.power = _powers(_BASE, BLOCK_BYTES + LONG_WORD)
+        self.inverse = _powers(pow(_BASE, -1, 1 << 64), BLOCK_BYTES + LONG_WORD)
+        self.signs = _mix(np.arange(1, 257, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))[_LOWER]
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        w = np.fromiter(map(self.words.__getitem__, words), "u8", len(words))
-        if not len(w):
-            return w
-        n = min(self.n, len(w))
+    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash) of each word."""
+        import xxhash
+
+        buf = np.frombuffer(raw, "u1")
+        gap = np.concatenate([[True], _SPACE[buf], [True]])
+        starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        out = np.empty(len(starts), "u8")
+        k = 0
+        while k < len(starts):
+            if ends[k] - starts[k] > LONG_WORD:
+                out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]].lower())
+                k += 1
+                continue
+            at = starts[k]
+            z = max(k + 1, int(np.searchsorted(ends, at + BLOCK_BYTES, "right")))
+            size = ends[k:z] - starts[k:z]
+            if size.max() > LONG_WORD:
+                z = k + int((size > LONG_WORD).argmax())
+            here = self.signs[buf[at : ends[z - 1]]]
+            run = np.concatenate([[np.uint64(0)], np.cumsum(here * self.power[: len(here)])])
+            a, b = starts[k:z] - at, ends[k:z] - at
+            out[k:z] = _mix((run[b] - run[a]) * self.inverse[a] + (b - a).astype("u8"))
+            k = z
+        return starts, out
+
+    def grams(self, w: np.ndarray, n: int) -> np.ndarray:
         m = len(w) - n + 1
         x = np.full(m, n * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF, "u8")
         for k in range(n):
             x += w[k : k + m] * self.mult[k]
             x ^= x >> np.uint64(31)
-        return np.unique(_mix(x))
+        return _mix(x)
+
+    def many(self, texts: list[str | None]):
+        """The sets of texts in turn."""
+        k = 0
+        while k < len(texts):
+            raws, size = [], 0
+            while k < len(texts) and (not raws or size < BLOCK_BYTES):
+                raws.append((texts[k] or "").encode("utf-8", "surrogatepass"))
+                size += len(raws[-1]) + 1
+                k += 1
+            starts, w = self.words(b" ".join(raws))
+            edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])]))
+            x = self.grams(w, self.n) if len(w) >= self.n else w[:0]
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if z - a >= self.n:
+                    s = np.sort(x[a : z - self.n + 1])
+                    yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+                else:
+                    yield self.grams(w[a:z], z - a) if z > a else w[:0]
+
+    def of(self, text: str | None) -> np.ndarray:
+        return next(self.many([text]))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,8 +169,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(pick.sum(), kind), pa.int32()), pa.array(_signed(keys[pick])), pa.array(c[pick])], ["kind", "key", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                x = shingler.of(t)
+            for x in shingler.many(b.column(0).to_pylist()):
                 sizes[len(x)] = sizes.get(len(x), 0) + 1
                 sets.append(x)
                 seen += len(x)
@@ -162,8 +215,7 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, light: int, hot: tupl
             for s in range(0, b.num_rows, 1000):
                 part = b.slice(s, 1000)
                 sizes, fps, hists, prefixes, keys, key_sizes = [], [], [], [], [], []
-                for t in part.column(1).to_pylist():
-                    x = shingler.of(t)
+                for x in shingler.many(part.column(1).to_pylist()):
                     p = len(x)
                     sizes.append(p)
                     fps.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63))
@@ -203,19 +255,20 @@ def _star(lists: DataFrame, comp: DataFrame | None, round_no: int, num: int, den
         here = here.join(comp, F.col("fp") == F.col("node"), "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
     else:
         here = here.withColumn("c", F.col("fp"))
-    w = Window.partitionBy("token")
-    centre = F.min(F.struct(F.xxhash64("fp", F.lit(round_no)).alias("r"), "fp", "n", "c", "heavy")).over(w)
-    pairs = here.withColumn("m", centre).where("m.c <> c and (heavy or m.heavy)")
-    pairs = pairs.where(F.least("n", "m.n") * den >= F.greatest("n", "m.n") * num)
-    return pairs.select(F.col("m.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    r = F.xxhash64("fp", F.lit(round_no))
+    # one small row for each list, combined before the shuffle, then joined back: a long list is no single group
+    centre = here.groupBy("token").agg(*(F.min_by(c, r).alias(f"m_{c}") for c in ("fp", "n", "c", "heavy")), F.min("c").alias("low"), F.max("c").alias("high"))
+    pairs = here.join(centre.where("low <> high").drop("low", "high"), "token").where("m_c <> c and (heavy or m_heavy)")
+    pairs = pairs.where(F.least("n", "m_n") * den >= F.greatest("n", "m_n") * num)
+    return pairs.select(F.col("m_fp").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def _blocks(lists: DataFrame, comp: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) in one list, of different components, that the histograms allow. Long lists are cut into blocks,
     and pairs of blocks are dealt out to tasks."""
     here = lists.join(comp, F.col("fp") == F.col("node"), "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
-    w = Window.partitionBy("token")
-    here = here.withColumn("mixed", F.min("c").over(w) != F.max("c").over(w)).where("mixed").drop("mixed")
+    mixed = here.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("len")).where("low <> high")
+    here = here.join(mixed.select("token", "len"), "token")
     here = here.withColumn("blocks", F.ceil(F.col("len") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     here = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     here = here.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "fp", "n", "c", "heavy")
@@ -293,17 +346,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num
     roles = salted.select(F.col("b").alias("fp"), F.struct(F.col("a"), F.col("salt"), F.lit(True).alias("member")).alias("role")).union(
         counts.select(F.col("a").alias("fp"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(F.col("a"), k.cast("bigint").alias("salt"), F.lit(False).alias("member")))).alias("role"))
     )
-    # a class's set is made once, whatever its number of parts
-    roles = roles.groupBy("fp").agg(F.collect_list("role").alias("roles")).join(classes.select("fp", "id"), "fp")
-    texts = docs.join(roles, "id")  # one row of the class stands for it
+    # a class's set is made once for ROLES of its parts, so that no row grows with the number of its pairs
+    many = roles.groupBy("fp").agg(F.ceil(F.count("*") / ROLES).alias("groups"))
+    roles = roles.join(many, "fp").groupBy("fp", F.pmod(F.xxhash64("role"), F.col("groups"))).agg(F.collect_list("role").alias("roles"))
+    texts = docs.join(roles.join(classes.select("fp", "id"), "fp"), "id")  # one row of the class stands for it
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], ["a", "salt", "member", "fp", "x"])
 
     def sets(batches):
         shingler = per_process("shingler", n, lambda: Shingler(n))
         for b in batches:
-            for s in range(0, b.num_rows, 50):
-                part = b.slice(s, 50)
-                rows = [(r["a"], r["salt"], r["member"], fp, x) for fp, roles_, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), (shingler.of(t).tobytes() for t in part.column(2).to_pylist())) for r in roles_]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], ["a", "salt", "member", "fp", "x"])
+            rows, size = [], 0
+            for fp, roles_, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingler.many(b.column(2).to_pylist())):
+                x = x.tobytes()
+                for r in roles_:
+                    rows.append((r["a"], r["salt"], r["member"], fp, x))
+                    size += len(x)
+                    if size >= SETS_BYTES:
+                        yield emit(rows)
+                        rows, size = [], 0
+            if rows:
+                yield emit(rows)
 
     parts = shuffle_partitions(spark)
     sent = texts.select("fp", "roles", "t").mapInArrow(sets, "a bigint, salt bigint, member boolean, fp bigint, x binary")
@@ -333,6 +397,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """comp after more links: these are drawn between components, and only those that they join get a new name."""
+    if comp is None:
+        return saved(components(links), "ngram-components")
+    at = lambda c: F.coalesce(f"of_{c}", c)
+    for c in ("a", "b"):
+        links = links.join(comp.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    moved = components(links.select(at("a").alias("a"), at("b").alias("b"))).withColumnsRenamed({"node": "was", "component": "now"})
+    moved = saved(moved, "ngram-moved")
+    kept = comp.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = moved.join(comp, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return saved(kept.union(new), "ngram-components")
+
+
 def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (the smallest id reachable by links, itself included).
 
@@ -359,27 +437,25 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     # light with light: a common subset is the link
     subsets = classes.where(F.size("keys") > 0).select("fp", "n", F.explode(F.arrays_zip("keys", "key_sizes")).alias("k"))
     subsets = subsets.select("fp", "n", F.col("k.keys").alias("key"), F.col("k.key_sizes").alias("size"))
-    smallest = F.min(F.struct("n", "fp")).over(Window.partitionBy("key", "size"))
-    edges = subsets.withColumn("m", smallest).where("m.fp <> fp").where(F.col("size") * (num + den) >= num * (F.col("n") + F.col("m.n")))
+    least = subsets.groupBy("key", "size").agg(F.min(F.struct("n", "fp")).alias("m"), F.count("*").alias("len")).where("len > 1").drop("len")
+    edges = subsets.join(least, ["key", "size"]).where("m.fp <> fp").where(F.col("size") * (num + den) >= num * (F.col("n") + F.col("m.n")))
     edges = saved(edges.select(F.col("m.fp").alias("a"), F.col("fp").alias("b")).distinct(), "ngram-links")
 
     # heavy with all: inverted lists
-    by_token = Window.partitionBy("token")
     lists = classes.select(F.explode("prefix").alias("token"), "fp", "n", (F.col("n") > light).alias("heavy"))
-    lists = lists.withColumn("len", F.count("*").over(by_token)).where("len > 1")
-    lists = saved(lists, "ngram-lists")
+    shared = lists.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
+    lists = saved(lists.join(shared.select("token"), "token"), "ngram-lists")
     slim = classes.select("fp", "n", "hist", "id")
-    comp = components(edges)
+    comp = None if edges.isEmpty() else saved(components(edges), "ngram-components")
     for k in range(STAR_ROUNDS):
         pairs = saved(_allowed(_star(lists, comp, k, num, den), slim, num, den), "ngram-pairs")
         if pairs.isEmpty():
             break
-        edges = edges.union(saved(_verified(pairs, docs, slim, n, num, den), "ngram-links"))
-        comp = saved(components(edges), "ngram-components")
+        comp = _joined(comp, saved(_verified(pairs, docs, slim, n, num, den), "ngram-links"))
+    comp = edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if comp is None else comp  # none at all
     pairs = saved(_blocks(lists, comp, slim, num, den), "ngram-pairs")
     if not pairs.isEmpty():
-        edges = edges.union(saved(_verified(pairs, docs, slim, n, num, den), "ngram-links"))
-        comp = saved(components(edges), "ngram-components")
+        comp = _joined(comp, saved(_verified(pairs, docs, slim, n, num, den), "ngram-links"))
 
     labelled = classes.select("fp", "n", "id").join(comp, F.col("fp") == F.col("node"), "left").withColumn("c", F.coalesce("component", "fp"))
     lowest = labelled.groupBy("c").agg(F.min("id").alias("low"))
