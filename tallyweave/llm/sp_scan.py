@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, per_process, saved
+from .shared import SHORT, bounded_batches, per_process, saved, shuffle_partitions
 
 CHUNK_CHARS = 32_768
 GROUP = 256  # chunks whose matrices one task multiplies
@@ -41,7 +41,9 @@ class _Plain(dict):
         self.model = model
 
     def __missing__(self, text: str) -> bytes:
-        ids = self[text] = self.model.search(text)
+        ids = self.model.search(text)
+        if len(text) <= SHORT:
+            self[text] = ids
         return ids
 
 
@@ -60,7 +62,8 @@ class _AfterSpace(dict):
             ids = self[m[0]] + self.plain[text[m.end() :]]
         else:
             ids = self.model.search(SPACE + text)
-        self[text] = ids
+        if len(text) <= SHORT:
+            self[text] = ids
         return ids
 
 
@@ -329,9 +332,12 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str
 
     mats = giant.select("row", "chunk", "n_chunks", "size", "t").mapInArrow(matrices, "row bigint, chunk int, m binary")
     mats = saved(mats.withColumn("grp", F.expr(f"chunk div {GROUP}").cast("int")), "giant-matrices")
-    groups = mats.groupBy("row", "grp").applyInPandas(_multiply, "row bigint, grp int, m binary")
+    # matrices are small on the wire and dear to multiply: a number of partitions keeps them from being put together
+    parts = shuffle_partitions(docs.sparkSession)
+    dealt = mats.repartition(parts, "row", "grp")
+    groups = dealt.groupBy("row", "grp").applyInPandas(_multiply, "row bigint, grp int, m binary")
     ends = groups.groupBy("row").applyInPandas(_along, "row bigint, grp int, entry int, leave int")
-    states = mats.join(ends, ["row", "grp"]).groupBy("row", "grp").applyInPandas(_inside, "row bigint, chunk int, enter int, leave_at int")
+    states = dealt.join(ends.hint("merge"), ["row", "grp"]).groupBy("row", "grp").applyInPandas(_inside, "row bigint, chunk int, enter int, leave_at int")
 
     def traced(batches):
         m = per_process("pieces", model_path, lambda: PieceModel(model_path))
@@ -344,12 +350,13 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str
                     out.append((ids, m.decode(ids, x["chunk"] == 0) == (own[1:] if x["chunk"] == 0 else own)))
                 yield emit([b.column(0), b.column(1), b.column(2)], out)
 
-    ready = giant.join(states, ["row", "chunk"]).select("id", "chunk", "n_chunks", "size", "t", "enter", "leave_at")
+    ready = giant.join(states.hint("merge"), ["row", "chunk"]).select("id", "chunk", "n_chunks", "size", "t", "enter", "leave_at")
     return small.union(ready.mapInArrow(traced, schema)).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", chunk_col: str = "chunk", text_col: str = "text") -> DataFrame:
-    """encoded with a column text_col: the text of each row's ids. A document's text is its chunks' in order."""
+    """encoded with a column text_col, in place of one of that name: the text of each row's ids, null ids giving an empty
+    one. A document's text is its chunks' in order."""
     schema = F.struct(*(F.col(f"`{c}`") for c in encoded.columns)).alias("r")
 
     def step(batches):
@@ -361,4 +368,5 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", chunk_col:
     from pyspark.sql import types as T
 
     out = T.StructType([T.StructField("r", encoded.schema), T.StructField("t", T.StringType())])
-    return encoded.select(schema, F.col(ids_col).alias("i"), F.col(chunk_col).alias("c")).mapInArrow(step, out).select("r.*", F.col("t").alias(text_col))
+    done = encoded.select(schema, F.col(ids_col).alias("i"), F.col(chunk_col).alias("c")).mapInArrow(step, out)
+    return done.select(*(F.col(f"r.`{c}`") for c in encoded.columns if c.lower() != text_col.lower()), F.col("t").alias(text_col))
