@@ -81,12 +81,14 @@ def merge_sources(primary: DataFrame, secondary: DataFrame, least_primary: float
 
 def join_by_occurrence(items: DataFrame, rooms: DataFrame) -> DataFrame:
     """Each item with the room of the same occurrence of its number on its page (rooms: run_id, doc, page, line_no,
-    number, room). Items keep their own room where there is none."""
+    number, room). Items keep their own room where there is none. place is their order on the page by item number, 9999
+    without one."""
     keys = ["run_id", "doc", "page", "number"]
     k = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     left = items.withColumn("number", X.item_number("description")).withColumn("occurrence", k(["id"]))
     right = rooms.where("number is not null and room is not null").withColumn("occurrence", k(["line_no"])).select(*keys, "occurrence", F.col("room").alias("doc_room"))
-    return left.join(right, [*keys, "occurrence"], "left").withColumn("room", F.coalesce("doc_room", "room")).drop("doc_room", "occurrence")
+    place = F.row_number().over(Window.partitionBy("run_id", "doc", "page").orderBy(F.coalesce(F.nullif("number", F.lit(0)), F.lit(9999)), "id"))
+    return left.withColumn("place", place).join(right, [*keys, "occurrence"], "left").withColumn("room", F.coalesce("doc_room", "room")).drop("doc_room", "occurrence")
 
 
 def rooms_by_number(lines: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ def exact_hints(a: DataFrame, b: DataFrame, k: int = 8) -> DataFrame:
     the same set of two or more tokens."""
     key = ["run_id", "room_a"]
     same = a.where("a_norm <> ''").join(b.withColumnRenamed("b_norm", "norm"), (F.col("a_norm") == F.col("norm")) & (a.run_id == b.run_id) & (a.room_a == b.room_a)).select(a.run_id, a.room_a, "a_id", "b_id", "b_page")
-    bag = lambda c: F.array_join(F.array_sort(F.filter(F.array_distinct(F.split(c, " ")), lambda t: t != "")), " ")
-    rest = a.withColumn("bag", bag("a_norm")).where("bag like '% %'").join(same.select(*key, "a_id").distinct(), [*key, "a_id"], "left_anti")
-    alike = rest.join(b.withColumn("bag", bag("b_norm")), [*key, "bag"]).select(*key, "a_id", "b_id", "b_page")
+    bag = lambda c: F.array_join(F.array_sort(X.description_tokens(c)), " ")
+    rest = a.withColumn("bag", bag("a_description")).where("bag like '% %'").join(same.select(*key, "a_id").distinct(), [*key, "a_id"], "left_anti")
+    alike = rest.join(b.withColumn("bag", bag("b_description")), [*key, "bag"]).select(*key, "a_id", "b_id", "b_page")
     every = same.withColumn("kind", F.lit("text")).union(alike.withColumn("kind", F.lit("tokens")))
     w = Window.partitionBy("run_id", "a_id").orderBy("b_page", "b_id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -54,14 +54,23 @@ def name_similarity(a: Column, b: Column, stopwords: bool = True, ratio: Column
     )
 
 
+def _with_ratio(pairs: DataFrame, a: str, b: str, stopwords: bool) -> DataFrame:
+    """pairs with the sequence ratio of two rooms' tokens, worked out once for each pair of names, whatever the number
+    of runs, and only where it may raise the similarity."""
+    plain = name_similarity(F.col(a), F.col(b), stopwords)
+    names = pairs.select(a, b).distinct().where(plain < 1.0)
+    said = lambda c: F.array_join(X.room_tokens(c, stopwords), " ")
+    scored = names.withColumn("ratio", sequence_ratio(said(a), said(b)))
+    return pairs.join(scored, [a, b], "left").fillna({"ratio": 0.0})
+
+
 def score_pairs(profiles_: DataFrame, stopwords: bool = True, with_ratio: bool = True) -> DataFrame:
     """Every room of A with every room of B in the same run, scored. Rooms per run are few; runs are dealt by key."""
     side = lambda d, s: profiles_.where(F.col("doc") == d).select("run_id", F.col("room").alias(f"room_{s}"), F.col("profile").alias(f"profile_{s}"))
     pairs = side("A", "a").join(side("B", "b"), "run_id")
-    ratio = sequence_ratio(F.array_join(X.room_tokens("room_a", stopwords), " "), F.array_join(X.room_tokens("room_b", stopwords), " ")) if with_ratio else None
-    if ratio is not None:
-        pairs = pairs.withColumn("ratio", ratio)
-    name = name_similarity(F.col("room_a"), F.col("room_b"), stopwords, F.col("ratio") if ratio is not None else None)
+    if with_ratio:
+        pairs = _with_ratio(pairs, "room_a", "room_b", stopwords)
+    name = name_similarity(F.col("room_a"), F.col("room_b"), stopwords, F.col("ratio") if with_ratio else None)
     pairs = pairs.withColumn("name", name).withColumn("profile", N.jaccard(F.col("profile_a"), F.col("profile_b")))
     return pairs.select("run_id", "room_a", "room_b", "name", "profile", (F.col("name") * 0.78 + F.col("profile") * 0.22).alias("combined"))
 
@@ -104,24 +113,28 @@ def merge_links(*groups: DataFrame, least: float = 0.42) -> DataFrame:
     return merged.where(F.col("confidence") >= least).select("run_id", "room_a", "room_b", "confidence", reasons.alias("rationale"))
 
 
-def _cap(pdf: pd.DataFrame) -> pd.DataFrame:
-    used_a: dict = {}
-    used_b: dict = {}
-    keep = []
-    for a, b in zip(pdf["room_a"], pdf["room_b"]):
-        keep.append(used_a.get(a, 0) < MAX_LINKS or used_b.get(b, 0) < MAX_LINKS)
-        if keep[-1]:
-            used_a[a], used_b[b] = used_a.get(a, 0) + 1, used_b.get(b, 0) + 1
-    return pdf[keep]
+def _cap(frames):
+    """Links as they come, a run's together and sorted; only the run's counts are held."""
+    at, used_a, used_b = None, {}, {}
+    for pdf in frames:
+        keep = []
+        for run, a, b in zip(pdf["run_id"], pdf["room_a"], pdf["room_b"]):
+            if run != at:
+                at, used_a, used_b = run, {}, {}
+            keep.append(used_a.get(a, 0) < MAX_LINKS or used_b.get(b, 0) < MAX_LINKS)
+            if keep[-1]:
+                used_a[a], used_b[b] = used_a.get(a, 0) + 1, used_b.get(b, 0) + 1
+        yield pdf[keep]
 
 
 def cap_links(links: DataFrame) -> DataFrame:
     """By confidence: a link goes if both its rooms have MAX_LINKS kept links already. The kept counts depend on each
-    other, so runs in which both sides reach over MAX_LINKS are walked; their groups are a run's room links."""
+    other, so runs in which both sides reach over MAX_LINKS are walked, as a sorted stream."""
     degree = lambda c: F.count("*").over(Window.partitionBy("run_id", c))
     over = links.withColumn("both", (degree("room_a") > MAX_LINKS) & (degree("room_b") > MAX_LINKS))
     over = over.withColumn("walk", F.max("both").over(Window.partitionBy("run_id"))).drop("both")
-    walked = over.where("walk").drop("walk").groupBy("run_id").applyInPandas(lambda pdf: _cap(pdf.sort_values(["confidence", "room_a", "room_b"], ascending=[False, True, True])), links.schema)
+    dealt = over.where("walk").drop("walk").repartition(F.col("run_id")).sortWithinPartitions("run_id", F.desc("confidence"), "room_a", "room_b")
+    walked = dealt.mapInPandas(_cap, links.schema)
     return over.where("not walk").drop("walk").unionByName(walked)
 
 
@@ -156,6 +169,12 @@ def group_stats(components_: DataFrame, links: DataFrame) -> DataFrame:
     return sized.join(stats, ["run_id", "component"], "left").fillna({"link_count": 0, "max_confidence": 0.0, "avg_confidence": 0.0})
 
 
+def group_order(stats: DataFrame) -> DataFrame:
+    """group_stats with their place in the run: most rooms first, then the best link, then the smallest component."""
+    w = Window.partitionBy("run_id").orderBy(F.desc(F.col("rooms_a") + F.col("rooms_b")), F.desc("max_confidence"), "component")
+    return stats.withColumn("place", F.row_number().over(w))
+
+
 def component_candidates(components_: DataFrame) -> DataFrame:
     """Every room of A with every room of B of its component."""
     side = lambda d, s: components_.where(F.col("node").startswith(f"{d}::")).select("run_id", "component", F.expr("substring(node, 4)").alias(f"room_{s}"))
@@ -186,7 +205,7 @@ def expand(candidates: DataFrame, profiles_: DataFrame, with_ratio: bool = True)
     left, right = b.select("run_id", F.col("room").alias("room_b"), F.col("profile").alias("p1")), b.select("run_id", F.col("room").alias("near"), F.col("profile").alias("p2"))
     pairs = left.join(right, "run_id").where("room_b <> near")
     if with_ratio:
-        pairs = pairs.withColumn("ratio", sequence_ratio(F.array_join(X.room_tokens("room_b", False), " "), F.array_join(X.room_tokens("near", False), " ")))
+        pairs = _with_ratio(pairs, "room_b", "near", False)
     pairs = pairs.withColumn("name", name_similarity(F.col("room_b"), F.col("near"), False, F.col("ratio") if with_ratio else None)).where("name >= 0.74")
     alike = pairs.where((F.col("name") >= 0.90) | ((F.col("name") >= 0.80) & (N.jaccard(F.col("p1"), F.col("p2")) >= 0.06))).select("run_id", "room_b", "near")
     own = candidates.select("run_id", "room_a", "room_b").distinct()
@@ -196,8 +215,9 @@ def expand(candidates: DataFrame, profiles_: DataFrame, with_ratio: bool = True)
 def candidate_rooms(profiles_: DataFrame, links: DataFrame, components_: DataFrame, least: float = 0.6, with_ratio: bool = True) -> DataFrame:
     """The cascade: links and the component's rooms; else soft candidates; then one step of expansion."""
     linked = strong_links(links, least).select("run_id", "room_a", "room_b").union(component_candidates(components_)).distinct()
-    soft = soft_candidates(profiles_, with_ratio=with_ratio).select("run_id", "room_a", "room_b")
-    rest = soft.join(linked.select("run_id", "room_a").distinct(), ["run_id", "room_a"], "left_anti")
+    # only rooms of A without a link are scored softly
+    bare = profiles_.alias("p").join(linked.select("run_id", F.col("room_a").alias("room"), F.lit("A").alias("doc")).distinct(), ["run_id", "doc", "room"], "left_anti")
+    rest = soft_candidates(bare, with_ratio=with_ratio).select("run_id", "room_a", "room_b")
     return expand(linked.union(rest), profiles_, with_ratio)
 
 

@@ -315,16 +315,31 @@ def line_predicates(spark, sf_dir):
     return S.lines(S.items(spark, sf_dir)).groupBy("page").agg(F.count("*").alias("n"), n(X.is_meaningful("text"), "meaningful"), n(X.is_room_heading("text"), "headings"))
 
 
-@query()
+_FIRST = "array_to_string(string_split({}, ' ')[1:{}], ' ')"
+_TRIMMED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query("with " + TEXTS_SQL + rf""", r as (select id, {_TRIMMED.format('s')} raw from tx
+), p as (select *, regexp_extract(raw, '^(\d+)\.\s*(.+)', 1) num, trim(regexp_extract(raw, '^(\d+)\.\s*(.+)', 2)) rest, regexp_replace(raw, '^\d+\.\s*', '') bare from r
+), q as (select *, regexp_replace({_TRIMMED.format(r"regexp_replace(regexp_replace(bare, '(?i)\b\d+(?:\.\d+)?\s*(?:EA|LF|SF|SQ|SY|HR|MO|WK|DAY)\b', '', 'g'), '\$?\d[\d,]*(?:\.\d{{2}})?', '', 'g')")}, '^[ \-:]+|[ \-:]+$', '', 'g') compact from p
+), f as (select id, list_filter(list_transform([case when num <> '' then concat(num, '. ', {_FIRST.format('rest', 2)}) end, case when num <> '' and len(string_split(rest, ' ')) >= 4 then concat(num, '. ', {_FIRST.format('rest', 4)}) end,
+  raw, bare, compact, {_FIRST.format('compact', 8)}, {_FIRST.format('compact', 6)}, {_FIRST.format('compact', 4)}], lambda x: {_TRIMMED.format('x')}), lambda x: x is not null and length(x) >= 4) l from q)
+select id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), ' | ') candidates from f""".replace("\\\\", "\\"))
 def locator_candidates(spark, sf_dir):
-    return _texts(spark, sf_dir).select("id", X.locator_candidates("s").alias("candidates"))
+    return _texts(spark, sf_dir).select("id", F.array_join(X.locator_candidates("s"), " | ").alias("candidates"))
 
 
-@query()
+@query(r"""with recursive l as (select doc_id, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) s from documents
+), n as (select doc_id, length(s) n, row_number() over (partition by doc_id) k from l
+), w as (select doc_id, k, n size, 1 c from n where k = 1
+  union all select n.doc_id, n.k, case when w.size + n.n + 1 <= 6000 then w.size + n.n + 1 else n.n end, case when w.size + n.n + 1 <= 6000 then w.c else w.c + 1 end from w join n on n.doc_id = w.doc_id and n.k = w.k + 1
+), c as (select doc_id, c, max(size) size from w group by doc_id, c
+), s as (select doc_id, string_agg(cast(size as varchar), ',' order by c) sizes from c group by doc_id)
+select d.doc_id, coalesce(sizes, '') sizes from documents d left join s on s.doc_id = d.doc_id""")
 def text_chunking(spark, sf_dir):
     """Documents' lines packed greedily into chunks of 6000 characters."""
     docs = S.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.transform(X.chunks("text", 6000), F.length).alias("sizes"))
+    return docs.select("doc_id", F.array_join(F.transform(X.chunks("text", 6000), lambda x: F.length(x).cast("string")), ",").alias("sizes"))
 
 
 @query("with " + ITEMS_SQL + " select id, case when amount is null then '-' else concat('$', format('{:,.2f}', round(amount, 2))) end shown from it")
@@ -366,8 +381,11 @@ select g, a_id, b_id, round(w * h / s, 6) overlap from p where w * h / s >= 0.85
 def rect_overlap_theta(spark, sf_dir):
     r = _rectangles(spark, sf_dir)
     side = lambda s: r.select("g", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "x0", "y0", "x1", "y1")))
-    # used means near in y: strips of y as the key, each rectangle with its own and the next ones
-    pairs = side("a").join(side("b"), "g").where("a_id < b_id")
+    # used means near in y: strips of y, higher than any rectangle and the tolerance, as the key; each with its own and the
+    # ones beside it
+    strip = lambda s: F.floor(F.col(f"{s}_y0") / 20).cast("int")
+    beside = side("b").withColumn("strip", F.explode(F.sequence(strip("b") - 1, strip("b") + 1)))
+    pairs = side("a").withColumn("strip", strip("a")).join(beside, ["g", "strip"]).where("a_id < b_id")
     return pairs.where(N.rectangle_used("a_", "b_")).select("g", "a_id", "b_id", F.round(N.overlap_ratio("a_", "b_"), 6).alias("overlap"))
 
 
@@ -572,17 +590,33 @@ def assignment_one_to_one(spark, sf_dir):
     return M.assign_one_to_one(_proposals(spark, sf_dir)).select("run_id", "a_id", _id("b_id"))
 
 
-@query()
+def _greedy_sql(edges: str, out: str) -> str:
+    """Recursive walk over the edges of each room, best score first, with the ids used so far."""
+    return f"""{out}_o as (select *, row_number() over (partition by run_id, room_a order by score desc, a_id, b_id) k from {edges}
+), {out}_w as (select run_id, room_a, k, a_id, b_id, score, true keep, [a_id] ua, [b_id] ub from {out}_o where k = 1
+  union all select o.run_id, o.room_a, o.k, o.a_id, o.b_id, o.score, not (list_contains(w.ua, o.a_id) or list_contains(w.ub, o.b_id)),
+    case when list_contains(w.ua, o.a_id) or list_contains(w.ub, o.b_id) then w.ua else list_append(w.ua, o.a_id) end,
+    case when list_contains(w.ua, o.a_id) or list_contains(w.ub, o.b_id) then w.ub else list_append(w.ub, o.b_id) end
+  from {out}_w w join {out}_o o on o.run_id = w.run_id and o.room_a = w.room_a and o.k = w.k + 1
+), {out} as (select run_id, room_a, a_id, b_id, score from {out}_w where keep)"""
+
+
+EDGES_SQL = PAIRS_SQL + f", ed as (select a.run_id, a.room room_a, a.id a_id, b.id b_id, b.page b_page, round({ALIGN}, 9) score from a join b on a.run_id = b.run_id and a.room = b.room and a.norm = b.norm)"
+
+
+@query("with recursive " + EDGES_SQL + ", " + _greedy_sql("ed", "g") + " select run_id, a_id, b_id, score from g")
 def assignment_greedy_bipartite(spark, sf_dir):
     """Best numbers first among exact candidates, both sides once."""
     edges = _same_room_pairs(S.items(spark, sf_dir)).withColumn("score", F.round(N.metadata_alignment("a_", "b_"), 9))
     return M.greedy_matching(edges).select("run_id", "a_id", "b_id", "score")
 
 
-@query()
+@query("with recursive " + EDGES_SQL + PROPOSALS_SQL[len(ITEMS_SQL) :] + """, held as (select distinct p.run_id, p.room_a, p.b_id from pr p join ed e on e.run_id = p.run_id and e.room_a = p.room_a and e.a_id = p.a_id and e.b_id = p.b_id
+), fe as (select * from ed where not exists (select 1 from held h where h.run_id = ed.run_id and h.room_a = ed.room_a and h.b_id = ed.b_id)), """ + _greedy_sql("fe", "g") + """
+select p.run_id, p.a_id, coalesce(g.b_id, p.b_id, -1) b_id, case when g.b_id is not null then least(1.0, greatest(0.93, confidence)) else confidence end confidence, g.b_id is not null or scope_same scope_same from pr p left join g on g.run_id = p.run_id and g.room_a = p.room_a and g.a_id = p.a_id""")
 def enforced_exact_proposals(spark, sf_dir):
     edges = _same_room_pairs(S.items(spark, sf_dir)).withColumn("score", F.round(N.metadata_alignment("a_", "b_"), 9))
-    return M.enforce_exact(_proposals(spark, sf_dir), edges).select("run_id", "a_id", "b_id", "confidence", "scope_same")
+    return M.enforce_exact(_proposals(spark, sf_dir), edges).select("run_id", "a_id", _id("b_id"), "confidence", "scope_same")
 
 
 _AGAIN = "(b_id is null or confidence < 0.50 or (not scope_same and confidence < 0.68))"
@@ -639,7 +673,16 @@ def lines_parse_items(spark, sf_dir):
     return E.parse_items(S.lines(S.items(spark, sf_dir))).select("run_id", "doc", "page", "line_no", "amount")
 
 
-@query()
+_HEAD = r"regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(?i)^\s*continued\s*-\s*', ''), '^[ \-:\t]+|[ \-:\t]+$', '', 'g')"
+
+
+@query("with " + LINES_SQL + f""", h as (select *, {_HEAD} s from ln
+), i as (select *, length(s) between 3 and 72 and not regexp_matches(s, '^\\s*\\d{{1,4}}\\s*[.)]\\s+') and not regexp_matches(lower(s), '\\b({"|".join(X.TABLE_HEADER_WORDS + X.NON_ROOM_WORDS)})\\b')
+  and not contains(s, '$') and len(regexp_extract_all(lower(s), '[a-z0-9'']+')) between 1 and 7 and length(regexp_replace(s, '[^A-Za-z]', '', 'g')) >= 3 and length(regexp_replace(s, '[^0-9]', '', 'g')) <= 3 head from h
+), f as (select *, last_value(case when head then trim(regexp_replace(text, '\\s+', ' ', 'g')) end ignore nulls) over (partition by run_id, doc, page order by line_no rows between unbounded preceding and current row) room from i
+), n as (select *, cast(nullif(regexp_extract(text, '^\\s*(\\d{{1,4}})\\s*[.)]\\s+', 1), '') as int) number from f where not head
+), r as (select *, row_number() over (partition by run_id, doc, page, number order by line_no desc) k from n where number is not null and room is not null)
+select run_id, doc, page, number, room from r where k = 1""".replace("\\\\", "\\"))
 def page_room_numbers(spark, sf_dir):
     """Rooms of item numbers by the headings of their page."""
     return E.rooms_by_number(S.lines(S.items(spark, sf_dir)))
@@ -661,11 +704,11 @@ def page_index_coverage(spark, sf_dir):
 
 @query("with " + ITEMS_SQL + r""", l as (select run_id, doc, page, id, room, page number, row_number() over (partition by run_id, doc, page order by id) k from it
 ), r as (select run_id, doc, page, upper(room) doc_room, row_number() over (partition by run_id, doc, page order by id) k from it where id % 3 <> 0)
-select l.run_id, l.doc, l.page, l.id, coalesce(r.doc_room, l.room) room from l left join r on l.run_id = r.run_id and l.doc = r.doc and l.page = r.page and l.k = r.k""")
+select l.run_id, l.doc, l.page, l.id, coalesce(r.doc_room, l.room) room, row_number() over (partition by l.run_id, l.doc, l.page order by l.number, l.id) place from l left join r on l.run_id = r.run_id and l.doc = r.doc and l.page = r.page and l.k = r.k""")
 def occurrence_join(spark, sf_dir):
     items = S.items(spark, sf_dir)
     rooms = items.where("id % 3 <> 0").select("run_id", "doc", "page", F.col("id").alias("line_no"), X.item_number("description").alias("number"), F.upper("room").alias("room"))
-    return E.join_by_occurrence(items, rooms).select("run_id", "doc", "page", "id", "room")
+    return E.join_by_occurrence(items, rooms).select("run_id", "doc", "page", "id", "room", F.col("place").cast("bigint").alias("place"))
 
 
 _SIG = r"array_to_string(regexp_extract_all(lower(room), '[a-z0-9'']+')[1:4], ' ') sr, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(trim(description), '^\d+\.\s*', '')), '[a-z0-9'']+'), lambda t: length(t) > 2)[1:9], ' ') sd, round(amount, 2) sa"
@@ -720,7 +763,9 @@ def extraction_counters(spark, sf_dir):
     return E.extraction_counters(items).drop("usage")
 
 
-@query()
+@query("with " + ITEMS_SQL + """ select run_id, doc, id, concat('{"id":', cast(id as varchar), ',"room":"', room, '","description":"', case when length(trim(description)) > 180 then concat(substr(trim(description), 1, 177), '...') else trim(description) end, '"',
+  case when amount is not null then concat(',"amount":', cast(amount as varchar)) else '' end, ',"quantity":', cast(quantity as varchar), ',"unit":"', unit, '"', case when unit_price is not null then concat(',"unit_price":', cast(unit_price as varchar)) else '' end,
+  case when amount is null then ',"amount":null' else '' end, '}') brief from it""")
 def brief_item_payloads(spark, sf_dir):
     return M.brief_items(S.items(spark, sf_dir))
 

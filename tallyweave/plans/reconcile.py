@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -38,21 +39,28 @@ def map_rooms(items: DataFrame, judge: Callable[[DataFrame], DataFrame] | None =
     return rooms_.cap_links(rooms_.merge_links(*groups))
 
 
-def first_pass(items: DataFrame, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Offline proposals for every item of A, exact wording enforced, and the scored pairs of exact names."""
+def first_pass(items: DataFrame, blocks: DataFrame | None = None, near: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Offline proposals for every item of A, exact wording enforced; the scored pairs of exact names; and the proposals
+    before that. near: whether names that are only alike are proposed too."""
     a, b = M.sides(items, blocks)
     edges = stored(M.exact_edges(M.exact_hints(a, b), a, b), "exact-edges")
-    proposals = stored(M.offline_proposals(a, edges, M.near_hints(a, b)), "offline")
-    return M.enforce_exact(proposals, edges), edges
+    alike = M.near_hints(a, b) if near else items.sparkSession.createDataFrame([], "run_id string, room_a string, a_id bigint, b_id bigint, similarity double, rank int")
+    proposals = stored(M.offline_proposals(a, edges, alike), "offline")
+    return M.enforce_exact(proposals, edges), edges, proposals
 
 
-def second_pass(first: DataFrame, edges: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What second says of the uncertain rows, exact wording enforced among these, coalesced with the first pass."""
+def second_pass(first: DataFrame, edges: DataFrame, proposals: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What second says of the uncertain rows, the best answer for each, exact wording enforced among these, coalesced
+    with the first pass. Where second fails, the offline proposals for these rows stand in for it."""
     cols = ["b_id", "scope_same", "confidence", "critical_blue"]
     unsure = first.where("uncertain")
     asked = unsure.select("run_id", "room_a", "a_id")
-    said = second(unsure).select("run_id", "a_id", *cols, F.lit(True).alias("said"))
-    answers = stored(asked.join(said, ["run_id", "a_id"], "left"), "second-pass")
+    try:
+        said = M.best_by_item(second(unsure).select("run_id", "a_id", *cols, F.coalesce("b_id", F.lit(-1)).alias("pos"))).select("run_id", "a_id", *cols, F.lit(True).alias("said"))
+        answers = stored(asked.join(said, ["run_id", "a_id"], "left"), "second-pass")
+    except Exception as error:  # noqa: BLE001  a reviewer that fails must not end the run
+        warnings.warn(f"second pass failed, offline proposals stand in: {error}", stacklevel=2)
+        return M.coalesce_passes(first, proposals.join(asked, ["run_id", "room_a", "a_id"], "left_semi"))
     reviewed = M.enforce_exact(answers, edges.join(asked, ["run_id", "room_a", "a_id"], "left_semi")).where("said or b_id is not null")
     return M.coalesce_passes(first, reviewed)
 
@@ -63,10 +71,10 @@ def reconcile(items: DataFrame, judge: Callable | None = None, second: Callable[
     components = rooms_.components(items.select("run_id", "doc", "room").distinct(), links, max(0.40, least - 0.18))
     profiles = rooms_.profiles(items, rooms_.X.match_tokens)
     blocks = stored(rooms_.candidate_rooms(profiles, links, components, least), "room-blocks")
-    proposals, edges = first_pass(items, blocks)
+    proposals, edges, offline = first_pass(items, blocks)
     if second is not None:
         first = stored(M.uncertain(proposals), "first-pass")
-        proposals = second_pass(first, edges, second).drop("uncertain")
+        proposals = second_pass(first, edges, offline, second).drop("uncertain")
     assigned = stored(M.assign_one_to_one(proposals), "assigned")
     pairs = stored(C.classify(C.with_sides(assigned, items)), "pairs")
     nuggets = C.nuggets(items, assigned, links)

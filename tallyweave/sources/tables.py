@@ -89,13 +89,20 @@ def from_payload(df: DataFrame, schema: str, column: str = "payload") -> DataFra
     return df.select(*keys, F.from_json(column, schema).alias("p")).select(*keys, "p.*")
 
 
+_LOCAL: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read back."""
+    """df written to the folder that all executors share (spark.checkpoint.dir) and read back. Without one, a local
+    folder serves if the master is local (tests); on a cluster that is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tallyweave-"))
+        folder = _LOCAL[0]
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
