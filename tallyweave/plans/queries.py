@@ -32,6 +32,7 @@ TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9'']+')"
 PROFILE = f"list_distinct(list_filter({TOKENS}, lambda t: length(t) > 2))"
 NORM = f"array_to_string(list_filter(regexp_extract_all(regexp_replace(trim(lower(coalesce({{}}, ''))), '^\\s*\\d+\\s*[.)]\\s*', ''), '[a-z0-9'']+'), lambda t: not list_contains({STOP}, t)), ' ')"
 UNIT_SQL = "coalesce(map {{" + ", ".join(f"'{k}': '{v}'" for k, v in X.UNITS.items()) + "}}[lower(trim(coalesce({}, '')))], lower(trim(coalesce({}, ''))))"
+TEXTS_SQL = "tx as (select p_partkey id, concat(cast(p_size as varchar), case when p_size % 2 = 0 then '. ' else ') ' end, 'The ', p_name, ' & ', p_type, '  for  ', cast(p_size as varchar), '/4', case p_size % 3 when 0 then '\"' when 1 then '-ply' else ' gallons' end, ' two coat') s from part)"
 LINES_SQL = ITEMS_SQL + """, li as (
  select run_id, doc, room, row_number() over (partition by run_id, doc, room order by id) n, substr(description, 4) nm, quantity, amount from it
 ), rm as (select run_id, doc, room, max(n) cnt, sum(coalesce(cast(amount as decimal(18,2)), 0)) tot, row_number() over (partition by run_id, doc order by room) page from li group by run_id, doc, room
@@ -51,6 +52,7 @@ def _have(f: str) -> str:
 
 
 FIELDS = ("amount", "quantity", "unit_price")
+_HEAD = r"regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(?i)^\s*continued\s*-\s*', ''), '^[ \-:\t]+|[ \-:\t]+$', '', 'g')"
 COMPARABLE = "(" + " or ".join(map(_have, FIELDS)) + ")"
 NO_MISMATCH = "(" + " and ".join(f"not ({_have(f)} and {_diff('a.' + f, 'b.' + f)} > 0.02)" for f in FIELDS) + ")"
 WITHIN = f"""(case when {COMPARABLE} then {NO_MISMATCH}
@@ -111,14 +113,18 @@ def _exact_proposals(items: DataFrame) -> DataFrame:
     return out.select(*key, "a_id", "a_page", "b_id", F.col("b_id").isNotNull().alias("scope_same"), F.when(F.col("b_id").isNotNull(), 0.93).otherwise(0.0).alias("confidence"), F.lit(False).alias("critical_blue"))
 
 
-def _flagship(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    items = S.items(spark, sf_dir)
-    assigned = M.assign_one_to_one(_exact_proposals(items))
+def _flagship(spark: SparkSession, sf_dir: str, critical: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items and assignments, each worked out once for all that reads them, and classified pairs."""
+    items = S.stored(S.items(spark, sf_dir), "items")
+    proposals = _exact_proposals(items)
+    if critical:
+        proposals = proposals.withColumn("critical_blue", F.col("a_id") % 97 == 0)
+    assigned = S.stored(M.assign_one_to_one(proposals), "assigned")
     return items, assigned, C.classify(C.with_sides(assigned, items))
 
 
-def _with_nuggets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, assigned, pairs = _flagship(spark, sf_dir)
+def _with_nuggets(spark: SparkSession, sf_dir: str, critical: bool = False) -> DataFrame:
+    items, assigned, pairs = _flagship(spark, sf_dir, critical)
     links = G.exact_links(items.select("run_id", "doc", "room").distinct())
     null = F.lit(None).cast("bigint")
     rows = pairs.select("run_id", "room_a", F.col("b_room").alias("room_b"), "a_id", "b_id", "status", "rationale")
@@ -151,9 +157,7 @@ def nugget_antijoin_dedupe(spark, sf_dir):
 
 @query("with " + FLAGSHIP_SQL + " select run_id, a_id, a_id % 97 = 0 as critical_blue from cls where status = 'blue'")
 def unmatched_a_blue(spark, sf_dir):
-    items = S.items(spark, sf_dir)
-    assigned = M.assign_one_to_one(_exact_proposals(items).withColumn("critical_blue", F.col("a_id") % 97 == 0))
-    pairs = C.classify(C.with_sides(assigned, items))
+    pairs = _flagship(spark, sf_dir, True)[2]
     return pairs.where("status = 'blue'").select("run_id", "a_id", F.col("rationale").contains("[CRITICAL_BLUE]").alias("critical_blue"))
 
 
@@ -169,14 +173,43 @@ def totals_gap(spark, sf_dir):
     return t.select("run_id", *(F.round(c, 2).alias(c) for c in ("total_a", "total_b", "gap")))
 
 
-@query("with " + FLAGSHIP_SQL + """, cr as (select run_id, a_id, row_number() over (partition by run_id order by a_id) k from cls where status = 'blue' and a_id % 97 = 0
+@query("with " + FLAGSHIP_SQL + """, cr as (select run_id, a_id, row_number() over (partition by run_id order by a_id) k from cls where status = 'blue' and a_id % 97 = 0 and a_id % 13 <> 0
 ), ex as (select run_id, count(*) n, string_agg(cast(a_id as varchar), ',' order by a_id) filter (where k <= 8) s from cr group by run_id
-), q as (select run_id, count(*) n from cls group by run_id)
-select q.run_id, q.n total_a_rows, q.n matched_a_rows, coalesce(ex.n, 0) critical_blue, coalesce(ex.s, '') critical_examples, cast(0 as bigint) missing_a_rows from q left join ex on ex.run_id = q.run_id""")
+), q as (select run_id, count(*) n, count(*) filter (where a_id % 13 <> 0) m from cls group by run_id)
+select q.run_id, q.n total_a_rows, q.m matched_a_rows, coalesce(ex.n, 0) critical_blue, coalesce(ex.s, '') critical_examples, q.n - q.m missing_a_rows from q left join ex on ex.run_id = q.run_id""")
 def coverage_audit(spark, sf_dir):
-    items = S.items(spark, sf_dir)
-    assigned = M.assign_one_to_one(_exact_proposals(items).withColumn("critical_blue", F.col("a_id") % 97 == 0))
-    return C.coverage_audit(items, C.classify(C.with_sides(assigned, items)))
+    """Rows of every thirteenth item of A are lost before the audit, which has to miss them."""
+    items, _, pairs = _flagship(spark, sf_dir, True)
+    return C.coverage_audit(items, pairs.where("a_id % 13 <> 0"))
+
+
+_SPEC = r"(list_sort(list_distinct(list_concat(regexp_extract_all({0}, '\b\d+/\d+\b'), list_transform(regexp_extract_all({0}, '\b\d+(?:/\d+)?\s*(?:[-–]\s*)?(?:coat|ply|gauge|ga|mil|inch|in\b)'), lambda m: regexp_replace(m, '[\s\-–]', '', 'g'))))))"
+
+
+@query("with " + FLAGSHIP_SQL + rf""", sp as (select p.run_id, p.a_id, p.b_id, case when p.a_id % 3 = 0 then '' when p.a_id % 3 = 1 then ' 1/2 inch' else ' 5/8 inch' end ta, case when p.b_id % 2 = 0 then ' 1/2 inch' else ' 3-ply' end tb, {WITHIN} wi, {UNITS_DIFFER} ud, {COMPARABLE} cmp,
+   concat_ws(', ', {", ".join(f"case when {_have(f)} and {_diff('a.' + f, 'b.' + f)} > 0.02 then '{f}' end" for f in FIELDS)}) dif
+  from asg p join a on a.run_id = p.run_id and a.id = p.a_id left join b on b.run_id = p.run_id and b.id = p.b_id
+), mk as (select *, {_SPEC.format('ta')} sa, {_SPEC.format('tb')} sb from sp)
+select run_id, a_id, case when b_id is null then 'blue' when wi and not ud and not (len(sa) > 0 and len(sb) > 0 and sa <> sb) then 'green' else 'orange' end status,
+  case when b_id is not null and dif <> '' then concat('differs: ', dif) else '' end rationale from mk""")
+def classify_spec_guard(spark, sf_dir):
+    """Descriptions with measures: green falls to orange where both sides name other ones; the reasons that are given."""
+    items, assigned, _ = _flagship(spark, sf_dir)
+    pairs = C.with_sides(assigned, items)
+    mark_a = F.when(F.col("a_id") % 3 == 0, "").when(F.col("a_id") % 3 == 1, " 1/2 inch").otherwise(" 5/8 inch")
+    mark_b = F.when(F.col("b_id") % 2 == 0, " 1/2 inch").otherwise(" 3-ply")
+    pairs = pairs.withColumns({"a_description": F.concat("a_description", mark_a), "b_description": F.concat("b_description", mark_b)})
+    return C.classify(pairs).select("run_id", "a_id", "status", "rationale")
+
+
+@query("with " + TEXTS_SQL + f" select id, array_to_string(list_sort(list_distinct(list_filter(string_split({NORM.format('s')}, ' '), lambda t: t <> ''))), ' ') tokens from tx")
+def description_token_set(spark, sf_dir):
+    return _texts(spark, sf_dir).select("id", _joined(X.description_tokens("s")).alias("tokens"))
+
+
+@query("with " + LINES_SQL + f", h as (select {_HEAD} heading from ln) select heading, count(*) n from h group by heading")
+def room_heading_normalized(spark, sf_dir):
+    return S.lines(S.items(spark, sf_dir)).select(X.room_heading("text").alias("heading")).groupBy("heading").agg(F.count("*").alias("n"))
 
 
 REPORT_SQL = FLAGSHIP_SQL + """, rr as (
@@ -204,16 +237,53 @@ def nugget_chunks(spark, sf_dir):
     return R.nugget_chunks(rows).select("run_id", "b_id", "chunk")
 
 
-@query()
+def _cut_sql(c: str, n: int) -> str:
+    return f"(case when length(trim(coalesce({c}, ''))) > {n} then concat(substr(trim(coalesce({c}, '')), 1, {n - 3}), '...') else trim(coalesce({c}, '')) end)"
+
+
+_MONEY = "(case when {0} is null then '-' else concat('$', format('{{:,.2f}}', {0})) end)"
+_PCT = "(case when a_amt is null or b_amt is null then null else abs(a_amt - b_amt) / greatest(abs(b_amt), 1e-9) * 100 end)"
+_TOTAL = f"(case when {_PCT} is not null then concat('total diff ', format('{{:,.1f}}', {_PCT}), '%') end)"
+_QTY = "concat('qty: ', coalesce(cast(aq as varchar), 'None'), ' vs ', coalesce(cast(bq as varchar), 'None'))"
+_PRICE = f"concat('unit price: ', {_MONEY.format('ap')}, ' vs ', {_MONEY.format('bp')})"
+_DIFFERS = "({0} is not null and {1} is not null and abs({0} - {1}) > 1e-6)"
+_PREFIX = r"(case when regexp_extract(a_desc, '^\s*(\d+)\s*[.)]\s*', 1) <> '' then concat('[#', regexp_extract(a_desc, '^\s*(\d+)\s*[.)]\s*', 1), '] ') else '' end)"
+_WHY = "(case when status = 'blue' and a_id % 97 = 0 then '[CRITICAL_BLUE] ' else '' end)"
+COMMENTS_SQL = REPORT_SQL + f""", q as (select rr.*, a.quantity aq, b.quantity bq, a.unit au, b.unit bu, a.unit_price ap, b.unit_price bp, a.amount aa, coalesce(b.room, rr.room_a) room_b,
+   concat_ws(', ', case when a.amount is not null and b.amount is not null and {_diff('a.amount', 'b.amount')} > 0.02 then 'amount' end, case when a.quantity is not null and b.quantity is not null and {_diff('a.quantity', 'b.quantity')} > 0.02 then 'quantity' end, case when a.unit_price is not null and b.unit_price is not null and {_diff('a.unit_price', 'b.unit_price')} > 0.02 then 'unit_price' end) dif
+  from rr left join a on a.run_id = rr.run_id and a.id = rr.a_id left join b on b.run_id = rr.run_id and b.id = rr.b_id
+), t as (select *, {_PREFIX} pre, {_cut_sql('room_a', 50)} ra, case when status = 'blue' then '' else {_cut_sql('room_b', 50)} end rb, {_cut_sql('a_desc', 140)} ad, {_cut_sql('b_desc', 140)} bd, {_MONEY.format('a_amt')} ma, {_MONEY.format('b_amt')} mb,
+   concat_ws('; ', {_TOTAL}, case when {_DIFFERS.format('aq', 'bq')} then {_QTY} end, case when {_DIFFERS.format('ap', 'bp')} then {_PRICE} end, case when au <> '' and bu <> '' and upper(au) <> upper(bu) then concat('unit: ', au, ' vs ', bu) end) od,
+   concat_ws('; ', {_TOTAL}, case when aq is not null or bq is not null then {_QTY} end, case when ap is not null or bp is not null then {_PRICE} end) gd, case when dif <> '' then concat('differs: ', dif) else '' end why from q)
+select run_id, coalesce(a_id, -1) a_id, coalesce(b_id, -1) b_id, status, case status
+  when 'blue' then case when a_id % 97 = 0 then concat(pre, 'Room: ', ra, '. High-priority JDR-only scope item "', ad, '" at ', ma, ' was not found in the insurance estimate. Review for potential scope omission.')
+    else concat(pre, 'Room: ', ra, '. The contractor estimate includes "', ad, '" at ', ma, ', but no comparable item was found in the insurance estimate.') end
+  when 'orange' then concat(pre, 'Rooms: ', ra, ' vs ', rb, '. Contractor lists "', ad, '" at ', ma, ' while insurance lists "', bd, '" at ', mb, ' (', case when od <> '' then od else 'difference: n/a' end, ').', case when why <> '' then concat(' ', why) else '' end)
+  when 'green' then concat(pre, 'Rooms: ', ra, ' vs ', rb, '. Items align: contractor "', ad, '" at ', ma, ' and insurance "', bd, '" at ', mb, ' (', case when gd <> '' then gd else 'within tolerance' end, ').')
+  else concat('Insurance-only nugget for mapped room ', ra, '. Insurance includes "', bd, '" at ', mb, ' with no matched JDR line item.') end as "comment",
+  case status when 'green' then '86efac' when 'orange' then 'fdba74' when 'blue' then '93c5fd' else 'fde68a' end highlight, case status when 'green' then '22c55e' when 'orange' then 'f97316' when 'blue' then '3b82f6' else 'e1a600' end note,
+  case when status = 'nugget' then concat({_cut_sql('room_b', 36)}, ': ', {_cut_sql('b_desc', 90)}, ' (', mb, ')') else '' end nugget_line from t"""
+
+
+@query("with " + COMMENTS_SQL)
 def report_comments(spark, sf_dir):
-    """Comment, colours and notes of each report row; numbers in texts are written differently by engines."""
-    rows = R.once_each(R.in_order(R.report_rows(_with_nuggets(spark, sf_dir), S.items(spark, sf_dir))))
-    return rows.select("run_id", "place", "status", R.comment().alias("comment"), R.colour(F.col("status")).alias("highlight"), R.colour(F.col("status"), R.NOTE).alias("note"))
+    """Comment, colours, notes and nugget line of each report row, critical ones among them."""
+    rows = R.once_each(R.in_order(R.report_rows(_with_nuggets(spark, sf_dir, True), S.items(spark, sf_dir))))
+    line = F.when(F.col("status") == "nugget", R.nugget_line()).otherwise("")
+    return rows.select("run_id", _id("a_id"), _id("b_id"), "status", R.comment().alias("comment"), R.colour(F.col("status")).alias("highlight"), R.colour(F.col("status"), R.NOTE).alias("note"), line.alias("nugget_line"))
 
 
-@query("with " + REPORT_SQL + """ select run_id, count(*) "rows", count(*) filter (where status <> 'nugget') annotated, count(*) filter (where status = 'nugget') nuggets, cast(0 as bigint) critical, count(distinct a_page) pages from rr group by run_id""")
+@query("with " + REPORT_SQL + """, pg as (select run_id, 3 + cast(run_id as int) % 4 n from it group by run_id) select rr.run_id, coalesce(a_id, -1) a_id, coalesce(b_id, -1) b_id from rr join pg on pg.run_id = rr.run_id where status = 'nugget' or a_page between 1 and n""")
+def report_kept_pages(spark, sf_dir):
+    """Runs of three to six kept pages: rows of items beyond them are left out."""
+    items = S.items(spark, sf_dir)
+    pages = items.select("run_id", (F.col("run_id").cast("int") % 4 + 3).alias("n_pages")).distinct()
+    return R.on_kept_pages(R.report_rows(_with_nuggets(spark, sf_dir), items), pages).select("run_id", _id("a_id"), _id("b_id"))
+
+
+@query("with " + REPORT_SQL + """ select run_id, count(*) "rows", count(*) filter (where status <> 'nugget') annotated, count(*) filter (where status = 'nugget') nuggets, count(*) filter (where status = 'blue' and a_id % 97 = 0) critical, count(distinct a_page) pages from rr group by run_id""")
 def render_stats(spark, sf_dir):
-    return R.render_stats(R.report_rows(_with_nuggets(spark, sf_dir), S.items(spark, sf_dir)))
+    return R.render_stats(R.report_rows(_with_nuggets(spark, sf_dir, True), S.items(spark, sf_dir)))
 
 
 # scans ----------------------------------------------------------------------------------------------------------
@@ -246,9 +316,6 @@ def matches_status_limit(spark, sf_dir):
 
 # text -----------------------------------------------------------------------------------------------------------
 
-TEXTS_SQL = "tx as (select p_partkey id, concat(cast(p_size as varchar), case when p_size % 2 = 0 then '. ' else ') ' end, 'The ', p_name, ' & ', p_type, '  for  ', cast(p_size as varchar), '/4', case p_size % 3 when 0 then '\"' when 1 then '-ply' else ' gallons' end, ' two coat') s from part)"
-
-
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(F.col("p_size") % 2 == 0, ". ").otherwise(") ")
     kind = F.when(F.col("p_size") % 3 == 0, '"').when(F.col("p_size") % 3 == 1, "-ply").otherwise(" gallons")
@@ -479,21 +546,15 @@ def best_room_argmax(spark, sf_dir):
     return C.best_room(_links(spark, sf_dir).withColumn("confidence", F.round("confidence", 9)))
 
 
-#: rooms with a link only if their names' numbers add up so, which makes components of several sizes
-_THIN = "where (length(room_a) + length(room_b)) % 3 = 0"
-COMPONENTS_SQL = "recursive " + PAIR_SCORES_SQL + f""", lk as (select run_id, room_a, room_b, combined confidence from sc {_THIN} and combined >= 0.42
-), nd as (select distinct run_id, concat(doc, '::', room) node from it
-), ed as (select run_id, concat('A::', room_a) u, concat('B::', room_b) v from lk union all select run_id, concat('B::', room_b), concat('A::', room_a) from lk
-), rc as (select run_id, node, node c from nd union select r.run_id, e.v, r.c from rc r join ed e on e.run_id = r.run_id and e.u = r.node
-), cp as (select run_id, node, min(c) component from rc group by run_id, node)"""
-
-
-def _thin_links(spark, sf_dir):
-    return _scores(spark, sf_dir).where("(length(room_a) + length(room_b)) % 3 = 0").select("run_id", "room_a", "room_b", F.col("combined").alias("confidence"))
+FLOOR = 0.48
+COMPONENTS_SQL = "recursive " + LINKS_SQL + f""", nd as (select distinct run_id, concat(doc, '::', room) node from it
+), ed as (select run_id, concat('A::', room_a) u, concat('B::', room_b) v from ml where confidence >= {FLOOR} union all select run_id, concat('B::', room_b), concat('A::', room_a) from ml where confidence >= {FLOOR}
+), cp(run_id, node, component) using key (run_id, node) as (select run_id, node, node from nd
+  union select e.run_id, e.v, min(w.component) from cp w join ed e on e.run_id = w.run_id and e.u = w.node join recurring.cp c on c.run_id = e.run_id and c.node = e.v where w.component < c.component group by e.run_id, e.v)"""
 
 
 def _components(spark, sf_dir):
-    return G.components(S.items(spark, sf_dir).select("run_id", "doc", "room").distinct(), _thin_links(spark, sf_dir), 0.42)
+    return G.components(S.items(spark, sf_dir).select("run_id", "doc", "room").distinct(), _links(spark, sf_dir), FLOOR)
 
 
 @query("with " + COMPONENTS_SQL + " select run_id, node, component from cp")
@@ -501,13 +562,16 @@ def room_components(spark, sf_dir):
     return _components(spark, sf_dir)
 
 
-@query("with " + COMPONENTS_SQL + """, st as (select x.run_id, x.component, count(*) link_count, max(combined) hi, avg(combined) av from sc join cp x on x.run_id = sc.run_id and x.node = concat('A::', room_a)
-  join cp y on y.run_id = sc.run_id and y.node = concat('B::', room_b) and x.component = y.component where (length(room_a) + length(room_b)) % 3 = 0 group by x.run_id, x.component
+@query("with " + COMPONENTS_SQL + """, st as (select x.run_id, x.component, count(*) link_count, max(confidence) hi, avg(confidence) av from ml join cp x on x.run_id = ml.run_id and x.node = concat('A::', room_a)
+  join cp y on y.run_id = ml.run_id and y.node = concat('B::', room_b) and x.component = y.component group by x.run_id, x.component
 ), sz as (select run_id, component, count(*) filter (where node like 'A::%') rooms_a, count(*) filter (where node like 'B::%') rooms_b from cp group by run_id, component)
-select sz.run_id, sz.component, rooms_a, rooms_b, coalesce(link_count, 0) link_count, round(coalesce(hi, 0) + 1e-9, 6) max_confidence, round(coalesce(av, 0) + 1e-9, 6) avg_confidence from sz left join st on st.run_id = sz.run_id and st.component = sz.component""")
+select sz.run_id, sz.component, rooms_a, rooms_b, coalesce(link_count, 0) link_count, round(coalesce(hi, 0) + 1e-9, 6) max_confidence, round(coalesce(av, 0) + 1e-9, 6) avg_confidence,
+ row_number() over (partition by sz.run_id order by rooms_a + rooms_b desc, round(coalesce(hi, 0) + 1e-9, 6) desc, sz.component) place from sz left join st on st.run_id = sz.run_id and st.component = sz.component""")
 def room_group_stats(spark, sf_dir):
-    g = G.group_stats(_components(spark, sf_dir), _thin_links(spark, sf_dir))
-    return g.select("run_id", "component", "rooms_a", "rooms_b", "link_count", F.round(F.col("max_confidence") + 1e-9, 6).alias("max_confidence"), F.round(F.col("avg_confidence") + 1e-9, 6).alias("avg_confidence"))
+    """Groups in order: most rooms, then the best link."""
+    g = G.group_stats(_components(spark, sf_dir), _links(spark, sf_dir))
+    g = g.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("max_confidence", "avg_confidence")})
+    return G.group_order(g).select("run_id", "component", "rooms_a", "rooms_b", "link_count", "max_confidence", "avg_confidence", F.col("place").cast("bigint").alias("place"))
 
 
 @query("with " + COMPONENTS_SQL + " select a.run_id, substr(a.node, 4) room_a, substr(b.node, 4) room_b from cp a join cp b on a.run_id = b.run_id and a.component = b.component where a.node like 'A::%' and b.node like 'B::%'")
@@ -521,10 +585,11 @@ def room_component_counts(spark, sf_dir):
     return G.component_counts(_components(spark, sf_dir))
 
 
-@query("with " + PAIR_SCORES_SQL + """, tp as (select run_id, room_a, room_b, combined confidence, max(combined) over (partition by run_id, room_a) top, row_number() over (partition by run_id, room_a order by combined desc, room_b) r from sc where (length(room_a) + length(room_b)) % 3 = 0)
+@query("with " + PAIR_SCORES_SQL + """, tp as (select run_id, room_a, room_b, combined confidence, max(combined) over (partition by run_id, room_a) top, row_number() over (partition by run_id, room_a order by combined desc, room_b) r from sc)
 select run_id, room_a, room_b from tp where confidence >= 0.6 or (top < 0.6 and top >= 0.45 and confidence >= greatest(0.45, top - 0.12) and r <= 3)""")
 def room_strong_links(spark, sf_dir):
-    return G.strong_links(_thin_links(spark, sf_dir)).select("run_id", "room_a", "room_b")
+    """Of every scored pair, not only of the links that mapping keeps, so that both rules act."""
+    return G.strong_links(_scores(spark, sf_dir).withColumn("confidence", F.col("combined"))).select("run_id", "room_a", "room_b")
 
 
 @query()
@@ -532,7 +597,7 @@ def room_candidate_cascade(spark, sf_dir):
     """Links, components, soft candidates, expansion."""
     items = S.items(spark, sf_dir)
     profiles = G.profiles(items, X.match_tokens)
-    return G.candidate_rooms(profiles, _thin_links(spark, sf_dir), _components(spark, sf_dir))
+    return G.candidate_rooms(profiles, _links(spark, sf_dir), _components(spark, sf_dir))
 
 
 # items ----------------------------------------------------------------------------------------------------------
@@ -673,9 +738,6 @@ def lines_parse_items(spark, sf_dir):
     return E.parse_items(S.lines(S.items(spark, sf_dir))).select("run_id", "doc", "page", "line_no", "amount")
 
 
-_HEAD = r"regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(?i)^\s*continued\s*-\s*', ''), '^[ \-:\t]+|[ \-:\t]+$', '', 'g')"
-
-
 @query("with " + LINES_SQL + f""", h as (select *, {_HEAD} s from ln
 ), i as (select *, length(s) between 3 and 72 and not regexp_matches(s, '^\\s*\\d{{1,4}}\\s*[.)]\\s+') and not regexp_matches(lower(s), '\\b({"|".join(X.TABLE_HEADER_WORDS + X.NON_ROOM_WORDS)})\\b')
   and not contains(s, '$') and len(regexp_extract_all(lower(s), '[a-z0-9'']+')) between 1 and 7 and length(regexp_replace(s, '[^A-Za-z]', '', 'g')) >= 3 and length(regexp_replace(s, '[^0-9]', '', 'g')) <= 3 head from h
@@ -733,10 +795,16 @@ def item_dedupe_first(spark, sf_dir):
     return E.dedupe_items(S.items(spark, sf_dir)).select("run_id", "doc", "id")
 
 
-@query("with " + ITEMS_SQL + """, s as (select * from it where (id % 90) / 100.0 >= 0.40 and length(description) >= 6) select run_id, doc, count(*) n from s group by run_id, doc""")
+@query("with " + ITEMS_SQL + r""", s as (select run_id, doc, id, case when id % 11 = 0 then ' ' else room end room, case id % 8 when 0 then '12 345 678 90' when 1 then 'one-word' when 2 then 'ab c d e f' when 3 then '- ok -' else description end d from it where (id % 90) / 100.0 >= 0.40
+), c as (select *, regexp_replace(trim(regexp_replace(d, '\s+', ' ', 'g')), '^[ \-:\t]+|[ \-:\t]+$', '', 'g') c from s)
+select run_id, doc, id, case when trim(room) = '' then 'Unspecified' else room end room from c where length(c) >= 6 and len(list_filter(regexp_extract_all(lower(c), '[a-z0-9'']+'), lambda t: length(t) > 2)) >= 2 and length(regexp_replace(c, '[^A-Za-z]', '', 'g')) >= 4""")
 def sanitize_items(spark, sf_dir):
+    """Descriptions of digits, of one word, of short tokens and too short ones among the others; rooms of spaces."""
     items = S.items(spark, sf_dir).withColumn("confidence", (F.col("id") % 90) / 100.0)
-    return E.sanitize(items).groupBy("run_id", "doc").agg(F.count("*").alias("n"))
+    kind = F.col("id") % 8
+    said = F.when(kind == 0, "12 345 678 90").when(kind == 1, "one-word").when(kind == 2, "ab c d e f").when(kind == 3, "- ok -").otherwise(F.col("description"))
+    items = items.withColumn("description", said).withColumn("room", F.when(F.col("id") % 11 == 0, " ").otherwise(F.col("room")))
+    return E.sanitize(items).select("run_id", "doc", "id", "room")
 
 
 @query("""with e as (select cast(user_id as varchar) run_id, 'A' doc, cast(event_id % 40 as int) page, case when value > 95 then 'x summary for dwelling' when value < 5 then 'few words' else repeat('word ', 25) end as text, case when value < 5 then 0.5 else 0.1 end share from events
