@@ -844,6 +844,30 @@ def left_side_preference(spark, sf_dir):
     return R.left_side(r, 612.0).select("id")
 
 
+@query("with recursive " + PAIRS_SQL + f""", ed as (select * from (select a.run_id, a.room room_a, a.id a_id, b.id b_id, b.page b_page, {ALIGN} score, row_number() over (partition by a.run_id, a.id order by b.page, b.id) h
+  from a join b on a.run_id = b.run_id and a.room = b.room and a.norm = b.norm where a.norm <> '') where h <= 8
+), be as (select *, row_number() over (partition by run_id, a_id order by score desc, b_page, b_id) r from ed
+), p0 as (select a.run_id, a.room room_a, a.id a_id, a.page a_page, be.b_id from a left join be on be.run_id = a.run_id and be.a_id = a.id and r = 1
+), e0 as (select * from ed where not exists (select 1 from p0 where p0.run_id = ed.run_id and p0.room_a = ed.room_a and p0.b_id = ed.b_id)), """ + _greedy_sql("e0", "g0") + """
+, f as (select p0.run_id, p0.room_a, p0.a_id, a_page, coalesce(g0.b_id, p0.b_id) b_id, case when p0.a_id % 4 = 0 then 0.4 when coalesce(g0.b_id, p0.b_id) is not null then 0.93 else 0.0 end confidence from p0 left join g0 on g0.run_id = p0.run_id and g0.room_a = p0.room_a and g0.a_id = p0.a_id
+), u as (select run_id, room_a, a_id, case when a_id % 2 = 0 then b_id end b_id, a_id % 5 = 0 and (a_id % 2 <> 0 or b_id is null) critical from f where b_id is null or confidence < 0.50
+), h1 as (select distinct u.run_id, u.room_a, u.b_id from u join ed on ed.run_id = u.run_id and ed.room_a = u.room_a and ed.a_id = u.a_id and ed.b_id = u.b_id
+), e1 as (select ed.* from ed join u on u.run_id = ed.run_id and u.room_a = ed.room_a and u.a_id = ed.a_id where not exists (select 1 from h1 where h1.run_id = ed.run_id and h1.room_a = ed.room_a and h1.b_id = ed.b_id)), """ + _greedy_sql("e1", "g1") + """
+, r as (select u.run_id, u.a_id, coalesce(g1.b_id, u.b_id) b_id, case when g1.b_id is not null then 0.93 else 0.9 end confidence, g1.b_id is null and critical critical from u left join g1 on g1.run_id = u.run_id and g1.room_a = u.room_a and g1.a_id = u.a_id
+), c as (select f.run_id, f.room_a, f.a_id, f.a_page, case when r.a_id is null or (r.b_id is null and f.b_id is not null and f.confidence >= 0.55) then f.b_id else r.b_id end b_id,
+   case when r.a_id is null or (r.b_id is null and f.b_id is not null and f.confidence >= 0.55) then f.confidence else r.confidence end confidence, coalesce(r.critical, false) critical_blue from f left join r on r.run_id = f.run_id and r.a_id = f.a_id)
+select run_id, a_id, case when b_id is not null and row_number() over (partition by run_id, b_id order by room_a, confidence desc, a_page, a_id) = 1 then b_id else -1 end b_id, cast(confidence as double) confidence, critical_blue from c""")
+def reconcile_two_pass(spark, sf_dir):
+    """Both passes of a reconciliation by exact names: exact wording enforced in each, the second by a fixed rule over
+    unsure rows (a fourth are made so), the passes coalesced, then one-to-one."""
+    from .reconcile import first_pass, second_pass
+
+    proposals, edges, offline = first_pass(S.stored(S.items(spark, sf_dir), "items"), near=False)
+    first = proposals.withColumn("confidence", F.when(F.col("a_id") % 4 == 0, 0.4).otherwise(F.col("confidence")))
+    both = second_pass(S.stored(M.uncertain(first), "first-pass"), edges, offline, _second)
+    return M.assign_one_to_one(both.drop("uncertain")).select("run_id", "a_id", _id("b_id"), "confidence", "critical_blue")
+
+
 @query()
 def reconcile_full(spark, sf_dir):
     """Everything: rooms linked and grouped, candidates, near and exact names, statuses; counts by run."""

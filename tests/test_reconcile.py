@@ -165,10 +165,24 @@ def test_second_pass_enforces_exact_wording(spark):
     first = M.uncertain(spark.createDataFrame([("r", "x", 1, 1, None, 0.1, False, False), ("r", "x", 2, 1, None, 0.1, False, True), ("r", "x", 3, 1, 13, 0.9, True, False), ("r", "x", 4, 1, None, 0.1, False, False)], PROPOSAL))
     edges = spark.createDataFrame([("r", "x", a, b, s) for a, b, s in ((1, 11, 0.9), (1, 12, 0.5), (2, 11, 0.8), (2, 12, 0.4), (3, 14, 1.0))], "run_id string, room_a string, a_id bigint, b_id bigint, score double")
     said = lambda asked: asked.select("run_id", "a_id", F.lit(11).cast("bigint").alias("b_id"), F.lit(True).alias("scope_same"), F.lit(0.95).alias("confidence"), F.lit(False).alias("critical_blue")).where("a_id = 2")
-    got = {x["a_id"]: (x["b_id"], x["confidence"]) for x in second_pass(first, edges, said).collect()}
+    got = {x["a_id"]: (x["b_id"], x["confidence"]) for x in second_pass(first, edges, first, said).collect()}
     assert got == {1: (12, 0.93), 2: (11, 0.95), 3: (13, 0.9), 4: (None, 0.1)}
 
 
+def test_second_pass_that_fails_leaves_offline_proposals(spark):
+    cols = "run_id string, room_a string, a_id bigint, a_page int, b_id bigint, scope_same boolean, confidence double, critical_blue boolean, uncertain boolean"
+    first = spark.createDataFrame([("r", "x", 1, 1, 5, True, 0.93, False, False), ("r", "x", 2, 1, None, False, 0.0, False, True)], cols)
+    offline = first.drop("uncertain").withColumns({"b_id": F.lit(7).cast("bigint"), "confidence": F.lit(0.7)})
+    edges = spark.createDataFrame([], "run_id string, room_a string, a_id bigint, b_id bigint, b_page int, score double")
+
+    def fails(df):
+        return df.withColumn("b_id", F.raise_error(F.lit("no answer")).cast("bigint"))
+
+    with pytest.warns(UserWarning, match="second pass failed"):
+        got = {x["a_id"]: (x["b_id"], x["confidence"]) for x in second_pass(first, edges, offline, fails).collect()}
+    assert got == {1: (5, 0.93), 2: (7, 0.7)}
+
+
 def test_judged_links_are_checked(spark):
     items = spark.createDataFrame(ITEM_ROWS, S.ITEMS)
     wrong = lambda asked: spark.createDataFrame([("r", "Nowhere", "Kitchen", 1.0, "made up")], S.ROOM_LINKS)  # noqa: E731, ARG005
