@@ -1,17 +1,16 @@
-"""Removal of passages that an earlier document already has, exact to the byte.
+"""Removal of passages that an earlier document already has, exact to the byte, by a difference cover of bounded depth.
 
-A full suffix array by the difference-cover method (sort sampled suffixes, name them, order the rest by their
-distance to a sampled one, compare neighbours) ships two thirds of all positions several times over; that is many
-times the input. Only a prefix of LENGTH bytes has to be ordered here, so the positions are sampled by content
-instead of by residue, which keeps the cover's property where it is needed: two equal windows of LENGTH bytes hold a
-sampled position at the same offset. The steps are the same ones, with hashes as names:
+Only the first LENGTH bytes of suffixes have to be ordered here, so one level of names is enough:
 
-1. sample: in every window the least hash of K bytes marks a position; its name is that hash. Names that one document
-   alone has drop out, and with them all windows that they mark; what is left are candidate regions.
-2. name the surroundings: everything that the windows of a sampled position span has one name of 128 bits. The same
-   name in an earlier document settles all these windows at once; a sampled name with one surrounding only needs no
-   further look.
-3. the remaining windows are ordered by their own 128-bit names and compared with their neighbours.
+1. Sample the positions whose residue modulo PERIOD is in COVER, a difference cover: of any two positions, both have a
+   sampled one at the same distance, PERIOD - 1 at most. The sampled strings of TUPLE = LENGTH - PERIOD + 1 bytes are
+   sorted, batch by batch and then range by range of names, and told whether another document has them. Two equal windows
+   of LENGTH bytes have a sampled string in common at one offset, so windows without a shared one drop out. Names are
+   hashes of 40 bits here, which may only keep too much.
+2. Merge the rest: the windows of what is left (candidate regions). Everything that the windows around a local mark span
+   has one name of 128 bits; the same name in an earlier document settles all these windows at once, and a mark with one
+   surrounding only needs no further look.
+3. Windows still open are ordered by their own 128-bit names and compared with their neighbours.
 
 Documents are dealt into batches by ranges of the id, so "in an earlier document" is "in a batch of a lower number,
 or in this one under a smaller id". Batches send sorted distinct names to the task of each range of names and get
@@ -28,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ngram_join import _mix
-from .shared import bounded_batches, saved
+from .shared import bounded_batches, saved, shuffle_partitions
 
 LENGTH = 50
-K = 24
+PERIOD, COVER = 13, (0, 1, 3, 9)  # every residue is the difference of two of these
+TUPLE = LENGTH - PERIOD + 1
+K = 24  # bytes whose least hash marks a place in candidate regions
 BATCH_BYTES = 6_000_000
 CHUNK_BYTES = 1_000_000
 MAX_BATCHES = 1 << 16  # splitters are held on the driver
@@ -96,28 +97,40 @@ def chunks(texts: list[bytes]):
         k = z
 
 
-def sampled(buf: np.ndarray, starts: np.ndarray, surround: bool = False):
-    """Sampled positions: number of the text, first and last window start (in buf), name, and, with surround, the
-    surroundings' names and all windows' hashes."""
+def covered(buf: np.ndarray, starts: np.ndarray):
+    """Of each sampled position whose TUPLE bytes lie in one text: number of the text, position in buf, hash."""
+    none = np.zeros(0, "i8")
+    if len(buf) < TUPLE:
+        return none, none, none.view("u8")
+    (h,) = rolling(_SIGNS[buf], (TUPLE,))
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(h)]
+    at = np.arange(len(h)) - starts[text]
+    chosen = np.zeros(PERIOD, bool)
+    chosen[list(COVER)] = True
+    # the string, and the window that it is in, must end in the text
+    p = np.flatnonzero(chosen[at % PERIOD] & (np.arange(len(h)) + TUPLE <= starts[text + 1]) & (np.diff(starts)[text] >= LENGTH))
+    return text[p], p, h[p]
+
+
+def sampled(buf: np.ndarray, starts: np.ndarray):
+    """Marks: number of the text, first and last window start (in buf), name, name of the surroundings, and all windows'
+    hashes."""
     none = np.zeros(0, "i8")
     if len(buf) < LENGTH:
-        return (none, none, none, none.view("u8")) + ((none.view("u8"), none.view("u8")) if surround else ())
+        return none, none, none, none.view("u8"), none.view("u8"), none.view("u8")
     signs = _SIGNS[buf]
-    h, *rest = rolling(signs, (K, LENGTH) if surround else (K,))
+    h, w = rolling(signs, (K, LENGTH))
     at = least_in_window((h >> np.uint64(32)).astype("u4"), LENGTH - K + 1)
     valid = np.ones(len(at), bool)
     for end in starts[1:]:  # windows that run over a text's end
         valid[max(0, end - LENGTH + 1) : end] = False
     s = np.flatnonzero(valid)
     if not len(s):
-        return (none, none, none, none.view("u8")) + ((none.view("u8"), rest[0]) if surround else ())
+        return none, none, none, none.view("u8"), none.view("u8"), w
     p = at[s]
     first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)]))
     s0, s1, p = s[first], s[np.concatenate([first[1:] - 1, [len(s) - 1]])], p[first]
     text = np.searchsorted(starts, s0, "right") - 1
-    if not surround:
-        return text, s0, s1, h[p]
-    w = rest[0]
     c = _mix(w[s0] * _ONE + _mix(w[s1] + np.uint64(3)) + _mix(((p - s0) * 64 + (s1 - s0)).astype("u8")))
     return text, s0, s1, h[p], c, w
 
@@ -127,11 +140,11 @@ def _bucket(name: np.ndarray, n: int) -> np.ndarray:
     return (((name >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype("i8")
 
 
-def _rows(cuts: np.ndarray, columns: list[np.ndarray], batch: int):
+def _rows(cuts: np.ndarray, columns: list[np.ndarray], batch: int, write=np.ndarray.tobytes):
     """A row (bucket, batch, blobs) for each range that has names."""
     n = len(cuts) - 1
     at = [k for k in range(n) if cuts[k] < cuts[k + 1]]
-    return pa.table({"bucket": pa.array(at, pa.int32()), "batch": pa.array([batch] * len(at), pa.int32()), **{f"x{j}": pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in at], pa.binary()) for j, x in enumerate(columns)}})
+    return pa.table({"bucket": pa.array(at, pa.int32()), "batch": pa.array([batch] * len(at), pa.int32()), **{f"x{j}": pa.array([write(x[cuts[k] : cuts[k + 1]]) for k in at], pa.binary()) for j, x in enumerate(columns)}})
 
 
 def _cuts(names: np.ndarray, n: int) -> np.ndarray:
@@ -142,35 +155,47 @@ def _decode_ids(table: pa.Table):
     return table.column("id").to_pylist(), table.column("th").to_pylist()
 
 
-def _pack(names: np.ndarray) -> np.ndarray:
-    """Five bytes of each sorted name, the highest first."""
-    return np.ascontiguousarray(names.astype(">u8").view("u1").reshape(-1, 8)[:, :5])
+_LOW = np.uint64((1 << 24) - 1)
+_STEP = 1 << 24
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    x = np.zeros((len(raw) // 5, 8), "u1")
-    x[:, :5] = np.frombuffer(raw, "u1").reshape(-1, 5)
+def _bytes(x: np.ndarray, n: int) -> bytes:
+    """The low n bytes of each number, the highest first."""
+    return np.ascontiguousarray(x.astype(">u8").view("u1").reshape(-1, 8)[:, 8 - n :]).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    x = np.zeros((len(raw) // n, 8), "u1")
+    x[:, 8 - n :] = np.frombuffer(raw, "u1").reshape(-1, n)
     return x.view(">u8").ravel().astype("u8")
 
 
-_LOW = np.uint64((1 << 24) - 1)
+def _pack(names: np.ndarray) -> bytes:
+    """Sorted distinct names of 40 bits: the first in full, then steps of three bytes, if all are that small."""
+    x = names >> np.uint64(24)
+    step = np.diff(x)
+    if len(step) and step.max() >= _STEP:
+        return b"\x01" + _bytes(x, 5)
+    return b"\x00" + _bytes(x[:1], 5) + _bytes(step, 3)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"\x01":
+        x = _numbers(raw[1:], 5)
+    else:
+        x = np.cumsum(np.concatenate([_numbers(raw[1:6], 5), _numbers(raw[6:], 3)]), dtype="u8")
+    return x << np.uint64(24)
 
 
 def _names(samples: list[tuple], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct sampled names (40 bits) of a batch, and whether two ids of it have each. samples: what sampled
-    gives for each chunk, after the chunk's first text."""
-    names = [h & ~_LOW for _, (_, _, _, h) in samples]
-    owners = [rank[k + text] for k, (text, _, _, _) in samples]
-    if not names:
-        return np.zeros(0, "u8"), np.zeros(0, bool)
-    h, o = np.concatenate(names), np.concatenate(owners)
-    by = np.lexsort((o, h))
-    h, o = h[by], o[by]
+    """Sorted distinct sampled names (40 bits, the low 24 zero) of a batch, and whether two ids of it have each.
+    samples: what covered gives for each chunk, after the chunk's first text."""
+    keys = [(h & ~_LOW) | rank[k + text].astype("u8") for k, (text, _, h) in samples]  # a batch has fewer texts than 2 ** 24
+    keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, "u8")
+    h, owner = keys & ~_LOW, keys & _LOW
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, "i8")
-    if not len(first):
-        return h, np.zeros(0, bool)
-    last = np.concatenate([first[1:] - 1, [len(h) - 1]])
-    return h[first], o[first] != o[last]
+    last = np.concatenate([first[1:] - 1, [len(h) - 1]]) if len(first) else first
+    return h[first], owner[first] != owner[last]
 
 
 def _ranked(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
@@ -188,7 +213,7 @@ def _bits(table: pa.Table, column: str) -> np.ndarray:
     return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
 
 
-def _answers(batch: np.ndarray, order: np.ndarray, sizes: list[int], batches: list[int], flags: dict[str, np.ndarray], bucket: int) -> pa.Table:
+def _answers(sizes: list[int], batches: list[int], flags: dict[str, np.ndarray], bucket: int) -> pa.Table:
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     return pa.table(
         {"bucket": pa.array([bucket] * len(sizes), pa.int32()), "batch": pa.array(batches, pa.int32()), "n": pa.array(sizes, pa.int32())}
@@ -199,15 +224,17 @@ def _answers(batch: np.ndarray, order: np.ndarray, sizes: list[int], batches: li
 def _shared_names(table: pa.Table) -> pa.Table:
     """Of each batch's names in a range: whether another batch has it."""
     parts = [_unpack(b) for b in table.column("x0").to_pylist()]
-    batches, sizes = table.column("batch").to_pylist(), [len(p) for p in parts]
-    h = np.concatenate(parts)
-    by = np.argsort(h, kind="stable")
-    s = h[by]
-    same = s[1:] == s[:-1]
-    hit = np.zeros(len(h), bool)
-    hit[by[1:][same]] = True
-    hit[by[:-1][same]] = True
-    return _answers(h, by, sizes, batches, {"b0": hit}, table.column("bucket")[0].as_py())
+    every = np.sort(np.concatenate(parts))
+    shared = every[1:][every[1:] == every[:-1]]
+    hit = [_among(shared, p) for p in parts]
+    return _answers([len(p) for p in parts], table.column("batch").to_pylist(), {"b0": np.concatenate(hit)}, table.column("bucket")[0].as_py())
+
+
+def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in known, which is sorted."""
+    if not len(known) or not len(x):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
 def _earlier(table: pa.Table, several: bool) -> pa.Table:
@@ -228,27 +255,26 @@ def _earlier(table: pa.Table, several: bool) -> pa.Table:
         many = np.bincount(group, ~repeat) > 1
         flags["b1"] = np.zeros(len(a), bool)
         flags["b1"][by] = many[group]
-    return _answers(a, by, sizes, batches, flags, table.column("bucket")[0].as_py())
+    return _answers(sizes, batches, flags, table.column("bucket")[0].as_py())
 
 
 def _regions(table: pa.Table, answers: pa.Table, n: int) -> pa.Table:
     """Bytes of the batch that may be repeated: batch, id, th, start, t."""
     table, texts, rank = _ranked(table)
     parts = list(chunks(texts))
-    samples = [(k, sampled(buf, starts)) for k, _, buf, starts in parts]
+    samples = [(k, covered(buf, starts)) for k, _, buf, starts in parts]
     names, local = _names(samples, rank)
     shared = names[_bits(answers, "b0") | local] if len(names) else names
     ids, ths = _decode_ids(table)
     out: list[tuple] = []
-    for (_, _, buf, starts), (k, (text, s0, s1, h)) in zip(parts, samples):
-        h = h & ~_LOW
-        if not len(h) or not len(shared):
-            continue
-        at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
-        hit = shared[at] == h
-        text, s0, e = text[hit], s0[hit], s1[hit] + LENGTH
+    for (_, _, buf, starts), (k, (text, p, h)) in zip(parts, samples):
+        hit = _among(shared, h & ~_LOW)
+        text, p = text[hit], p[hit]
         if not len(text):
             continue
+        # the windows that have the shared string within PERIOD bytes of their start
+        s0 = np.maximum(starts[text], p - PERIOD + 1)
+        e = np.minimum(p + LENGTH, starts[text + 1])
         new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (s0[1:] > e[:-1])]))
         ends = e[np.concatenate([new[1:] - 1, [len(e) - 1]])]
         raw = buf.tobytes()
@@ -266,7 +292,7 @@ class _Region:
         self.table, self.texts, self.rank = _ranked(table)
         parts = []
         for k, _, buf, starts in chunks(self.texts):
-            text, s0, s1, h, c, w = sampled(buf, starts, True)
+            text, s0, s1, h, c, w = sampled(buf, starts)
             size = s1 - s0 + 1
             at = np.repeat(s0 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             parts.append((k + text, s0 - starts[text], size, h, c, w[at]))
@@ -333,8 +359,14 @@ def _spans(region: _Region, answers: pa.Table, windows: pa.Table) -> pa.Table:
 
 
 def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, th (64-bit hash of the text) and array spans (start, end, in bytes; disjoint, in order) of what goes."""
-    docs = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th")).where("id is not null and octet_length(t) >= %d" % LENGTH)
+    """id_col's value as id, th (64-bit hash of the text) and array spans (start, end, in bytes; disjoint, in order) of what goes."""
+    docs = bounded_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th")).where("id is not null and octet_length(t) >= %d" % LENGTH)
+    numbers = None
+    if dict(docs.dtypes)["id"] not in ("tinyint", "smallint", "int", "bigint"):  # numbered in the order of the ids
+        ids = docs.select("id").distinct().repartitionByRange(shuffle_partitions(df.sparkSession), "id").sortWithinPartitions("id")
+        numbers = saved(ids.select("id", F.monotonically_increasing_id().alias("number")), "suffix-ids")
+        docs = docs.join(numbers, "id").withColumn("id", F.col("number")).drop("number")
+    docs = docs.withColumn("id", F.col("id").cast("long"))
     total = docs.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = int(max(1, min(MAX_BATCHES, -(-total // BATCH_BYTES))))
     splitters = docs.approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
@@ -349,8 +381,8 @@ def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     def send_names(table: pa.Table) -> pa.Table:
         table_, texts, rank = _ranked(table)
-        names, _ = _names([(k, sampled(buf, starts)) for k, _, buf, starts in chunks(texts)], rank)
-        return _rows(_cuts(names, n), [_pack(names)], table_.column("batch")[0].as_py())
+        names, _ = _names([(k, covered(buf, starts)) for k, _, buf, starts in chunks(texts)], rank)
+        return _rows(_cuts(names, n), [names], table_.column("batch")[0].as_py(), _pack)
 
     sent = dealt.groupBy("batch").applyInArrow(send_names, "bucket int, batch int, x0 binary")
     answers = sent.groupBy("bucket").applyInArrow(_shared_names, "bucket int, batch int, n int, b0 binary")
@@ -384,7 +416,8 @@ def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         return _spans(_Region(table), told_.filter(pa.array(kind == 0)), told_.filter(pa.array(kind == 1)))
 
     spans = by_batch.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(finish, "id bigint, th bigint, start bigint, end bigint")
-    return spans.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = spans.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    return spans if numbers is None else spans.join(numbers.withColumnRenamed("id", "own"), F.col("id") == F.col("number")).select(F.col("own").alias("id"), "th", "spans")
 
 
 def _no_regions() -> pa.Table:
@@ -409,12 +442,13 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """One row per input row: id_col, n_bytes, n_removed, n_spans, kept (binary: what is left).
 
     A null text is empty. A null id is neither earlier nor later than another: nothing goes there, and nothing goes
-    elsewhere because of it. Rows that repeat an id don't take from each other. Texts under LENGTH bytes stay whole.
+    elsewhere because of it. Rows that repeat an id don't take from each other. Texts under LENGTH bytes stay whole; texts
+    may be of any length, ids of any type that has an order. Extra columns are left out.
     """
     spans = removed_spans(df, text_col, id_col)
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t"), F.xxhash64(F.col(text_col)).alias("k"))
-    joined = docs.join(spans, (F.col("d").cast("long") == F.col("id")) & (F.col("k") == F.col("th")), "left").select("d", "t", "spans")
+    joined = docs.join(spans, (F.col("d") == F.col("id")) & (F.col("k") == F.col("th")), "left").select("d", "t", "spans")
 
     def step(batches):
         for b in batches:

@@ -10,8 +10,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.llm import chat_format, exact_dedup, lang_id, ngram_join, packing, pivot_dedup, secret_scan, shared, sp_scan, toxicity
-from test_operators import DOCS, plain_components, plain_sets, prose
+from tallyweave.llm import chat_format, exact_dedup, lang_id, ngram_join, packing, pivot_dedup, secret_scan, shared, sp_scan, suffix_dedup, toxicity
+from test_operators import DOCS, plain_components, plain_removal, plain_sets, prose
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -190,6 +190,26 @@ def test_recall_against_brute_force_on_the_table(spark):
     assert 0.99 * want <= got <= want
 
 
+def test_cover_and_names():
+    """Two equal windows at any residues have a sampled start in common; packed names come back."""
+    n = suffix_dedup.PERIOD
+    for a in range(n):
+        for b in range(n):
+            assert any((a + d) % n in suffix_dedup.COVER and (b + d) % n in suffix_dedup.COVER for d in range(n))
+    r = np.random.default_rng(9)
+    for size, top in ((0, 1), (1, 1 << 40), (5, 1 << 40), (100_000, 1 << 40), (3, 1 << 20)):
+        x = np.unique(r.integers(0, top, size).astype("u8")) << np.uint64(24)
+        assert (suffix_dedup._unpack(suffix_dedup._pack(x)) == x).all() or not len(x)
+
+
+def test_repeats_by_ids_of_text(spark):
+    r = random.Random(11)
+    passage = prose(r, 20)
+    rows = [(f"k{r.randrange(10**6):06d}", " ".join(r.choice([passage, prose(r, 5)]) for _ in range(r.randint(0, 4)))) for _ in range(60)] + [("", passage)]
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in suffix_dedup.remove_repeats(spark.createDataFrame([(*x, 1) for x in rows], "doc_id string, text string, n_removed int")).collect()]
+    assert sorted(got) == sorted(plain_removal(rows))
+
+
 def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "spark://somewhere:7077"
