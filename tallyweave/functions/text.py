@@ -132,9 +132,12 @@ def spec_markers(c) -> Column:
     s = F.replace(F.replace(F.lower(_text(c)), F.lit('"'), F.lit(" inch ")), F.lit("''"), F.lit(" inch "))
     for k, word in enumerate(NUMBER_WORDS, 1):
         s = F.regexp_replace(s, rf"\b{word}\b", str(k))
+    number = rf"(?:\d|\b(?:{'|'.join(NUMBER_WORDS)})\b)"
+    may_have = F.lower(_text(c)).rlike(rf"{number}\s*(?:[-–]\s*)?(?:coat|ply|gauge|ga|mil|in|\"|'')|{number}/{number}")  # most texts don't: a look saves the rest
     fractions = F.regexp_extract_all(s, F.lit(r"\b\d+/\d+\b"), F.lit(0))
     combos = F.regexp_extract_all(s, F.lit(r"\b(?:\d+(?:/\d+)?)\s*(?:[-–]\s*)?(?:coat|ply|gauge|ga|mil|inch|in\b)"), F.lit(0))
-    return F.array_sort(F.array_union(fractions, F.transform(combos, lambda m: F.regexp_replace(m, r"[\s\-–]", ""))))
+    found = F.array_sort(F.array_union(fractions, F.transform(combos, lambda m: F.regexp_replace(m, r"[\s\-–]", ""))))
+    return F.when(may_have, found).otherwise(F.array().cast("array<string>"))
 
 
 def nugget_signature(room: Column, description: Column, amount: Column) -> list[Column]:

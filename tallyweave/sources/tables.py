@@ -27,12 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A plain scan dealt out by a hash of keys where it comes in fewer tasks than shuffles have, as of one small file;
+    a table of many files stays as it is."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys) if df.rdd.getNumPartitions() < min(n, df.sparkSession.sparkContext.defaultParallelism) else df
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items derived from the order tables: a run for each supplier, the document from the line's status.
 
     The prices' side (part) joins by key; Spark broadcasts it where its size allows, else both are shuffled.
     """
-    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    lines, parts = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"), table(spark, sf_dir, "part")
     joined = lines.join(parts, lines.l_partkey == parts.p_partkey)
     quantity = (F.col("l_quantity").cast("int") % 3 + 1).cast("double")
     return joined.select(
