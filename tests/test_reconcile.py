@@ -235,3 +235,48 @@ def test_pages_are_read(spark):
 def test_briefs(spark):
     got = {x["id"]: x["brief"] for x in M.brief_items(spark.createDataFrame(ITEM_ROWS, S.ITEMS)).collect()}
     assert got[4] == '{"id":4,"description":"","amount":null}' and '"unit":"SF"' in got[1]
+
+
+def test_ratios_and_near_hints_against_plain_versions(spark):
+    """Pairs of rooms with the sequence ratio, and near names, by brute force over small runs."""
+    import difflib
+    import re
+
+    r = random.Random(30)
+    words = ["oak", "door", "wall", "paint", "two", "coat", "remove", "panel", "floor", "trim"]
+    rooms = ["Main Bedroom", "Bedroom 2", "Bed room", "Kitchen", "Kitchn", "Upper Hall Closet", "Hall Closet", "Hall", "Bathroom 2", "Bath"]
+    rows = []
+    for k in range(160):
+        desc = f"{k % 9 + 1}. " + " ".join(r.choice(words) for _ in range(r.randint(1, 4)))
+        rows.append((f"r{k % 2}", "AB"[k // 2 % 2], k, k % 5, r.choice(rooms), desc, 1.0, "EA", 2.0, float(k % 7)))
+    items = spark.createDataFrame(rows, S.ITEMS)
+    stop = set(G.X.ROOM_STOPWORDS)
+    said = lambda room: " ".join(t for t in re.findall(r"[a-z0-9]+", room.lower()) if t not in stop)
+    pairs = {(x["run_id"], x["room_a"], x["room_b"]): x["name"] for x in G.score_pairs(G.profiles(items)).collect()}
+    for (_, a, b), name in pairs.items():
+        ta, tb = said(a).split(), said(b).split()
+        na, nb = set(re.findall(r"\d+", a)), set(re.findall(r"\d+", b))
+        if not ta or not tb or (na and nb and na != nb):
+            want = 0.0
+        elif (set(ta) ^ set(tb)) & set(G.ROOM_TYPES):
+            want = 0.25
+        else:
+            want = max(len(set(ta) & set(tb)) / len(set(ta) | set(tb)), difflib.SequenceMatcher(None, " ".join(ta), " ".join(tb)).ratio(), 0.92 if ta[-1] == tb[-1] else 0.0)
+        assert abs(name - want) < 1e-9, (a, b)
+    a, b = M.sides(items)
+    got = {(x["a_id"], x["b_id"]): (x["similarity"], x["rank"]) for x in M.near_hints(a, b).collect()}
+    norm = {row["id"]: row["n"] for row in items.select("id", G.X.normalized_description("description").alias("n")).collect()}
+    want = {}
+    for run, doc, i, _, room, *_ in rows:
+        if doc != "A" or not norm[i]:
+            continue
+        near = []
+        for run2, doc2, j, page, room2, *_ in rows:
+            if (run2, doc2, room2) == (run, "B", room) and norm[j]:
+                x, y = set(norm[i].split()), set(norm[j].split())
+                score = max(difflib.SequenceMatcher(None, norm[i], norm[j]).ratio(), len(x & y) / len(x | y))
+                if score >= 0.64:
+                    near.append((-score, page, j))
+        want.update({(i, j): (round(-s, 3), k + 1) for k, (s, _, j) in enumerate(sorted(near)[:6])})
+    assert want and set(got) == set(want)
+    assert all(abs(got[k][0] - want[k][0]) < 2e-3 and got[k][1] == want[k][1] for k in want)
