@@ -81,10 +81,15 @@ def exact_links(rooms: DataFrame) -> DataFrame:
     return side("A", "a").join(side("B", "b"), ["run_id", "key"]).select("run_id", "room_a", "room_b", F.lit(0.99).alias("confidence"), F.lit("exact-name-match").alias("rationale"))
 
 
+def _best_first() -> list[Column]:
+    """Nine places: the last bits of a sum don't order equal scores."""
+    return [F.desc(F.round("combined", 9)), F.col("room_b")]
+
+
 def ranked(pairs: DataFrame, k: int = 8) -> DataFrame:
     """The k best pairs of each room of A with their rank, and what becomes of them: accepted (3 at most), else
     ambiguous, else neither."""
-    w = Window.partitionBy("run_id", "room_a").orderBy(F.desc("combined"), "room_b")
+    w = Window.partitionBy("run_id", "room_a").orderBy(*_best_first())
     top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     fit = (F.col("combined") >= 0.82) | ((F.col("name") >= 0.78) & (F.col("profile") >= 0.15))
     top = top.withColumn("fit", fit).withColumn("so_far", F.sum(F.col("fit").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -98,7 +103,7 @@ def deterministic_links(ranked_: DataFrame) -> DataFrame:
 
 
 def ambiguous_pairs(ranked_: DataFrame, k: int = 5) -> DataFrame:
-    w = Window.partitionBy("run_id", "room_a").orderBy(F.desc("combined"), "room_b")
+    w = Window.partitionBy("run_id", "room_a").orderBy(*_best_first())
     return ranked_.where("ambiguous").withColumn("choice", F.row_number().over(w)).where(F.col("choice") <= k)
 
 

@@ -508,7 +508,7 @@ RANKED_SQL = PAIR_SCORES_SQL + """, r1 as (select *, row_number() over (partitio
 
 
 def _ranked(spark, sf_dir):
-    return G.ranked(_scores(spark, sf_dir).withColumn("combined", F.round("combined", 9)))
+    return G.ranked(_scores(spark, sf_dir))
 
 
 @query("with " + RANKED_SQL + " select run_id, room_a, room_b, rank, accepted, ambiguous from r4")
