@@ -14,11 +14,14 @@ Only the first LENGTH bytes of suffixes have to be ordered here, so one level of
 
 Documents are dealt into batches by ranges of the id, so "in an earlier document" is "in a batch of a lower number,
 or in this one under a smaller id". Batches send sorted distinct names to the task of each range of names and get
-back one bit each: no name's occurrences are ever gathered, however common the passage.
+back one bit each: no name's occurrences are ever gathered, however common the passage. Ranges are as many as batches;
+where text is plenty, the size of batches and their number, and so the splitters on the driver, grow with its root.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,9 +36,10 @@ LENGTH = 50
 PERIOD, COVER = 13, (0, 1, 3, 9)  # every residue is the difference of two of these
 TUPLE = LENGTH - PERIOD + 1
 K = 24  # bytes whose least hash marks a place in candidate regions
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 6_000_000  # of a batch, up to ROOT_FROM bytes of text
+ROOT_FROM = 7e11  # beyond, batches grow with the root of the text (72 MB at 100 TB)
 CHUNK_BYTES = 1_000_000
-MAX_BATCHES = 1 << 16  # splitters are held on the driver
+BATCH_TASKS = 20_000  # at most; beyond, a task has several batches, one after another
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -358,6 +362,11 @@ def _spans(region: _Region, answers: pa.Table, windows: pa.Table) -> pa.Table:
     return pa.table({"id": take.column("id"), "th": take.column("th"), "start": pa.array(begin + start, pa.int64()), "end": pa.array(end + start, pa.int64())})
 
 
+def batches_for(total: int) -> int:
+    """Number of batches for so many bytes of text."""
+    return max(1, math.ceil(total / (BATCH_BYTES * max(1.0, math.sqrt(total / ROOT_FROM)))))
+
+
 def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col's value as id, th (64-bit hash of the text) and array spans (start, end, in bytes; disjoint, in order) of what goes."""
     docs = bounded_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th")).where("id is not null and octet_length(t) >= %d" % LENGTH)
@@ -368,8 +377,8 @@ def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         docs = docs.join(numbers, "id").withColumn("id", F.col("number")).drop("number")
     docs = docs.withColumn("id", F.col("id").cast("long"))
     total = docs.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    n = int(max(1, min(MAX_BATCHES, -(-total // BATCH_BYTES))))
-    splitters = docs.approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
+    n = batches_for(total)
+    splitters = docs.approxQuantile("id", [k / n for k in range(1, n)], max(0.1 / n, 1e-6)) if n > 1 else []  # a sketch of bounded size
     bounds = np.asarray(sorted({int(s) for s in splitters}), "i8")
 
     @F.pandas_udf(T.IntegerType())
@@ -377,7 +386,7 @@ def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "right").astype("i4"))
 
     docs = docs.withColumn("batch", batch_of("id") if len(bounds) else F.lit(0))
-    dealt = docs.repartition(n, "batch")
+    dealt = docs.repartition(min(n, BATCH_TASKS), "batch")
 
     def send_names(table: pa.Table) -> pa.Table:
         table_, texts, rank = _ranked(table)
@@ -393,7 +402,7 @@ def removed_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         r = _Region(table)
         return _rows(_cuts(r.names, n), [r.names, r.surroundings], table.column("batch")[0].as_py())
 
-    by_batch = regions.repartition(n, "batch")
+    by_batch = regions.repartition(min(n, BATCH_TASKS), "batch")
     pairs = by_batch.groupBy("batch").applyInArrow(send_pairs, "bucket int, batch int, x0 binary, x1 binary")
     told = saved(pairs.groupBy("bucket").applyInArrow(lambda t: _earlier(t, True), "bucket int, batch int, n int, b0 binary, b1 binary"), "suffix-pairs")
 

@@ -202,6 +202,15 @@ def test_cover_and_names():
         assert (suffix_dedup._unpack(suffix_dedup._pack(x)) == x).all() or not len(x)
 
 
+def test_batches_grow_with_the_root_of_the_text():
+    size = suffix_dedup.BATCH_BYTES
+    assert [suffix_dedup.batches_for(k) for k in (0, 1, size, size + 1, 10 * size)] == [1, 1, 1, 2, 10]
+    for total in (10**12, 10**14, 10**16):  # neither batches nor rows between them run away
+        n = suffix_dedup.batches_for(total)
+        assert 0.99 < n / (suffix_dedup.batches_for(4 * total) / 2) < 1.01
+        assert total * 4 / 13 / n**2 > 10  # names in a row
+
+
 def test_repeats_by_ids_of_text(spark):
     r = random.Random(11)
     passage = prose(r, 20)
