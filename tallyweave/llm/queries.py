@@ -157,6 +157,29 @@ from d left join q on q.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
 """
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import digests, find
+
+    found = find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return digests(found).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP12_SQL = rf"""
+with d as (select doc_id, {_WORDS} as a from documents
+), b as (select coalesce(cast(item_id as varchar), '') as item, {_WORDS} as a from benchmark
+), v as (select item, array_to_string(a[i + 1:i + least(len(a), 10)], ' ') as g, least(len(a), 10) as n from (select item, a, unnest(range(0, greatest(1, len(a) - 9))) as i from b where len(a) > 0)
+), k as (select distinct n from v
+), p as (select doc_id, a, n, unnest(range(0, len(a) - n + 1)) as i from d, k where len(a) >= n
+), h as (select p.doc_id, i, p.n, item from (select doc_id, n, i, array_to_string(a[i + 1:i + n], ' ') as g from p) p join v on v.g = p.g and v.n = p.n
+), c as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from (select distinct doc_id, i, n from h)) group by doc_id
+), m as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by doc_id)
+select d.doc_id, len(a) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on c.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
+"""
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -168,5 +191,6 @@ QUERIES = {
     "op10_sentencepiece_scan": op10_sentencepiece_scan,
     "op3_secret_scan": op3_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op12_decontamination": op12_decontamination,
 }
-ORACLE_SQL = {"op4_suffix_array_dedup": OP4_SQL, "op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL = {"op4_suffix_array_dedup": OP4_SQL, "op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op12_decontamination": OP12_SQL}
