@@ -180,6 +180,33 @@ from d left join c on c.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
 """
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 by its table of 256 values, which the rule of its polynomial gives
+OP13_SQL = rf"""
+with tb as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as t
+), w as (select 's' as side, doc_id, {_WORDS} as a from documents union all select 't', item_id, {_WORDS} from benchmark
+), f as (select side, doc_id, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) as g from w
+), u as (select g, hex(encode(g)) as x from (select distinct g from f)
+), v as (select g, list_transform(range(length(x) // 2), lambda i: cast((strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1 as bigint)) as y from u
+), c as (select g, xor(list_reduce(y, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 as bucket from v, tb
+), n as (select side, bucket, count(*) as n from f join c on c.g = f.g group by side, bucket
+), z as (select cast(sum(n) filter (where side = 's') as double) as s_all, cast(coalesce(sum(n) filter (where side = 't'), 0) as double) as t_all from n
+), e as (select bucket, cast(coalesce(sum(n) filter (where side = 's'), 0) as double) as s, cast(coalesce(sum(n) filter (where side = 't'), 0) as double) as t from n group by bucket
+), k as (select bucket, cast(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) as bigint) as gain from e, z
+), m as (select doc_id, count(*) as n_features, cast(floor(sum(gain) / count(*)) as bigint) as weight from f join c on c.g = f.g join k on k.bucket = c.bucket where side = 's' group by doc_id
+), q as (select w.doc_id, len(a) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+   cast(('0x' || substr(sha256('7:' || cast(w.doc_id as varchar)), 1, 8)) as bigint) as h from w left join m on m.doc_id = w.doc_id where side = 's'
+), r as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from q
+), o as (select *, row_number() over (order by score desc, doc_id) as place, count(*) over () as able from r where n_words >= 20)
+select r.doc_id, r.n_features, r.weight, r.score, case when place <= able * 25 // 100 then place end as "rank" from r left join o on o.doc_id = r.doc_id
+"""
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -192,5 +219,6 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op12_decontamination": op12_decontamination,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLE_SQL = {"op4_suffix_array_dedup": OP4_SQL, "op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op12_decontamination": OP12_SQL}
+ORACLE_SQL = {"op4_suffix_array_dedup": OP4_SQL, "op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op12_decontamination": OP12_SQL, "op13_importance_resampling": OP13_SQL}
