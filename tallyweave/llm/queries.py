@@ -207,6 +207,33 @@ select r.doc_id, r.n_features, r.weight, r.score, case when place <= able * 25 /
 """
 
 
+def op11_yinyang_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .yinyang import cluster, with_inertia
+
+    found = with_inertia(*cluster(_table(spark, sf_dir, "embeddings")))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain k-means, each round a pair of tables."""
+    d = "list_sum(list_transform(range(1, 65), lambda i: (n.v[i] - c.v[i]) * (n.v[i] - c.v[i])))"
+    sql = f"""with n as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (select cast(place - 1 as int) as k, v from (select v, row_number() over (order by sha256('1:' || cast(vec_id as varchar)), v) as place from n) where place <= {k})"""
+    for r in range(rounds + 1):
+        sql += f""", a{r} as (select vec_id, n.v, c.k, {d} as away, row_number() over (partition by vec_id order by {d}, c.k) as place from n, c{r} c
+), b{r} as (select vec_id, v, k, away from a{r} where place = 1)"""
+        if r < rounds:
+            sql += f""", s{r} as (select k, i, cast(floor(sum(v[i]) / count(*)) as bigint) as m from (select k, v, unnest(range(1, 65)) as i from b{r}) group by k, i
+), c{r + 1} as (select c.k, coalesce(m.v, c.v) as v from c{r} c left join (select k, list(m order by i) as v from s{r} group by k) m on m.k = c.k)"""
+    return sql + f""" select vec_id, b.k as "cluster", cast(away as bigint) as distance, cast(sum(away) over (partition by b.k) as bigint) as cluster_inertia, cast(sum(away) over () as bigint) as inertia,
+  sha256(array_to_string(c.v, ',')) as centroid_sha256 from b{rounds} b join c{rounds} c on c.k = b.k"""
+
+
+OP11_SQL = _op11_sql()
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -218,7 +245,8 @@ QUERIES = {
     "op10_sentencepiece_scan": op10_sentencepiece_scan,
     "op3_secret_scan": op3_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op11_yinyang_clustering": op11_yinyang_clustering,
     "op12_decontamination": op12_decontamination,
     "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLE_SQL = {"op4_suffix_array_dedup": OP4_SQL, "op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op12_decontamination": OP12_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL = {"op4_suffix_array_dedup": OP4_SQL, "op9_pivot_near_dedup": OP9_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op11_yinyang_clustering": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_importance_resampling": OP13_SQL}

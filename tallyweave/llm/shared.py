@@ -36,6 +36,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the tables that df is read from, where saved wrote them, once nothing reads them any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in [p for p in _SAVED if p.split(":", 1)[-1].lstrip("/") == name.split(":", 1)[-1].lstrip("/")]:
+            _SAVED.remove(path)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_saved(spark: SparkSession) -> int:
     """Deletes every table that this driver has saved, and says how many; for use once results are written."""
     n = 0
