@@ -59,7 +59,7 @@ def within_tolerance(a: str, b: str, tol: float = TOLERANCE) -> Column:
     against_a = F.col(b + "amount").isNotNull() & F.coalesce(computed(a) != 0, F.lit(False))
     fallback = (
         F.when(against_b, relative_difference(F.col(a + "amount"), computed(b)) <= tol)
-        .when(against_a, relative_difference(computed(a), F.col(b + "amount")) <= tol)
+        .when(against_a, relative_difference(F.col(b + "amount"), computed(a)) <= tol)
         .otherwise(False)
     )
     return F.when(comparable, F.size(mismatches(a, b, tol)) == 0).otherwise(fallback)

@@ -22,17 +22,27 @@ def with_sides(assigned: DataFrame, items: DataFrame) -> DataFrame:
 
 def classify(pairs: DataFrame, tol: float = N.TOLERANCE) -> DataFrame:
     """status: blue without a partner; green if the scope is the same, the numbers agree, and neither units nor
-    specifications differ; else orange. critical stays only on blue."""
+    specifications differ; else orange. critical stays only on blue.
+
+    mismatch names the numbers that differ; where these would leave the pair green, its units, else its specifications (both
+    sides in order). The proposal's rationale goes on with these, or with the mark of a critical item, to 1500 characters.
+    """
     ua, ub = X.unit("a_unit"), X.unit("b_unit")
     units = (ua != "") & (ub != "") & (ua != ub)
     sa, sb = X.spec_markers("a_description"), X.spec_markers("b_description")
     specs = (F.size(sa) > 0) & (F.size(sb) > 0) & (sa != sb)
-    green = F.col("scope_same") & N.within_tolerance("a_", "b_", tol)
-    status = F.when(F.col("b_id").isNull(), "blue").when(green & ~units & ~specs, "green").otherwise("orange")
-    out = pairs.withColumn("mismatch", N.mismatches("a_", "b_", tol)).withColumn("status", status)
+    green = F.coalesce("scope_same", F.lit(False)) & N.within_tolerance("a_", "b_", tol)
+    matched = F.col("b_id").isNotNull()
+    said = lambda c: F.concat(F.lit("{'"), F.array_join(c, "', '"), F.lit("'}"))
+    guard = F.when(matched & green & units, F.concat(F.lit("unit ("), "a_unit", F.lit(" vs "), "b_unit", F.lit(")"))).when(matched & green & specs, F.concat(F.lit("specs ("), said(sa), F.lit(" vs "), said(sb), F.lit(")")))
+    status = F.when(~matched, "blue").when(green & ~units & ~specs, "green").otherwise("orange")
+    mismatch = F.filter(F.concat(N.mismatches("a_", "b_", tol), F.array(guard)), lambda x: x.isNotNull())
+    before = F.coalesce("rationale", F.lit("")) if "rationale" in pairs.columns else F.lit("")
+    out = pairs.withColumn("rationale", before).withColumns({"mismatch": F.when(matched, mismatch).otherwise(F.array().cast("array<string>")), "status": status})
     critical = (F.col("status") == "blue") & F.coalesce("critical_blue", F.lit(False))
-    why = F.concat(F.when(critical, "[CRITICAL_BLUE] ").otherwise(""), F.when(F.size("mismatch") > 0, F.concat(F.lit("differs: "), F.array_join("mismatch", ", "))).otherwise(""))
-    return out.withColumn("critical_blue", critical).withColumn("rationale", F.substring(F.trim(why), 1, 1500))
+    differs = F.when(F.size("mismatch") > 0, F.concat(F.lit(" | metadata differs: "), F.array_join("mismatch", ", "))).otherwise("")
+    why = F.concat("rationale", differs, F.when(critical, " | [CRITICAL_BLUE] high-priority JDR-only scope").otherwise(""))
+    return out.withColumn("critical_blue", critical).withColumn("rationale", F.substring(why, 1, 1500))
 
 
 def best_room(links: DataFrame) -> DataFrame:
@@ -56,6 +66,12 @@ def status_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("run_id").agg(*(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("green", "orange", "blue", "nugget")))
 
 
+def status_panel(matches: DataFrame) -> DataFrame:
+    """status_counts, and how many rows are marked as critical."""
+    critical = F.count(F.when(F.coalesce("rationale", F.lit("")).contains("[CRITICAL_BLUE]"), 1)).alias("critical")
+    return matches.groupBy("run_id").agg(*(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("green", "orange", "blue", "nugget")), critical)
+
+
 def totals(pairs: DataFrame) -> DataFrame:
     """Amounts of matched items on both sides, and the gap."""
     matched = F.col("status").isin("green", "orange")

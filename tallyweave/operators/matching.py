@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..sources.tables import stored
 from .rooms import sequence_ratio
 
 
@@ -58,7 +59,7 @@ def exact_edges(exact: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     key = ["run_id", "room_a"]
     numbers = lambda df, s: df.select(*key, *(f"{s}_{c}" for c in ("id", "page", "amount", "quantity", "unit_price", "unit")))
     pairs = exact.select(*key, "a_id", "b_id").join(numbers(a, "a"), [*key, "a_id"]).join(numbers(b, "b"), [*key, "b_id"])
-    return pairs.select(*key, "a_id", "b_id", "b_page", N.metadata_alignment("a_", "b_").alias("score"))
+    return pairs.select(*key, "a_id", "a_page", "b_id", "b_page", N.metadata_alignment("a_", "b_").alias("score"))
 
 
 def offline_proposals(a: DataFrame, edges: DataFrame, near: DataFrame) -> DataFrame:
@@ -70,12 +71,17 @@ def offline_proposals(a: DataFrame, edges: DataFrame, near: DataFrame) -> DataFr
     second = near.where("rank = 1").select("run_id", "a_id", F.col("b_id").alias("near_id"), "similarity")
     out = a.select(*key, "a_id", "a_page").join(first, ["run_id", "a_id"], "left").join(second, ["run_id", "a_id"], "left")
     chosen = F.coalesce("exact_id", "near_id")
+    why = F.when(F.col("exact_id").isNotNull(), "same name").when(F.col("near_id").isNotNull(), "similar name").otherwise("no candidate")
     return out.select(
         *key, "a_id", "a_page", chosen.alias("b_id"), chosen.isNotNull().alias("scope_same"),
-        F.when(F.col("exact_id").isNotNull(), 0.93).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("confidence"), F.lit(False).alias("critical_blue"),
+        F.when(F.col("exact_id").isNotNull(), 0.93).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("confidence"), why.alias("rationale"), F.lit(False).alias("critical_blue"),
     )
 
 
+def with_reason(proposals: DataFrame) -> DataFrame:
+    return proposals if "rationale" in proposals.columns else proposals.withColumn("rationale", F.lit(""))
+
+
 def best_by_item(proposals: DataFrame) -> DataFrame:
     """One proposal for each item of A: the most confident, the first of equals; critical if any null one says so."""
     w = Window.partitionBy("run_id", "a_id")
@@ -91,60 +97,111 @@ def uncertain(first: DataFrame, review_null: bool = True, unsure: float = 0.50,
 
 
 def coalesce_passes(first: DataFrame, second: DataFrame, rescue: float = 0.55) -> DataFrame:
-    """The second pass wins, except a null over a first match of at least rescue."""
-    cols = ["b_id", "scope_same", "confidence"]
-    s = second.select("run_id", "a_id", F.lit(True).alias("seen"), *(F.col(c).alias(f"s_{c}") for c in cols), F.col("critical_blue").alias("s_critical"))
-    both = first.join(s, ["run_id", "a_id"], "left")
-    keep = F.col("seen").isNull() | (F.col("s_b_id").isNull() & F.col("b_id").isNotNull() & (F.col("confidence") >= rescue))
+    """The second pass wins, except a null over a first match of at least rescue, which says so. An item of B that doesn't
+    exist is no null: it wins here and falls to known_only."""
+    cols = ["b_id", "scope_same", "confidence", "rationale"]
+    s = with_reason(second).select("run_id", "a_id", F.lit(True).alias("seen"), *(F.col(c).alias(f"s_{c}") for c in cols), F.col("critical_blue").alias("s_critical"))
+    both = with_reason(first).join(s, ["run_id", "a_id"], "left")
+    rescued = F.col("seen") & F.col("s_b_id").isNull() & F.col("b_id").isNotNull() & (F.col("confidence") >= rescue)
+    keep = F.col("seen").isNull() | rescued
     critical = F.coalesce("critical_blue", F.lit(False)) | F.coalesce("s_critical", F.lit(False))
-    return both.select(*(c for c in first.columns if c not in (*cols, "critical_blue")), *(F.when(keep, F.col(c)).otherwise(F.col(f"s_{c}")).alias(c) for c in cols), critical.alias("critical_blue"))
+    new = {c: F.when(keep, F.col(c)).otherwise(F.col(f"s_{c}")) for c in cols}
+    new["rationale"] = F.when(rescued, F.concat(F.lit("[kept pass1 over pass2-null] "), "rationale")).otherwise(new["rationale"])
+    return both.select(*(c for c in first.columns if c not in (*cols, "critical_blue")), *(x.alias(c) for c, x in new.items()), critical.alias("critical_blue"))
+
+
+def known_only(proposals: DataFrame, b: DataFrame) -> DataFrame:
+    """Proposals whose item of B isn't among the room's candidates (b: run_id, room_a, b_id) propose none."""
+    there = b.select("run_id", "room_a", "b_id").distinct().withColumn("known", F.lit(True))
+    out = proposals.join(there, ["run_id", "room_a", "b_id"], "left")
+    new = {"b_id": F.when(F.col("known"), F.col("b_id")), "scope_same": F.coalesce("known", F.lit(False)) & F.col("scope_same")}
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in proposals.columns))
 
 
 def assign_one_to_one(proposals: DataFrame) -> DataFrame:
-    """Each item of B goes to its first claim by room, confidence, page and id; losers become unmatched and are not
-    tried again. Rooms rank by name."""
+    """Each item of B goes to its first claim by room, confidence, page and id; losers become unmatched, say so, and are
+    not tried again. Rooms rank by name."""
     w = Window.partitionBy("run_id", "b_id").orderBy("room_a", F.desc("confidence"), "a_page", "a_id")
     # claims on nothing would make one large group: they stay out of it
     claims = proposals.where("b_id is not null").withColumn("won", F.row_number().over(w) == 1)
     none = proposals.where("b_id is null").withColumn("won", F.lit(False))
-    return claims.unionByName(none).withColumn("b_id", F.when(F.col("won"), F.col("b_id")))
-
-
-def greedy_matching(edges: DataFrame) -> DataFrame:
-    """One-to-one pairs of a run's room, best score first (edges: run_id, room_a, a_id, b_id, score; ties by ids).
-
-    Edges come sorted, a room's together, and are walked as they come; only the ids used in the room are held.
+    out = claims.unionByName(none)
+    if "rationale" in proposals.columns:
+        lost = F.concat("rationale", F.lit(" | B="), F.col("b_id").cast("string"), F.lit(" already claimed by higher-confidence pair"))
+        out = out.withColumn("rationale", F.when(~F.col("won") & F.col("b_id").isNotNull(), lost).otherwise(F.col("rationale")))
+    return out.withColumn("b_id", F.when(F.col("won"), F.col("b_id")))
+
+
+def _walk(frames):
+    """Sorted edges as they come, a room's together; only the ids used in the room are held."""
+    at, used_a, used_b = None, set(), set()
+    for pdf in frames:
+        keep = []
+        for run, room, a, b in zip(pdf["run_id"], pdf["room_a"], pdf["a_id"], pdf["b_id"]):
+            if (run, room) != at:
+                at, used_a, used_b = (run, room), set(), set()
+            ok = a not in used_a and b not in used_b
+            keep.append(ok)
+            if ok:
+                used_a.add(a)
+                used_b.add(b)
+        yield pdf[keep]
+
+
+def greedy_matching(edges: DataFrame, rounds: int = 24) -> DataFrame:
+    """One-to-one pairs of a run's room, best score first, equal ones in the order of A's page and id, then B's (edges: run_id,
+    room_a, a_id, a_page, b_id, b_page, score).
+
+    An edge that is the best of both its ends would be taken by a walk over all sorted edges whatever comes before it. So each
+    round takes all such edges and drops what they touch; keys are single items, whatever a room holds. Rounds are as many as
+    the longest chain of edges that wait for each other; what is left after rounds (chains of hundreds of equal texts) is walked,
+    sorted, by run and room.
     """
-    order = [F.col("run_id"), F.col("room_a"), F.desc("score"), F.col("a_id"), F.col("b_id")]
-    cols = edges.select("run_id", "room_a", "a_id", "b_id", "score")
-    dealt = cols.repartition(F.col("run_id"), F.col("room_a")).sortWithinPartitions(*order)
-
-    def walk(frames):
-        at, used_a, used_b = None, set(), set()
-        for pdf in frames:
-            keep = []
-            for run, room, a, b in zip(pdf["run_id"], pdf["room_a"], pdf["a_id"], pdf["b_id"]):
-                if (run, room) != at:
-                    at, used_a, used_b = (run, room), set(), set()
-                ok = a not in used_a and b not in used_b
-                keep.append(ok)
-                if ok:
-                    used_a.add(a)
-                    used_b.add(b)
-            yield pdf[keep]
-
-    return dealt.mapInPandas(walk, cols.schema)
+    cols = ["run_id", "room_a", "a_id", "a_page", "b_id", "b_page", "score"]
+    best = [F.desc("score"), F.col("a_page"), F.col("a_id"), F.col("b_page"), F.col("b_id")]
+    end = lambda s: Window.partitionBy("run_id", "room_a", f"{s}_id")
+    left, done = edges.select(*cols), []
+    for _ in range(rounds):
+        first = left.withColumn("first_a", F.row_number().over(end("a").orderBy(*best)) == 1)
+        first = first.withColumn("taken", F.col("first_a") & (F.row_number().over(end("b").orderBy(*best)) == 1))
+        gone = F.max("taken").over(end("a")) | F.col("gone_b")
+        after = first.withColumn("gone_b", F.max("taken").over(end("b"))).withColumn("gone", gone).where("taken or not gone").select(*cols, "taken")
+        after = stored(after, "greedy")
+        done.append(after.where("taken").select(*cols))
+        left = after.where("not taken").select(*cols)
+        if left.isEmpty():
+            break
+    else:
+        dealt = left.repartition(F.col("run_id"), F.col("room_a")).sortWithinPartitions("run_id", "room_a", *best)
+        done.append(dealt.mapInPandas(_walk, left.schema))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("run_id", "room_a", "a_id", "b_id", "score")
 
 
 def enforce_exact(proposals: DataFrame, edges: DataFrame) -> DataFrame:
     """Proposals with the greedy pairs of exact wording put in: same scope, 0.93 at least, never critical. Items of B
-    that an exact proposal of the room holds already are not given away."""
+    that an exact proposal of the room holds already are not given away.
+
+    Where proposals have a column said, rows without an answer count as answered with nothing if their room gets any such pair.
+    """
     key = ["run_id", "room_a"]
     held = proposals.join(edges.select(*key, "a_id", "b_id"), [*key, "a_id", "b_id"]).select(*key, "b_id").distinct()
-    forced = greedy_matching(edges.join(held, [*key, "b_id"], "left_anti")).select(*key, "a_id", F.col("b_id").alias("f_id"))
-    out = proposals.join(forced, [*key, "a_id"], "left")
+    forced = greedy_matching(edges.join(held, [*key, "b_id"], "left_anti")).select(*key, "a_id", F.col("b_id").alias("f_id"), F.col("score").alias("f_score"))
+    out = with_reason(proposals).join(forced, [*key, "a_id"], "left")
     hit = F.col("f_id").isNotNull()
-    new = {"b_id": F.coalesce("f_id", "b_id"), "scope_same": hit | F.col("scope_same"), "confidence": F.when(hit, F.least(F.lit(1.0), F.greatest(F.lit(0.93), F.col("confidence")))).otherwise(F.col("confidence")), "critical_blue": ~hit & F.col("critical_blue")}
+    why = F.concat(F.lit("exact-wording override: selected same-name candidate first; metadata_alignment="), F.format_string("%.2f", "f_score"), F.lit(" for downstream green/orange classification"))
+    new = {
+        "b_id": F.coalesce("f_id", "b_id"), "scope_same": hit | F.col("scope_same"), "confidence": F.when(hit, F.least(F.lit(1.0), F.greatest(F.lit(0.93), F.coalesce("confidence", F.lit(0.0))))).otherwise(F.col("confidence")),
+        "rationale": F.when(hit, why).otherwise(F.col("rationale")), "critical_blue": ~hit & F.col("critical_blue"),
+    }
+    if "said" in proposals.columns:
+        out = out.join(forced.select(*key).distinct().withColumn("any_forced", F.lit(True)), key, "left")
+        mute = F.col("said").isNull() & F.coalesce("any_forced", F.lit(False)) & ~hit
+        for c, v in (("scope_same", F.lit(False)), ("confidence", F.lit(0.0)), ("rationale", F.lit("no candidate selected")), ("critical_blue", F.lit(False))):
+            new[c] = F.when(mute, v).otherwise(new[c])
+        new["said"] = F.col("said") | mute | hit
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in proposals.columns))
 
 

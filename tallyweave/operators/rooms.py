@@ -108,14 +108,26 @@ def ambiguous_pairs(ranked_: DataFrame, k: int = 5) -> DataFrame:
 
 
 def merge_links(*groups: DataFrame, least: float = 0.42) -> DataFrame:
-    """One link for each pair of rooms: the best confidence, the reasons in order of the groups, each once."""
+    """One link for each pair of rooms, folded in order of the groups: the best confidence; of two reasons the more confident
+    link's comes first, the earlier one's of equals, and one that the other contains is left out. Inside a group the
+    more confident link comes first."""
     every = None
     for k, g in enumerate(groups):
-        g = g.withColumn("place", F.lit(k))
+        g = g.select("run_id", "room_a", "room_b", "confidence", F.coalesce("rationale", F.lit("")).alias("rationale"), F.lit(k).alias("place"))
         every = g if every is None else every.unionByName(g)
-    merged = every.groupBy("run_id", "room_a", "room_b").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct("place", "rationale"))).alias("r"))
-    reasons = F.array_join(F.array_distinct(F.transform("r", lambda x: x["rationale"])), "; ")
-    return merged.where(F.col("confidence") >= least).select("run_id", "room_a", "room_b", "confidence", reasons.alias("rationale"))
+    links = F.array_sort(F.collect_list(F.struct("place", (-F.col("confidence")).alias("backwards"), "rationale", "confidence")))
+
+    def fold(held, x):
+        both = (held["rationale"] != "") & (x["rationale"] != "")
+        better = x["confidence"] > held["confidence"]
+        front, back = F.when(better, x["rationale"]).otherwise(held["rationale"]), F.when(better, held["rationale"]).otherwise(x["rationale"])
+        reason = F.when(both & ~front.contains(back), F.concat_ws("; ", front, back)).when(better & (front == ""), back).otherwise(front)
+        return F.struct(F.greatest(held["confidence"], x["confidence"]).alias("confidence"), reason.alias("rationale"))
+
+    first = F.struct(F.element_at("links", 1)["confidence"].alias("confidence"), F.element_at("links", 1)["rationale"].alias("rationale"))
+    merged = every.groupBy("run_id", "room_a", "room_b").agg(links.alias("links"))
+    out = merged.select("run_id", "room_a", "room_b", F.aggregate(F.slice("links", 2, 1 << 30), first, fold).alias("m"))
+    return out.select("run_id", "room_a", "room_b", "m.confidence", "m.rationale").where(F.col("confidence") >= least)
 
 
 def _cap(frames):
@@ -217,13 +229,38 @@ def expand(candidates: DataFrame, profiles_: DataFrame, with_ratio: bool = True)
     return own.union(own.join(alike, ["run_id", "room_b"]).select("run_id", "room_a", F.col("near"))).distinct()
 
 
+def candidate_cascade(profiles_: DataFrame, links: DataFrame, components_: DataFrame, least: float = 0.6, with_ratio: bool = True) -> DataFrame:
+    """The rooms of B that each room of A is compared with (run_id, room_a, room_b), and by which rule of the cascade (mode):
+
+    strong or low-confidence-fallback links, with the other rooms of B in the component; room-group-fallback, of rooms that have the
+    component only; name-profile-fallback, the six softest-scored rooms where there is neither; each with the rooms of B that are much
+    like one of them (expanded: whether there are any). global-room-fallback: the ten best-scored rooms, where no item of B lies
+    in any of these, as of links to rooms that are gone. profiles_ has the rooms with items.
+    """
+    key, pair = ["run_id", "room_a"], ["run_id", "room_a", "room_b"]
+    rooms = lambda d, s: profiles_.where(F.col("doc") == d).select("run_id", F.col("room").alias(f"room_{s}"))
+    firm = strong_links(links, least).withColumn("mode", F.when(F.col("confidence") >= least, "strong").otherwise("low-confidence-fallback"))
+    tagged = firm.select(*pair, "mode").unionByName(component_candidates(components_).withColumn("mode", F.lit("room-group-fallback")))
+    linked = tagged.join(rooms("A", "a"), key, "left_semi")
+    rank = {"strong": 0, "low-confidence-fallback": 1, "room-group-fallback": 2}
+    mode = lambda: F.min_by("mode", F.element_at(F.create_map(*(F.lit(x) for kv in rank.items() for x in kv)), F.col("mode")))
+    modes = linked.groupBy(*key).agg(mode().alias("mode"))
+    soft = lambda bare, k: soft_candidates(profiles_.join(bare.select("run_id", F.col("room_a").alias("room"), F.lit("A").alias("doc")), ["run_id", "doc", "room"], "left_semi").unionByName(profiles_.where("doc = 'B'")), k, with_ratio).select(*pair)
+    # rooms of A without a link, and only these, are scored softly
+    bare = rooms("A", "a").join(modes, key, "left_anti")
+    seeds = linked.select(*pair).distinct().join(modes, key).unionByName(soft(bare, 6).withColumn("mode", F.lit("name-profile-fallback")))
+    seeds = stored(seeds, "room-seeds")
+    wide = expand(seeds, profiles_, with_ratio).join(seeds.select(*key, "mode").distinct(), key)
+    found = wide.join(rooms("B", "b"), ["run_id", "room_b"], "left_semi").select(*pair, "mode")
+    found = stored(found.join(seeds.select(*pair).withColumn("seed", F.lit(True)), pair, "left").withColumn("added", F.col("seed").isNull()).drop("seed"), "room-blocks")
+    more = found.groupBy(*key).agg(F.max("added").alias("expanded"))
+    none = rooms("A", "a").join(more, key, "left_anti")
+    last = soft(none, 10).select(*pair, F.lit("global-room-fallback").alias("mode"), F.lit(False).alias("expanded"))
+    return found.drop("added").join(more, key).select(*pair, "mode", "expanded").unionByName(last)
+
+
 def candidate_rooms(profiles_: DataFrame, links: DataFrame, components_: DataFrame, least: float = 0.6, with_ratio: bool = True) -> DataFrame:
-    """The cascade: links and the component's rooms; else soft candidates; then one step of expansion."""
-    linked = strong_links(links, least).select("run_id", "room_a", "room_b").union(component_candidates(components_)).distinct()
-    # only rooms of A without a link are scored softly
-    bare = profiles_.alias("p").join(linked.select("run_id", F.col("room_a").alias("room"), F.lit("A").alias("doc")).distinct(), ["run_id", "doc", "room"], "left_anti")
-    rest = soft_candidates(bare, with_ratio=with_ratio).select("run_id", "room_a", "room_b")
-    return expand(linked.union(rest), profiles_, with_ratio)
+    return candidate_cascade(profiles_, links, components_, least, with_ratio).select("run_id", "room_a", "room_b")
 
 
 def component_counts(components_: DataFrame) -> DataFrame:

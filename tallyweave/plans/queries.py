@@ -57,7 +57,7 @@ COMPARABLE = "(" + " or ".join(map(_have, FIELDS)) + ")"
 NO_MISMATCH = "(" + " and ".join(f"not ({_have(f)} and {_diff('a.' + f, 'b.' + f)} > 0.02)" for f in FIELDS) + ")"
 WITHIN = f"""(case when {COMPARABLE} then {NO_MISMATCH}
   when a.amount is not null and coalesce(b.quantity * b.unit_price <> 0, false) then {_diff('a.amount', 'b.quantity * b.unit_price')} <= 0.02
-  when b.amount is not null and coalesce(a.quantity * a.unit_price <> 0, false) then {_diff('a.quantity * a.unit_price', 'b.amount')} <= 0.02 else false end)"""
+  when b.amount is not null and coalesce(a.quantity * a.unit_price <> 0, false) then {_diff('b.amount', 'a.quantity * a.unit_price')} <= 0.02 else false end)"""
 _close = lambda f: f"(case when {_have(f)} then greatest(0.0, 1.0 - least(1.0, {_diff('a.' + f, 'b.' + f)})) else 0.0 end)"
 _units = "(lower(trim(coalesce(a.unit, ''))) <> '' and lower(trim(coalesce(b.unit, ''))) <> '')"
 _WEIGHT = " + ".join(f"(case when {_have(f)} then {w} else 0.0 end)" for f, w in zip(FIELDS, (1.6, 1.0, 1.0))) + f" + (case when {_units} then 0.8 else 0.0 end)"
@@ -123,14 +123,23 @@ def _flagship(spark: SparkSession, sf_dir: str, critical: bool = False) -> tuple
     return items, assigned, C.classify(C.with_sides(assigned, items))
 
 
-def _with_nuggets(spark: SparkSession, sf_dir: str, critical: bool = False) -> DataFrame:
-    items, assigned, pairs = _flagship(spark, sf_dir, critical)
+def _matches(items: DataFrame, assigned: DataFrame, pairs: DataFrame) -> DataFrame:
     links = G.exact_links(items.select("run_id", "doc", "room").distinct())
     null = F.lit(None).cast("bigint")
     rows = pairs.select("run_id", "room_a", F.col("b_room").alias("room_b"), "a_id", "b_id", "status", "rationale")
     return rows.unionByName(C.nuggets(items, assigned, links).select("run_id", "room_a", "room_b", null.alias("a_id"), "b_id", "status", F.lit("").alias("rationale")))
 
 
+def _with_nuggets(spark: SparkSession, sf_dir: str, critical: bool = False) -> DataFrame:
+    return _matches(*_flagship(spark, sf_dir, critical))
+
+
+def _report_rows(spark: SparkSession, sf_dir: str, critical: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Report rows, and the stored items that they were made of."""
+    items, assigned, pairs = _flagship(spark, sf_dir, critical)
+    return R.report_rows(_matches(items, assigned, pairs), items), items
+
+
 COUNTS_SQL = FLAGSHIP_SQL + """, al as (select run_id, status from cls union all select run_id, 'nugget' from nug)
 select run_id, count(*) filter (where status = 'green') green, count(*) filter (where status = 'orange') orange, count(*) filter (where status = 'blue') blue, count(*) filter (where status = 'nugget') nugget from al group by run_id"""
 
@@ -161,9 +170,10 @@ def unmatched_a_blue(spark, sf_dir):
     return pairs.where("status = 'blue'").select("run_id", "a_id", F.col("rationale").contains("[CRITICAL_BLUE]").alias("critical_blue"))
 
 
-@query("with " + COUNTS_SQL)
+@query("with " + COUNTS_SQL.replace("select run_id, status from cls", "select run_id, status, status = 'blue' and a_id % 97 = 0 crit from cls").replace("select run_id, 'nugget' from nug", "select run_id, 'nugget', false from nug").replace("nugget from al", "nugget, count(*) filter (where crit) critical from al"))
 def status_counts(spark, sf_dir):
-    return C.status_counts(_with_nuggets(spark, sf_dir))
+    """What a client shows: the four statuses, and the critical ones among the blue."""
+    return C.status_panel(_with_nuggets(spark, sf_dir, True))
 
 
 @query("with " + FLAGSHIP_SQL + """ select run_id, round(sum(case when status <> 'blue' then coalesce(a_amount, 0) else 0 end), 2) total_a, round(sum(case when status <> 'blue' then coalesce(b_amount, 0) else 0 end), 2) total_b,
@@ -187,11 +197,13 @@ _SPEC = r"(list_sort(list_distinct(list_concat(regexp_extract_all({0}, '\b\d+/\d
 
 
 @query("with " + FLAGSHIP_SQL + rf""", sp as (select p.run_id, p.a_id, p.b_id, case when p.a_id % 3 = 0 then '' when p.a_id % 3 = 1 then ' 1/2 inch' else ' 5/8 inch' end ta, case when p.b_id % 2 = 0 then ' 1/2 inch' else ' 3-ply' end tb, {WITHIN} wi, {UNITS_DIFFER} ud, {COMPARABLE} cmp,
-   concat_ws(', ', {", ".join(f"case when {_have(f)} and {_diff('a.' + f, 'b.' + f)} > 0.02 then '{f}' end" for f in FIELDS)}) dif
+   concat_ws(', ', {", ".join(f"case when {_have(f)} and {_diff('a.' + f, 'b.' + f)} > 0.02 then '{f}' end" for f in FIELDS)}) dif, a.unit ua, b.unit ub
   from asg p join a on a.run_id = p.run_id and a.id = p.a_id left join b on b.run_id = p.run_id and b.id = p.b_id
-), mk as (select *, {_SPEC.format('ta')} sa, {_SPEC.format('tb')} sb from sp)
-select run_id, a_id, case when b_id is null then 'blue' when wi and not ud and not (len(sa) > 0 and len(sb) > 0 and sa <> sb) then 'green' else 'orange' end status,
-  case when b_id is not null and dif <> '' then concat('differs: ', dif) else '' end rationale from mk""")
+), mk as (select *, {_SPEC.format('ta')} sa, {_SPEC.format('tb')} sb from sp
+), sd as (select *, len(sa) > 0 and len(sb) > 0 and sa <> sb sdif from mk)
+select run_id, a_id, case when b_id is null then 'blue' when wi and not ud and not sdif then 'green' else 'orange' end status,
+  case when b_id is null then '' when dif <> '' then concat(' | metadata differs: ', dif) when wi and ud then concat(' | metadata differs: unit (', ua, ' vs ', ub, ')')
+    when wi and sdif then concat(' | metadata differs: specs ({{''', array_to_string(sa, ''', '''), '''}} vs {{''', array_to_string(sb, ''', '''), '''}})') else '' end rationale from sd""")
 def classify_spec_guard(spark, sf_dir):
     """Descriptions with measures: green falls to orange where both sides name other ones; the reasons that are given."""
     items, assigned, _ = _flagship(spark, sf_dir)
@@ -220,20 +232,20 @@ REPORT_SQL = FLAGSHIP_SQL + """, rr as (
 
 @query("with " + REPORT_SQL + " select * replace (coalesce(a_id, -1) as a_id, coalesce(b_id, -1) as b_id) from rr")
 def report_rows(spark, sf_dir):
-    rows = R.report_rows(_with_nuggets(spark, sf_dir), S.items(spark, sf_dir))
+    rows = _report_rows(spark, sf_dir)[0]
     return rows.select("run_id", "room_a", _id("a_id"), _id("b_id"), "status", "a_page", "a_desc", "b_desc", "a_amt", "b_amt")
 
 
 @query("with " + REPORT_SQL + """ select run_id, coalesce(a_id, -1) a_id, coalesce(b_id, -1) b_id, row_number() over (partition by run_id order by a_page,
   coalesce(cast(nullif(regexp_extract(a_desc, '^\\s*(\\d+)\\s*[.)]\\s*', 1), '') as int), 9999), case status when 'orange' then 0 when 'blue' then 1 when 'green' then 2 else 3 end, lower(room_a), rr.a_id nulls first, rr.b_id nulls first) place from rr""")
 def report_order(spark, sf_dir):
-    rows = R.report_rows(_with_nuggets(spark, sf_dir), S.items(spark, sf_dir))
+    rows = _report_rows(spark, sf_dir)[0]
     return R.in_order(rows).select("run_id", _id("a_id"), _id("b_id"), F.col("place").cast("bigint").alias("place"))
 
 
 @query("with " + FLAGSHIP_SQL + " select run_id, id b_id, cast((row_number() over (partition by run_id order by lower(room), lower(description), id) - 1) // 8 as int) chunk from nug")
 def nugget_chunks(spark, sf_dir):
-    rows = R.report_rows(_with_nuggets(spark, sf_dir), S.items(spark, sf_dir)).where("status = 'nugget'")
+    rows = _report_rows(spark, sf_dir)[0].where("status = 'nugget'")
     return R.nugget_chunks(rows).select("run_id", "b_id", "chunk")
 
 
@@ -250,11 +262,11 @@ _DIFFERS = "({0} is not null and {1} is not null and abs({0} - {1}) > 1e-6)"
 _PREFIX = r"(case when regexp_extract(a_desc, '^\s*(\d+)\s*[.)]\s*', 1) <> '' then concat('[#', regexp_extract(a_desc, '^\s*(\d+)\s*[.)]\s*', 1), '] ') else '' end)"
 _WHY = "(case when status = 'blue' and a_id % 97 = 0 then '[CRITICAL_BLUE] ' else '' end)"
 COMMENTS_SQL = REPORT_SQL + f""", q as (select rr.*, a.quantity aq, b.quantity bq, a.unit au, b.unit bu, a.unit_price ap, b.unit_price bp, a.amount aa, coalesce(b.room, rr.room_a) room_b,
-   concat_ws(', ', case when a.amount is not null and b.amount is not null and {_diff('a.amount', 'b.amount')} > 0.02 then 'amount' end, case when a.quantity is not null and b.quantity is not null and {_diff('a.quantity', 'b.quantity')} > 0.02 then 'quantity' end, case when a.unit_price is not null and b.unit_price is not null and {_diff('a.unit_price', 'b.unit_price')} > 0.02 then 'unit_price' end) dif
+   concat_ws(', ', case when a.amount is not null and b.amount is not null and {_diff('a.amount', 'b.amount')} > 0.02 then 'amount' end, case when a.quantity is not null and b.quantity is not null and {_diff('a.quantity', 'b.quantity')} > 0.02 then 'quantity' end, case when a.unit_price is not null and b.unit_price is not null and {_diff('a.unit_price', 'b.unit_price')} > 0.02 then 'unit_price' end) dif, {WITHIN} wi, {UNITS_DIFFER} ud
   from rr left join a on a.run_id = rr.run_id and a.id = rr.a_id left join b on b.run_id = rr.run_id and b.id = rr.b_id
 ), t as (select *, {_PREFIX} pre, {_cut_sql('room_a', 50)} ra, case when status = 'blue' then '' else {_cut_sql('room_b', 50)} end rb, {_cut_sql('a_desc', 140)} ad, {_cut_sql('b_desc', 140)} bd, {_MONEY.format('a_amt')} ma, {_MONEY.format('b_amt')} mb,
    concat_ws('; ', {_TOTAL}, case when {_DIFFERS.format('aq', 'bq')} then {_QTY} end, case when {_DIFFERS.format('ap', 'bp')} then {_PRICE} end, case when au <> '' and bu <> '' and upper(au) <> upper(bu) then concat('unit: ', au, ' vs ', bu) end) od,
-   concat_ws('; ', {_TOTAL}, case when aq is not null or bq is not null then {_QTY} end, case when ap is not null or bp is not null then {_PRICE} end) gd, case when dif <> '' then concat('differs: ', dif) else '' end why from q)
+   concat_ws('; ', {_TOTAL}, case when aq is not null or bq is not null then {_QTY} end, case when ap is not null or bp is not null then {_PRICE} end) gd, case when dif <> '' then concat('| metadata differs: ', dif) when status = 'orange' and wi and ud then concat('| metadata differs: unit (', au, ' vs ', bu, ')') else '' end why from q)
 select run_id, coalesce(a_id, -1) a_id, coalesce(b_id, -1) b_id, status, case status
   when 'blue' then case when a_id % 97 = 0 then concat(pre, 'Room: ', ra, '. High-priority JDR-only scope item "', ad, '" at ', ma, ' was not found in the insurance estimate. Review for potential scope omission.')
     else concat(pre, 'Room: ', ra, '. The contractor estimate includes "', ad, '" at ', ma, ', but no comparable item was found in the insurance estimate.') end
@@ -268,7 +280,7 @@ select run_id, coalesce(a_id, -1) a_id, coalesce(b_id, -1) b_id, status, case st
 @query("with " + COMMENTS_SQL)
 def report_comments(spark, sf_dir):
     """Comment, colours, notes and nugget line of each report row, critical ones among them."""
-    rows = R.once_each(R.in_order(R.report_rows(_with_nuggets(spark, sf_dir, True), S.items(spark, sf_dir))))
+    rows = R.once_each(R.in_order(_report_rows(spark, sf_dir, True)[0]))
     line = F.when(F.col("status") == "nugget", R.nugget_line()).otherwise("")
     return rows.select("run_id", _id("a_id"), _id("b_id"), "status", R.comment().alias("comment"), R.colour(F.col("status")).alias("highlight"), R.colour(F.col("status"), R.NOTE).alias("note"), line.alias("nugget_line"))
 
@@ -276,14 +288,23 @@ def report_comments(spark, sf_dir):
 @query("with " + REPORT_SQL + """, pg as (select run_id, 3 + cast(run_id as int) % 4 n from it group by run_id) select rr.run_id, coalesce(a_id, -1) a_id, coalesce(b_id, -1) b_id from rr join pg on pg.run_id = rr.run_id where status = 'nugget' or a_page between 1 and n""")
 def report_kept_pages(spark, sf_dir):
     """Runs of three to six kept pages: rows of items beyond them are left out."""
-    items = S.items(spark, sf_dir)
+    rows, items = _report_rows(spark, sf_dir)
     pages = items.select("run_id", (F.col("run_id").cast("int") % 4 + 3).alias("n_pages")).distinct()
-    return R.on_kept_pages(R.report_rows(_with_nuggets(spark, sf_dir), items), pages).select("run_id", _id("a_id"), _id("b_id"))
+    return R.on_kept_pages(rows, pages).select("run_id", _id("a_id"), _id("b_id"))
 
 
-@query("with " + REPORT_SQL + """ select run_id, count(*) "rows", count(*) filter (where status <> 'nugget') annotated, count(*) filter (where status = 'nugget') nuggets, count(*) filter (where status = 'blue' and a_id % 97 = 0) critical, count(distinct a_page) pages from rr group by run_id""")
+@query("with " + REPORT_SQL + """, pg as (select run_id, cast(run_id as int) % 6 n from it group by run_id
+), tg as (select rr.*, status <> 'nugget' and a_page between 1 and n target, status = 'nugget' and n > 0 nug from rr join pg on pg.run_id = rr.run_id
+), st as (select run_id, count(*) filter (where target) line_items_targeted, count(*) filter (where target and status = 'blue' and a_id % 97 = 0) critical, count(distinct case when target then a_page end) pages, count(*) filter (where nug) nuggets from tg group by run_id
+), ck as (select run_id, k, least(8, nuggets - 8 * k) n from st, lateral (select unnest(range(0, (nuggets + 7) // 8)) k)
+), fy as (select run_id, k, 774.0 - k * (least(220, greatest(86, 22 + 14 * (n + 1))) + 8) - least(220, greatest(86, 22 + 14 * (n + 1))) >= 12 fits from ck
+), nn as (select run_id, coalesce(min(case when not fits then k end), count(*)) notes from fy group by run_id)
+select st.*, coalesce(notes, 0) nugget_notes from st left join nn on nn.run_id = st.run_id""")
 def render_stats(spark, sf_dir):
-    return R.render_stats(R.report_rows(_with_nuggets(spark, sf_dir, True), S.items(spark, sf_dir)))
+    """Runs of none to five kept pages."""
+    rows, items = _report_rows(spark, sf_dir, True)
+    pages = items.select("run_id", (F.col("run_id").cast("int") % 6).alias("n_pages")).distinct()
+    return R.render_stats(R.once_each(R.in_order(rows)), pages)
 
 
 # scans ----------------------------------------------------------------------------------------------------------
@@ -535,10 +556,31 @@ def room_links_merged(spark, sf_dir):
     return _links(spark, sf_dir).select("run_id", "room_a", "room_b", F.round("confidence", 9).alias("confidence"))
 
 
-@query()
+@query("with recursive " + PAIR_SCORES_SQL + """, cl as (select run_id, room_a, room_b, round(combined, 9) confidence, row_number() over (partition by run_id order by round(combined, 9) desc, room_a, room_b) k from sc where combined >= 0.42
+), cw as (select run_id, k, room_a, room_b, confidence, true keep, [room_a] ka, [room_b] kb from cl where k = 1
+  union all select l.run_id, l.k, l.room_a, l.room_b, l.confidence, len(list_filter(w.ka, lambda x: x = l.room_a)) < 5 or len(list_filter(w.kb, lambda x: x = l.room_b)) < 5,
+    case when len(list_filter(w.ka, lambda x: x = l.room_a)) < 5 or len(list_filter(w.kb, lambda x: x = l.room_b)) < 5 then list_append(w.ka, l.room_a) else w.ka end,
+    case when len(list_filter(w.ka, lambda x: x = l.room_a)) < 5 or len(list_filter(w.kb, lambda x: x = l.room_b)) < 5 then list_append(w.kb, l.room_b) else w.kb end
+  from cw w join cl l on l.run_id = w.run_id and l.k = w.k + 1)
+select run_id, room_a, room_b, confidence from cw where keep""")
 def room_links_capped(spark, sf_dir):
-    """Kept counts depend on each other link by link."""
-    return G.cap_links(_links(spark, sf_dir)).select("run_id", "room_a", "room_b", F.round("confidence", 9).alias("confidence"))
+    """Of every scored pair that could be a link, so that the cap acts; kept counts depend on each other link by link."""
+    links = _scores(spark, sf_dir).where("combined >= 0.42").select("run_id", "room_a", "room_b", F.round("combined", 9).alias("confidence"))
+    return G.cap_links(links)
+
+
+@query("with " + LINKS_SQL + """, jl as (select run_id, room_a, room_b from r4 where accepted and length(room_a) % 2 = 0
+), every as (select run_id, room_a, room_b from xl union select run_id, room_a, room_b from dl union select run_id, room_a, room_b from jl
+), fl as (select e.run_id, e.room_a, e.room_b, xl.confidence x, dl.confidence d, jl.room_a is not null j from every e left join xl using (run_id, room_a, room_b) left join dl using (run_id, room_a, room_b) left join jl using (run_id, room_a, room_b))
+select run_id, room_a, room_b, round(cast(greatest(coalesce(x, 0), coalesce(d, 0), case when j then 0.98 else 0 end) as double), 9) confidence,
+ case when x is not null then concat('exact-name-match', case when d is not null then '; deterministic-room-link' else '' end, case when j then '; model-room-link' else '' end)
+   when j then concat('model-room-link', case when d is not null then '; deterministic-room-link' else '' end) else 'deterministic-room-link' end rationale from fl""")
+def room_link_reasons(spark, sf_dir):
+    """Exact, deterministic and judged links of one pair: the surer one's reason first."""
+    ranked = S.stored(_ranked(spark, sf_dir), "ranked")
+    judged = ranked.where("accepted and length(room_a) % 2 = 0").select("run_id", "room_a", "room_b", F.lit(0.98).alias("confidence"), F.lit("model-room-link").alias("rationale"))
+    exact = G.exact_links(S.items(spark, sf_dir).select("run_id", "doc", "room").distinct())
+    return G.merge_links(exact, G.deterministic_links(ranked), judged).withColumn("confidence", F.round("confidence", 9))
 
 
 @query("with " + LINKS_SQL + ", b as (select *, row_number() over (partition by run_id, room_b order by round(confidence, 9) desc, room_a) r from ml) select run_id, room_b, room_a, round(confidence, 9) confidence from b where r = 1")
@@ -592,12 +634,59 @@ def room_strong_links(spark, sf_dir):
     return G.strong_links(_scores(spark, sf_dir).withColumn("confidence", F.col("combined"))).select("run_id", "room_a", "room_b")
 
 
-@query()
+def _name_sql(a: str, b: str, tokens: str) -> str:
+    """Similarity of two room names without the sequence ratio; tokens: a template of their words."""
+    ta, tb, na, nb = tokens.format(a), tokens.format(b), _RNUM.format(a), _RNUM.format(b)
+    kinds = f"len(list_intersect(list_concat(list_filter({ta}, lambda t: not list_contains({tb}, t)), list_filter({tb}, lambda t: not list_contains({ta}, t))), ['{"','".join(G.ROOM_TYPES)}'])) > 0"
+    return f"(case when len({ta}) = 0 or len({tb}) = 0 then 0.0 when len({na}) > 0 and len({nb}) > 0 and {na} <> {nb} then 0.0 when {kinds} then 0.25 else greatest({_JAC.format(a=ta, b=tb)}, case when {ta}[-1] = {tb}[-1] then 0.92 else 0.0 end) end)"
+
+
+_ALL_TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+#: rooms of B renamed, and links of five kinds: as scored; too weak by themselves; only in the graph; none; to rooms that are gone
+CASCADE_SQL = "recursive " + ITEMS_SQL + f""", rn as (select * replace (case when doc = 'B' then case when length(room) % 2 = 0 then concat('Wing ', room) else concat(room, ' west') end else room end as room) from it
+), wd as (select distinct run_id, doc, room, unnest({PROFILE.format('description')}) w from rn
+), pf as (select run_id, doc, room, list(w) p, list(w) filter (where not list_contains({STOP}, w)) m from wd group by run_id, doc, room
+), nb as (select a.run_id, a.room room_a, b.room room_b, {_name_sql('a.room', 'b.room', _RTOK)} as name, {_JAC.format(a='a.p', b='b.p')} profile, {_name_sql('a.room', 'b.room', _ALL_TOKENS)} soft_name, {_JAC.format(a='a.m', b='b.m')} soft_profile
+  from pf a join pf b on a.run_id = b.run_id and a.doc = 'A' and b.doc = 'B'
+), cs as (select *, name * 0.78 + profile * 0.22 combined, soft_name * 0.72 + soft_profile * 0.28 soft from nb
+), lk as (select run_id, room_a, room_b, case ascii(room_a) % 5 when 0 then combined when 1 then combined * 0.6 else 0.43 end confidence from cs where ascii(room_a) % 5 < 3 and combined >= 0.7
+  union all select distinct run_id, room_a, concat('Gone ', room_a), 0.9 from cs where ascii(room_a) % 5 = 4
+), cn as (select distinct run_id, concat(doc, '::', room) node from rn union select run_id, concat('B::', room_b) from lk
+), ce as (select run_id, concat('A::', room_a) u, concat('B::', room_b) v from lk where confidence >= 0.42 union all select run_id, concat('B::', room_b), concat('A::', room_a) from lk where confidence >= 0.42
+), cp(run_id, node, component) using key (run_id, node) as (select run_id, node, node from cn
+  union select e.run_id, e.v, min(w.component) from cp w join ce e on e.run_id = w.run_id and e.u = w.node join recurring.cp c on c.run_id = e.run_id and c.node = e.v where w.component < c.component group by e.run_id, e.v)"""
+_CASCADE_END = f"""
+), tl as (select *, max(confidence) over (partition by run_id, room_a) top, row_number() over (partition by run_id, room_a order by confidence desc, room_b) r from lk
+), sd as (select run_id, room_a, room_b, case when confidence >= 0.6 then 0 else 1 end g from tl where confidence >= 0.6 or (top < 0.6 and top >= 0.45 and confidence >= greatest(0.45, top - 0.12) and r <= 3)
+  union all select a.run_id, substr(a.node, 4), substr(b.node, 4), 2 from cp a join cp b on a.run_id = b.run_id and a.component = b.component where a.node like 'A::%' and b.node like 'B::%'
+), md as (select run_id, room_a, min(g) g from sd group by run_id, room_a
+), sf as (select *, soft < 0.20 and soft_name < 0.34 and soft_profile < 0.10 poor, bool_or(not (soft < 0.20 and soft_name < 0.34 and soft_profile < 0.10)) over (partition by run_id, room_a) good from cs
+), sr as (select *, row_number() over (partition by run_id, room_a order by case when good then soft else 0 end desc, room_b) r from sf where not poor or not good
+), se as (select distinct run_id, room_a, room_b, g from sd join md using (run_id, room_a, g) union select distinct sd.run_id, sd.room_a, sd.room_b, md.g from sd join md on md.run_id = sd.run_id and md.room_a = sd.room_a
+  union select sr.run_id, sr.room_a, sr.room_b, 3 from sr anti join md on md.run_id = sr.run_id and md.room_a = sr.room_a where r <= 6
+), bb as (select x.run_id, x.room room_b, y.room near from pf x join pf y on x.run_id = y.run_id and x.doc = 'B' and y.doc = 'B' and x.room <> y.room
+  where {_name_sql('x.room', 'y.room', _ALL_TOKENS)} >= 0.90 or ({_name_sql('x.room', 'y.room', _ALL_TOKENS)} >= 0.80 and {_JAC.format(a='x.m', b='y.m')} >= 0.06)
+), ex as (select run_id, room_a, room_b, g, true seed from se union all select se.run_id, room_a, near, g, false from se join bb on bb.run_id = se.run_id and bb.room_b = se.room_b
+), fd as (select run_id, room_a, room_b, min(g) g, bool_or(seed) seed from ex semi join (select run_id, room room_b from pf where doc = 'B') u using (run_id, room_b) group by run_id, room_a, room_b
+), rx as (select run_id, room_a, bool_or(not seed) expanded from fd group by run_id, room_a)
+select run_id, room_a, room_b, ['strong', 'low-confidence-fallback', 'room-group-fallback', 'name-profile-fallback'][g + 1] as "mode", expanded from fd join rx using (run_id, room_a)
+union all select run_id, room_a, room_b, 'global-room-fallback', false from sr anti join rx using (run_id, room_a) where r <= 10"""
+
+
+@query("with " + CASCADE_SQL + _CASCADE_END[2:])
 def room_candidate_cascade(spark, sf_dir):
-    """Links, components, soft candidates, expansion."""
+    """Every rule of the cascade on renamed rooms of B: links of five kinds, components, soft candidates, expansion, and links
+    to rooms without items."""
     items = S.items(spark, sf_dir)
-    profiles = G.profiles(items, X.match_tokens)
-    return G.candidate_rooms(profiles, _links(spark, sf_dir), _components(spark, sf_dir))
+    b = F.when(F.length("room") % 2 == 0, F.concat(F.lit("Wing "), "room")).otherwise(F.concat("room", F.lit(" west")))
+    items = S.stored(items.withColumn("room", F.when(F.col("doc") == "B", b).otherwise(F.col("room"))), "items")
+    kind = F.ascii("room_a") % 5
+    scored = S.stored(G.score_pairs(G.profiles(items), with_ratio=False).withColumn("kind", kind), "pairs")
+    links = scored.where("kind < 3 and combined >= 0.7").select("run_id", "room_a", "room_b", F.when(F.col("kind") == 0, F.col("combined")).when(F.col("kind") == 1, F.col("combined") * 0.6).otherwise(0.43).alias("confidence"))
+    gone = scored.where("kind = 4").select("run_id", "room_a", F.concat(F.lit("Gone "), "room_a").alias("room_b"), F.lit(0.9).alias("confidence")).distinct()
+    links = S.stored(links.unionByName(gone), "links")
+    components = G.components(items.select("run_id", "doc", "room").distinct(), links, 0.42)
+    return G.candidate_cascade(G.profiles(items, X.match_tokens), links, components, 0.6, with_ratio=False)
 
 
 # items ----------------------------------------------------------------------------------------------------------
@@ -657,7 +746,7 @@ def assignment_one_to_one(spark, sf_dir):
 
 def _greedy_sql(edges: str, out: str) -> str:
     """Recursive walk over the edges of each room, best score first, with the ids used so far."""
-    return f"""{out}_o as (select *, row_number() over (partition by run_id, room_a order by score desc, a_id, b_id) k from {edges}
+    return f"""{out}_o as (select *, row_number() over (partition by run_id, room_a order by score desc, a_page, a_id, b_page, b_id) k from {edges}
 ), {out}_w as (select run_id, room_a, k, a_id, b_id, score, true keep, [a_id] ua, [b_id] ub from {out}_o where k = 1
   union all select o.run_id, o.room_a, o.k, o.a_id, o.b_id, o.score, not (list_contains(w.ua, o.a_id) or list_contains(w.ub, o.b_id)),
     case when list_contains(w.ua, o.a_id) or list_contains(w.ub, o.b_id) then w.ua else list_append(w.ua, o.a_id) end,
@@ -666,7 +755,7 @@ def _greedy_sql(edges: str, out: str) -> str:
 ), {out} as (select run_id, room_a, a_id, b_id, score from {out}_w where keep)"""
 
 
-EDGES_SQL = PAIRS_SQL + f", ed as (select a.run_id, a.room room_a, a.id a_id, b.id b_id, b.page b_page, round({ALIGN}, 9) score from a join b on a.run_id = b.run_id and a.room = b.room and a.norm = b.norm)"
+EDGES_SQL = PAIRS_SQL + f", ed as (select a.run_id, a.room room_a, a.id a_id, a.page a_page, b.id b_id, b.page b_page, round({ALIGN}, 9) score from a join b on a.run_id = b.run_id and a.room = b.room and a.norm = b.norm)"
 
 
 @query("with recursive " + EDGES_SQL + ", " + _greedy_sql("ed", "g") + " select run_id, a_id, b_id, score from g")
@@ -738,30 +827,51 @@ def lines_parse_items(spark, sf_dir):
     return E.parse_items(S.lines(S.items(spark, sf_dir))).select("run_id", "doc", "page", "line_no", "amount")
 
 
-@query("with " + LINES_SQL + f""", h as (select *, {_HEAD} s from ln
+@query("with " + LINES_SQL + f""", lc as (select * replace (case when line_no = 0 and page % 2 = 1 then concat('Continued - ', text, ' :') else text end as text) from ln
+), h as (select *, {_HEAD} s from lc
 ), i as (select *, length(s) between 3 and 72 and not regexp_matches(s, '^\\s*\\d{{1,4}}\\s*[.)]\\s+') and not regexp_matches(lower(s), '\\b({"|".join(X.TABLE_HEADER_WORDS + X.NON_ROOM_WORDS)})\\b')
   and not contains(s, '$') and len(regexp_extract_all(lower(s), '[a-z0-9'']+')) between 1 and 7 and length(regexp_replace(s, '[^A-Za-z]', '', 'g')) >= 3 and length(regexp_replace(s, '[^0-9]', '', 'g')) <= 3 head from h
-), f as (select *, last_value(case when head then trim(regexp_replace(text, '\\s+', ' ', 'g')) end ignore nulls) over (partition by run_id, doc, page order by line_no rows between unbounded preceding and current row) room from i
+), f as (select *, last_value(case when head then s end ignore nulls) over (partition by run_id, doc, page order by line_no rows between unbounded preceding and current row) room from i
 ), n as (select *, cast(nullif(regexp_extract(text, '^\\s*(\\d{{1,4}})\\s*[.)]\\s+', 1), '') as int) number from f where not head
 ), r as (select *, row_number() over (partition by run_id, doc, page, number order by line_no desc) k from n where number is not null and room is not null)
 select run_id, doc, page, number, room from r where k = 1""".replace("\\\\", "\\"))
 def page_room_numbers(spark, sf_dir):
-    """Rooms of item numbers by the headings of their page."""
-    return E.rooms_by_number(S.lines(S.items(spark, sf_dir)))
+    """Rooms of item numbers by the headings of their page, every second of which goes on from the page before."""
+    goes_on = (F.col("line_no") == 0) & (F.col("page") % 2 == 1)
+    lines = S.lines(S.items(spark, sf_dir)).withColumn("text", F.when(goes_on, F.concat(F.lit("Continued - "), "text", F.lit(" :"))).otherwise(F.col("text")))
+    return E.rooms_by_number(lines)
 
 
 #: every fifth extracted number is lost and every seventh comes as another one
-@query("with " + LINES_SQL + r""", e as (select distinct run_id, doc, page, cast(regexp_extract(text, '^\s*(\d{1,4})', 1) as int) number from ln where regexp_matches(text, '^\s*\d{1,4}\s*[.)]\s+')
-), x as (select distinct run_id, doc, page, case when number % 7 = 0 then number + 1000 else number end number from e where number % 5 <> 0
-), j as (select coalesce(e.run_id, x.run_id) run_id, coalesce(e.doc, x.doc) doc, coalesce(e.page, x.page) page, e.number en, x.number xn from e full join x on e.run_id = x.run_id and e.doc = x.doc and e.page = x.page and e.number = x.number)
-select run_id, doc, page, count(en) expected, count(xn) extracted, count(case when en is not null and xn is not null then 1 end) covered,
- coalesce(string_agg(cast(en as varchar), ',' order by en) filter (where xn is null), '') missing, coalesce(string_agg(cast(xn as varchar), ',' order by xn) filter (where en is null), '') extra,
- min(en) as "first", max(en) as "last", count(en) = count(case when en is not null and xn is not null then 1 end) is_full, round(count(case when en is not null and xn is not null then 1 end) * 100.0 / count(en), 1) "percent" from j group by run_id, doc, page having count(en) > 0""")
+#: lines of every second page stand upside down, and the extraction comes in an order of its own; numbers repeat in both
+COVERAGE_SQL = LINES_SQL + r""", ex as (select run_id, doc, page, cast(regexp_extract(text, '^\s*(\d{1,4})', 1) as int) number, case when page % 2 = 0 then line_no else -line_no end pos from ln where regexp_matches(text, '^\s*\d{1,4}\s*[.)]\s+')
+), e as (select run_id, doc, page, number, min(pos) pos from (select * from ex union all select run_id, doc, page, number, pos + 5000 from ex) group by all
+), x as (select run_id, doc, page, number, min(pos) pos from (select run_id, doc, page, case when number % 7 = 0 then number + 1000 else number end number, number * 7919 % 101 * 1000 + number pos from e where number % 5 <> 0) group by all
+), j as (select coalesce(e.run_id, x.run_id) run_id, coalesce(e.doc, x.doc) doc, coalesce(e.page, x.page) page, e.number en, x.number xn, e.pos ep, x.pos xp from e full join x on e.run_id = x.run_id and e.doc = x.doc and e.page = x.page and e.number = x.number
+), pc as (select run_id, doc, page, count(en) expected, count(xn) extracted, count(case when en is not null and xn is not null then 1 end) covered,
+  list(en order by ep) filter (where en is not null and xn is null) missing, list(xn order by xp) filter (where en is null) extra, arg_min(en, ep) filter (where en is not null) as "first", arg_max(en, ep) filter (where en is not null) as "last" from j group by run_id, doc, page having count(en) > 0)"""
+
+
+def _coverage(spark, sf_dir):
+    lines = S.lines(S.items(spark, sf_dir)).select("run_id", "doc", "page", X.item_number("text").alias("number"), F.when(F.col("page") % 2 == 0, F.col("line_no")).otherwise(-F.col("line_no")).alias("pos")).where("number is not null")
+    expected = lines.unionByName(lines.withColumn("pos", F.col("pos") + 5000))
+    pos = F.col("number") * 7919 % 101 * 1000 + F.col("number")
+    extracted = expected.where("number % 5 <> 0").withColumn("pos", pos).withColumn("number", F.when(F.col("number") % 7 == 0, F.col("number") + 1000).otherwise(F.col("number")))
+    return E.page_coverage(expected, extracted)
+
+
+@query("with " + COVERAGE_SQL + """ select run_id, doc, page, expected, extracted, covered, coalesce(array_to_string(missing[1:40], ','), '') missing, coalesce(array_to_string(extra[1:20], ','), '') extra, "first", "last",
+  expected = covered is_full, round(covered * 100.0 / expected, 1) "percent" from pc""")
 def page_index_coverage(spark, sf_dir):
-    expected = S.lines(S.items(spark, sf_dir)).select("run_id", "doc", "page", X.item_number("text").alias("number")).where("number is not null")
-    extracted = expected.where("number % 5 <> 0").withColumn("number", F.when(F.col("number") % 7 == 0, F.col("number") + 1000).otherwise(F.col("number")))
-    out = E.page_coverage(expected, extracted)
-    return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("missing", "extra")})
+    return _coverage(spark, sf_dir).withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("missing", "extra")})
+
+
+@query("with " + COVERAGE_SQL + """, pb as (select run_id, doc, page, row_number() over (partition by run_id, doc order by page) k from pc where expected > covered
+), pl as (select run_id, doc, string_agg(cast(page as varchar), ',' order by page) problem_pages from pb where k <= 25 group by run_id, doc
+), dc as (select run_id, doc, count(*) pages_with_indices, count(*) filter (where expected = covered) pages_full, count(*) filter (where expected > covered) pages_incomplete, cast(sum(expected) as bigint) expected_total, cast(sum(covered) as bigint) covered_total, cast(sum(expected) - sum(covered) as bigint) missing_total, round(sum(covered) * 100.0 / sum(expected), 1) "percent" from pc group by run_id, doc)
+select dc.*, coalesce(problem_pages, '') problem_pages from dc left join pl on pl.run_id = dc.run_id and pl.doc = dc.doc""")
+def document_index_coverage(spark, sf_dir):
+    return E.document_coverage(_coverage(spark, sf_dir)).withColumn("problem_pages", F.array_join(F.transform("problem_pages", lambda x: x.cast("string")), ","))
 
 
 @query("with " + ITEMS_SQL + r""", l as (select run_id, doc, page, id, room, page number, row_number() over (partition by run_id, doc, page order by id) k from it
@@ -776,18 +886,20 @@ def occurrence_join(spark, sf_dir):
 _SIG = r"array_to_string(regexp_extract_all(lower(room), '[a-z0-9'']+')[1:4], ' ') sr, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(trim(description), '^\d+\.\s*', '')), '[a-z0-9'']+'), lambda t: length(t) > 2)[1:9], ' ') sd, round(amount, 2) sa"
 
 
-@query("with " + ITEMS_SQL + f""", s as (select run_id, doc, page, id, (id % 90) / 100.0 c1, (id % 97) / 100.0 c2, {_SIG} from it
+@query("with " + ITEMS_SQL + f""", s as (select run_id, doc, page, id, description, quantity, (id % 90) / 100.0 c1, (id % 97) / 100.0 c2, {_SIG} from it
 ), p as (select * from (select *, row_number() over (partition by run_id, doc, page, sr, sd, sa order by c1 desc, id) k from s where id % 4 <> 0) where k = 1
 ), q as (select * from (select *, row_number() over (partition by run_id, doc, page, sr, sd, sa order by c2 desc, id) k from s where id % 3 <> 0) where k = 1
-), j as (select coalesce(p.run_id, q.run_id) run_id, coalesce(p.doc, q.doc) doc, coalesce(p.page, q.page) page, coalesce(p.sr, q.sr) sig_room, coalesce(p.sd, q.sd) sig_desc, coalesce(p.sa, q.sa) sig_amount, p.c1, q.c2
+), j as (select coalesce(p.run_id, q.run_id) run_id, coalesce(p.doc, q.doc) doc, coalesce(p.page, q.page) page, coalesce(p.sr, q.sr) sig_room, coalesce(p.sd, q.sd) sig_desc, coalesce(p.sa, q.sa) sig_amount, p.c1, q.c2,
+   case when q.c2 is null or p.c1 >= q.c2 then p.description else upper(q.description) end description, case when q.c2 is null or p.c1 >= q.c2 then p.quantity else q.quantity + 10 end quantity, case when p.c1 is null then 'secondary' when q.c2 is null then 'primary' else 'both' end source
   from p full join q on p.run_id = q.run_id and p.doc = q.doc and p.page = q.page and p.sr = q.sr and p.sd = q.sd and p.sa is not distinct from q.sa)
-select run_id, doc, page, sig_room, sig_desc, sig_amount, round(case when c1 is not null and c2 is not null then least(1.0, (c1 + c2) / 2 + 0.08) when c1 is not null then c1 else c2 end, 6) confidence from j
-where (c1 is not null and c2 is not null) or c1 >= 0.40 or (c1 is null and c2 >= 0.60)""")
+select run_id, doc, page, sig_room, sig_desc, sig_amount, description, quantity, source, round(case when c1 is not null and c2 is not null then least(1.0, (c1 + c2) / 2 + 0.08) when c1 is not null then c1 else c2 end, 6) confidence from j
+where (c1 is not null and c2 is not null and cast(least(1.0, (c1 + c2) / 2 + 0.08) as double) >= 0.40) or (c2 is null and c1 >= 0.40) or (c1 is null and c2 >= 0.60)""")
 def dual_source_full_outer(spark, sf_dir):
     items = S.items(spark, sf_dir).withColumn("pos", F.col("id"))
     primary = items.where("id % 4 <> 0").withColumn("confidence", (F.col("id") % 90) / 100.0)
-    secondary = items.where("id % 3 <> 0").withColumn("confidence", (F.col("id") % 97) / 100.0)
-    return E.merge_sources(primary, secondary).select("run_id", "doc", "page", "sig_room", "sig_desc", "sig_amount", F.round("confidence", 6).alias("confidence"))
+    other = {"confidence": (F.col("id") % 97) / 100.0, "description": F.upper("description"), "quantity": F.col("quantity") + 10}
+    secondary = items.where("id % 3 <> 0").withColumns(other)
+    return E.merge_sources(primary, secondary).select("run_id", "doc", "page", "sig_room", "sig_desc", "sig_amount", "description", "quantity", "source", F.round("confidence", 6).alias("confidence"))
 
 
 @query("with " + ITEMS_SQL + ", d as (select run_id, doc, id, row_number() over (partition by run_id, doc, page, lower(trim(room)), lower(trim(description)), round(amount, 2) order by id) k from it) select run_id, doc, id from d where k = 1")
@@ -795,16 +907,16 @@ def item_dedupe_first(spark, sf_dir):
     return E.dedupe_items(S.items(spark, sf_dir)).select("run_id", "doc", "id")
 
 
-@query("with " + ITEMS_SQL + r""", s as (select run_id, doc, id, case when id % 11 = 0 then ' ' else room end room, case id % 8 when 0 then '12 345 678 90' when 1 then 'one-word' when 2 then 'ab c d e f' when 3 then '- ok -' else description end d from it where (id % 90) / 100.0 >= 0.40
+@query("with " + ITEMS_SQL + r""", s as (select run_id, doc, id, case when id % 11 = 0 then ' ' else room end room, case id % 8 when 0 then '12 345 678 90' when 1 then 'one-word' when 2 then 'ab c d e f' when 3 then '- ok -' when 4 then concat(' - ', replace(description, ' ', '   '), ' : ') else description end d from it where (id % 90) / 100.0 >= 0.40
 ), c as (select *, regexp_replace(trim(regexp_replace(d, '\s+', ' ', 'g')), '^[ \-:\t]+|[ \-:\t]+$', '', 'g') c from s)
-select run_id, doc, id, case when trim(room) = '' then 'Unspecified' else room end room from c where length(c) >= 6 and len(list_filter(regexp_extract_all(lower(c), '[a-z0-9'']+'), lambda t: length(t) > 2)) >= 2 and length(regexp_replace(c, '[^A-Za-z]', '', 'g')) >= 4""")
+select run_id, doc, id, case when trim(room) = '' then 'Unspecified' else room end room, c description from c where length(c) >= 6 and len(list_filter(regexp_extract_all(lower(c), '[a-z0-9'']+'), lambda t: length(t) > 2)) >= 2 and length(regexp_replace(c, '[^A-Za-z]', '', 'g')) >= 4""")
 def sanitize_items(spark, sf_dir):
     """Descriptions of digits, of one word, of short tokens and too short ones among the others; rooms of spaces."""
     items = S.items(spark, sf_dir).withColumn("confidence", (F.col("id") % 90) / 100.0)
     kind = F.col("id") % 8
-    said = F.when(kind == 0, "12 345 678 90").when(kind == 1, "one-word").when(kind == 2, "ab c d e f").when(kind == 3, "- ok -").otherwise(F.col("description"))
+    said = F.when(kind == 0, "12 345 678 90").when(kind == 1, "one-word").when(kind == 2, "ab c d e f").when(kind == 3, "- ok -").when(kind == 4, F.concat(F.lit(" - "), F.replace("description", F.lit(" "), F.lit("   ")), F.lit(" : "))).otherwise(F.col("description"))
     items = items.withColumn("description", said).withColumn("room", F.when(F.col("id") % 11 == 0, " ").otherwise(F.col("room")))
-    return E.sanitize(items).select("run_id", "doc", "id", "room")
+    return E.sanitize(items).select("run_id", "doc", "id", "room", "description")
 
 
 @query("""with e as (select cast(user_id as varchar) run_id, 'A' doc, cast(event_id % 40 as int) page, case when value > 95 then 'x summary for dwelling' when value < 5 then 'few words' else repeat('word ', 25) end as text, case when value < 5 then 0.5 else 0.1 end share from events
@@ -825,10 +937,83 @@ def payload_round_trip(spark, sf_dir):
     return S.from_payload(sent, "id bigint, quantity double, amount double, room string")
 
 
-@query("with " + ITEMS_SQL + " select run_id, doc, count(distinct page) pages, count(*) items, count(distinct case when page % 3 = 0 then page end) image_pages from it group by run_id, doc")
+def _numbered(text: str) -> list[str]:
+    return [x for x in text.split("\n") if x[:1].isdigit()]
+
+
+def _alpha(text: str) -> list[dict]:
+    if len(text) % 3 == 0:
+        raise ValueError("no answer")
+    return [{"room": "  hall ", "description": x, "confidence": len(x) % 10 / 10} for x in _numbered(text)]
+
+
+def _beta(text: str) -> list[dict]:
+    if len(text) % 5 == 0:
+        raise ValueError("no answer")
+    return [{"room": "hall b", "description": x, "confidence": 0.5} for x in _numbered(text)]
+
+
+def _gamma(text: str) -> list[dict]:
+    if len(text) % 4 == 0:
+        raise ValueError("no answer")
+    return [{"room": "hall", "description": x.upper(), "quantity": 2.0, "confidence": len(x) % 8 / 8} for x in _numbered(text) if len(x) % 2 == 0]
+
+
+def _eye(image: bytes) -> list[dict]:
+    page = int(image)
+    if page % 4 == 0:
+        raise ValueError("no answer")
+    return [{"room": "Porch", "description": f"- seen on page {page} -", "confidence": 0.3 if page % 3 == 0 else 0.9}]
+
+
+def _pages_read(spark, sf_dir):
+    """Pages of the lines, every second with an image, by readers that fail on some of them."""
+    lines = S.lines(S.items(spark, sf_dir))
+    texts = lines.groupBy("run_id", "doc", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda r: r["text"]), "\n")
+    pages = texts.select("run_id", "doc", "page", text.alias("text"), F.when(F.col("page") % 2 == 0, F.col("page").cast("string").cast("binary")).alias("image"))
+    return E.read_pages(S.stored(pages, "pages"), [("alpha", _alpha), ("beta", _beta)], [("eye", _eye)], [("gamma", _gamma)])
+
+
+_SIGNED = r"array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(text, '^\d+\.\s*', '')), '[a-z0-9'']+'), lambda t: length(t) > 2)[1:9], ' ')"
+READ_SQL = LINES_SQL + rf""", tx as (select run_id, doc, page, sum(length(text)) + count(*) - 1 n from ln group by run_id, doc, page
+), hd as (select run_id, doc, page, {_HEAD} head from ln where line_no = 0
+), rd as (select *, page % 2 = 0 and page % 4 <> 0 eye, page % 2 = 0 and page % 4 <> 0 and page % 3 <> 0 seen, case when n % 3 <> 0 then 'alpha' when n % 5 <> 0 then 'beta' end reader, n % 4 <> 0 gamma from tx
+), nl as (select ln.*, reader, gamma, row_number() over (partition by ln.run_id, ln.doc, ln.page order by line_no) pos, {_SIGNED} sd from ln join rd on rd.run_id = ln.run_id and rd.doc = ln.doc and rd.page = ln.page where regexp_matches(text, '^\d') and not seen
+), pr as (select *, case reader when 'alpha' then length(text) % 10 / 10 else 0.5 end c, case reader when 'alpha' then 'hall' else 'hall b' end own from nl where reader is not null
+), sc as (select *, length(text) % 8 / 8 c, 'hall' own from nl where gamma and length(text) % 2 = 0
+), bo as (select distinct pr.run_id, pr.doc, pr.page from pr join sc on sc.run_id = pr.run_id and sc.doc = pr.doc and sc.page = pr.page
+), pb as (select * from (select pr.*, row_number() over (partition by run_id, doc, page, own, sd order by c desc, pos) k from pr join bo using (run_id, doc, page)) where k = 1
+), sb as (select * from (select sc.*, row_number() over (partition by run_id, doc, page, own, sd order by c desc, pos) k from sc join bo using (run_id, doc, page)) where k = 1
+), mg as (select coalesce(p.run_id, s.run_id) run_id, coalesce(p.doc, s.doc) doc, coalesce(p.page, s.page) page, p.c c1, s.c c2, p.text t1, s.text t2, coalesce(p.own, s.own) own from pb p full join sb s on p.run_id = s.run_id and p.doc = s.doc and p.page = s.page and p.own = s.own and p.sd = s.sd
+), al as (select run_id, doc, page, own, case when c2 is null or c1 >= c2 then t1 else upper(t2) end description, case when c2 is null or c1 >= c2 then null else 2.0 end quantity, case when c1 is null then c2 when c2 is null then c1 else least(1.0, (c1 + c2) / 2 + 0.08) end confidence,
+   case when c1 is null then 'secondary' when c2 is null then 'primary' else 'both' end source from mg where case when c1 is null then c2 >= 0.6 when c2 is null then c1 >= 0.4 else (c1 + c2) / 2 + 0.08 >= 0.4 end
+  union all select run_id, doc, page, own, text, null, c, 'primary' from pr anti join bo using (run_id, doc, page) where c >= 0.4
+  union all select run_id, doc, page, own, upper(text), 2.0, c, 'secondary' from sc anti join bo using (run_id, doc, page) where c >= 0.6
+  union all select run_id, doc, page, 'Porch', concat('seen on page ', cast(page as varchar)), null, 0.9, 'image' from rd where seen
+), iread as (select al.run_id, al.doc, al.page, case when source <> 'image' then head else own end room, source <> 'image' and head <> own moved, description, cast(coalesce(quantity, -1) as double) quantity, cast(round(confidence, 6) as double) confidence, source from al join hd using (run_id, doc, page))"""
+
+
+@query("with " + READ_SQL + " select run_id, doc, page, room, description, quantity, confidence, source from iread")
+def page_readers(spark, sf_dir):
+    """Items of pages by an image reader, two text readers and a second source, merged, in the rooms of their page."""
+    items = _pages_read(spark, sf_dir).items
+    return items.select("run_id", "doc", "page", "room", "description", F.coalesce("quantity", F.lit(-1.0)).alias("quantity"), F.round("confidence", 6).alias("confidence"), "source")
+
+
+@query("with " + READ_SQL + """, ip as (select run_id, doc, page, count(*) n, count(*) filter (where moved) moved from iread group by run_id, doc, page
+), us as (select run_id, doc, reader, count(*) n from (select run_id, doc, 'eye' reader from rd where eye union all select run_id, doc, reader from rd where not seen and reader is not null union all select run_id, doc, 'gamma' from rd where not seen and gamma) group by run_id, doc, reader
+), ua as (select run_id, doc, string_agg(concat(reader, '=', cast(n as varchar)), ',' order by reader) usage from us group by run_id, doc
+), ct as (select rd.run_id, rd.doc, count(*) pages, count(*) chunks, count(ip.n) chunks_with_items, cast(sum(cast(eye as int) + case when seen then 0 else case reader when 'alpha' then 1 when 'beta' then 2 else 0 end + cast(gamma as int) end) as bigint) attempts,
+   count(*) filter (where eye) image_pages, cast(coalesce(sum(moved), 0) as bigint) reassigned, count(*) filter (where not seen and n % 15 = 0) unread from rd left join ip using (run_id, doc, page) group by rd.run_id, rd.doc)
+select ct.*, coalesce(usage, '') usage from ct left join ua on ua.run_id = ct.run_id and ua.doc = ct.doc""".replace("n % 15 = 0", "rd.n % 15 = 0"))
 def extraction_counters(spark, sf_dir):
-    items = S.items(spark, sf_dir).withColumn("reader", F.when(F.col("page") % 3 == 0, "image").otherwise("text"))
-    return E.extraction_counters(items).drop("usage")
+    """Counters of the readers' chain; unread counts pages on which every text reader failed, by the errors they left."""
+    pages = _pages_read(spark, sf_dir).pages
+    unread = pages.groupBy("run_id", "doc").agg(F.count(F.when(F.exists("read.errors", lambda e: e.startswith("beta:")), 1)).alias("unread"))
+    out = E.extraction_counters(pages).join(unread, ["run_id", "doc"])
+    usage = F.array_join(F.transform(F.array_sort(F.map_entries("usage")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return out.withColumn("usage", F.coalesce(usage, F.lit("")))
 
 
 @query("with " + ITEMS_SQL + """ select run_id, doc, id, concat('{"id":', cast(id as varchar), ',"room":"', room, '","description":"', case when length(trim(description)) > 180 then concat(substr(trim(description), 1, 177), '...') else trim(description) end, '"',
@@ -844,28 +1029,51 @@ def left_side_preference(spark, sf_dir):
     return R.left_side(r, 612.0).select("id")
 
 
-@query("with recursive " + PAIRS_SQL + f""", ed as (select * from (select a.run_id, a.room room_a, a.id a_id, b.id b_id, b.page b_page, {ALIGN} score, row_number() over (partition by a.run_id, a.id order by b.page, b.id) h
+def _reviewer(ask: dict) -> list[dict]:
+    """Fails on some rooms, leaves out some items, makes up items of B for others."""
+    if len(ask["room_a"]) % 5 == 0:
+        raise RuntimeError("no answer")
+    out = []
+    for x in ask["items_a"]:
+        i = x["id"]
+        if i % 10 == 3:
+            continue
+        b = 999 if i % 6 == 1 else ask["first"][i]["item_b_id"] if i % 2 == 0 else None
+        out.append({"item_a_id": i, "item_b_id": b, "scope_same": True, "confidence": 0.9, "rationale": "reviewed", "critical_blue": i % 5 == 0})
+    return out
+
+
+@query("with recursive " + PAIRS_SQL + f""", ed as (select * from (select a.run_id, a.room room_a, a.id a_id, a.page a_page, b.id b_id, b.page b_page, {ALIGN} score, row_number() over (partition by a.run_id, a.id order by b.page, b.id) h
   from a join b on a.run_id = b.run_id and a.room = b.room and a.norm = b.norm where a.norm <> '') where h <= 8
 ), be as (select *, row_number() over (partition by run_id, a_id order by score desc, b_page, b_id) r from ed
 ), p0 as (select a.run_id, a.room room_a, a.id a_id, a.page a_page, be.b_id from a left join be on be.run_id = a.run_id and be.a_id = a.id and r = 1
 ), e0 as (select * from ed where not exists (select 1 from p0 where p0.run_id = ed.run_id and p0.room_a = ed.room_a and p0.b_id = ed.b_id)), """ + _greedy_sql("e0", "g0") + """
-, f as (select p0.run_id, p0.room_a, p0.a_id, a_page, coalesce(g0.b_id, p0.b_id) b_id, case when p0.a_id % 4 = 0 then 0.4 when coalesce(g0.b_id, p0.b_id) is not null then 0.93 else 0.0 end confidence from p0 left join g0 on g0.run_id = p0.run_id and g0.room_a = p0.room_a and g0.a_id = p0.a_id
-), u as (select run_id, room_a, a_id, case when a_id % 2 = 0 then b_id end b_id, a_id % 5 = 0 and (a_id % 2 <> 0 or b_id is null) critical from f where b_id is null or confidence < 0.50
+, f as (select p0.run_id, p0.room_a, p0.a_id, a_page, coalesce(g0.b_id, p0.b_id) b_id, p0.b_id off, case when p0.a_id % 4 = 0 then 0.4 when coalesce(g0.b_id, p0.b_id) is not null then 0.93 else 0.0 end confidence from p0 left join g0 on g0.run_id = p0.run_id and g0.room_a = p0.room_a and g0.a_id = p0.a_id
+), br as (select distinct run_id, room room_a from b
+), u0 as (select f.*, length(f.room_a) % 5 = 0 fails from f where b_id is null or confidence < 0.50
+), u as (select run_id, room_a, a_id, br.room_a is not null and (fails or a_id % 10 <> 3) said, case when br.room_a is null then null when fails then off when a_id % 10 = 3 then null when a_id % 6 = 1 then 999 when a_id % 2 = 0 then b_id end b_id,
+   case when fails then case when off is not null then 0.93 else 0.0 end else 0.9 end confidence, not fails and a_id % 10 <> 3 and a_id % 5 = 0 and (a_id % 6 <> 1 and (a_id % 2 <> 0 or b_id is null)) critical from u0 left join br using (run_id, room_a)
 ), h1 as (select distinct u.run_id, u.room_a, u.b_id from u join ed on ed.run_id = u.run_id and ed.room_a = u.room_a and ed.a_id = u.a_id and ed.b_id = u.b_id
 ), e1 as (select ed.* from ed join u on u.run_id = ed.run_id and u.room_a = ed.room_a and u.a_id = ed.a_id where not exists (select 1 from h1 where h1.run_id = ed.run_id and h1.room_a = ed.room_a and h1.b_id = ed.b_id)), """ + _greedy_sql("e1", "g1") + """
-, r as (select u.run_id, u.a_id, coalesce(g1.b_id, u.b_id) b_id, case when g1.b_id is not null then 0.93 else 0.9 end confidence, g1.b_id is null and critical critical from u left join g1 on g1.run_id = u.run_id and g1.room_a = u.room_a and g1.a_id = u.a_id
-), c as (select f.run_id, f.room_a, f.a_id, f.a_page, case when r.a_id is null or (r.b_id is null and f.b_id is not null and f.confidence >= 0.55) then f.b_id else r.b_id end b_id,
-   case when r.a_id is null or (r.b_id is null and f.b_id is not null and f.confidence >= 0.55) then f.confidence else r.confidence end confidence, coalesce(r.critical, false) critical_blue from f left join r on r.run_id = f.run_id and r.a_id = f.a_id)
+, fr as (select distinct run_id, room_a from g1
+), r as (select u.run_id, u.a_id, coalesce(g1.b_id, u.b_id) b_id, case when g1.b_id is not null then greatest(0.93, case when said then u.confidence else 0 end) when said then u.confidence else 0.0 end confidence, g1.b_id is null and said and critical critical
+   from u left join g1 on g1.run_id = u.run_id and g1.room_a = u.room_a and g1.a_id = u.a_id left join fr on fr.run_id = u.run_id and fr.room_a = u.room_a where said or g1.b_id is not null or fr.room_a is not null
+), c0 as (select f.run_id, f.room_a, f.a_id, f.a_page, case when r.a_id is null or (r.b_id is null and f.b_id is not null and f.confidence >= 0.55) then f.b_id else r.b_id end b_id,
+   case when r.a_id is null or (r.b_id is null and f.b_id is not null and f.confidence >= 0.55) then f.confidence else r.confidence end confidence, coalesce(r.critical, false) critical_blue from f left join r on r.run_id = f.run_id and r.a_id = f.a_id
+), c as (select * replace (case when b_id <> 999 then b_id end as b_id) from c0)
 select run_id, a_id, case when b_id is not null and row_number() over (partition by run_id, b_id order by room_a, confidence desc, a_page, a_id) = 1 then b_id else -1 end b_id, cast(confidence as double) confidence, critical_blue from c""")
 def reconcile_two_pass(spark, sf_dir):
-    """Both passes of a reconciliation by exact names: exact wording enforced in each, the second by a fixed rule over
-    unsure rows (a fourth are made so), the passes coalesced, then one-to-one."""
+    """Both passes by exact names: exact wording enforced in each; unsure rows (a fourth are made so) go room by room to a
+    reviewer that fails on some rooms, is silent about some items and makes up others; passes coalesced, one-to-one."""
+    from ..operators.review import by_room
     from .reconcile import first_pass, second_pass
 
-    proposals, edges, offline = first_pass(S.stored(S.items(spark, sf_dir), "items"), near=False)
+    items = S.stored(S.items(spark, sf_dir), "items")
+    proposals, edges, offline = first_pass(items, near=False)
     first = proposals.withColumn("confidence", F.when(F.col("a_id") % 4 == 0, 0.4).otherwise(F.col("confidence")))
-    both = second_pass(S.stored(M.uncertain(first), "first-pass"), edges, offline, _second)
-    return M.assign_one_to_one(both.drop("uncertain")).select("run_id", "a_id", _id("b_id"), "confidence", "critical_blue")
+    a, b = M.sides(items)
+    both = second_pass(S.stored(M.uncertain(first), "first-pass"), edges, offline, by_room(_reviewer, a, b))
+    return M.assign_one_to_one(M.known_only(both.drop("uncertain"), b)).select("run_id", "a_id", _id("b_id"), "confidence", "critical_blue")
 
 
 @query()

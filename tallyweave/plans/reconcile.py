@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -50,23 +49,29 @@ def first_pass(items: DataFrame, blocks: DataFrame | None = None, near: bool = T
 
 
 def second_pass(first: DataFrame, edges: DataFrame, proposals: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What second says of the uncertain rows, the best answer for each, exact wording enforced among these, coalesced
-    with the first pass. Where second fails, the offline proposals for these rows stand in for it."""
-    cols = ["b_id", "scope_same", "confidence", "critical_blue"]
+    """What second says of the uncertain rows (run_id, a_id, b_id, scope_same, confidence, critical_blue; rationale, pos and failed
+    if it has them), the best answer for each, exact wording enforced among these, coalesced with the first pass.
+
+    For rows that come back as failed the offline proposals stand in, and exact wording is enforced on them too; others keep their
+    answers. An exception that second itself raises ends the job: operators/review.py turns those of a reviewer into rows.
+    """
+    cols = ["b_id", "scope_same", "confidence", "rationale", "critical_blue"]
     unsure = first.where("uncertain")
     asked = unsure.select("run_id", "room_a", "a_id")
-    try:
-        said = M.best_by_item(second(unsure).select("run_id", "a_id", *cols, F.coalesce("b_id", F.lit(-1)).alias("pos"))).select("run_id", "a_id", *cols, F.lit(True).alias("said"))
-        answers = stored(asked.join(said, ["run_id", "a_id"], "left"), "second-pass")
-    except Exception as error:  # noqa: BLE001  a reviewer that fails must not end the run
-        warnings.warn(f"second pass failed, offline proposals stand in: {error}", stacklevel=2)
-        return M.coalesce_passes(first, proposals.join(asked, ["run_id", "room_a", "a_id"], "left_semi"))
-    reviewed = M.enforce_exact(answers, edges.join(asked, ["run_id", "room_a", "a_id"], "left_semi")).where("said or b_id is not null")
+    answers = M.with_reason(second(unsure))
+    extra = {"pos": F.coalesce("b_id", F.lit(-1)), "failed": F.lit(False)}
+    answers = stored(answers.withColumns({c: v for c, v in extra.items() if c not in answers.columns}).select("run_id", "a_id", *cols, "pos", "failed"), "second-pass")
+    failed = answers.where("failed").select("run_id", "a_id").distinct()
+    said = M.best_by_item(answers.where("not failed").join(failed, ["run_id", "a_id"], "left_anti")).select("run_id", "a_id", *cols)
+    stand_in = M.with_reason(proposals).join(failed, ["run_id", "a_id"], "left_semi").select("run_id", "a_id", *cols)
+    rows = asked.join(said.unionByName(stand_in).withColumn("said", F.lit(True)), ["run_id", "a_id"], "left")
+    reviewed = M.enforce_exact(rows, edges.join(asked, ["run_id", "room_a", "a_id"], "left_semi")).where("said")
     return M.coalesce_passes(first, reviewed)
 
 
-def reconcile(items: DataFrame, judge: Callable | None = None, second: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.6) -> Reconciled:
-    """second may review the uncertain first-pass rows (run_id, a_id, b_id, scope_same, confidence, critical_blue)."""
+def reconcile(items: DataFrame, judge: Callable | None = None, second: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None, least: float = 0.6) -> Reconciled:
+    """second may review the uncertain first-pass rows: it takes them, with both sides of their rooms for a reviewer by room, as
+    in second=lambda unsure, a, b: by_room(reviewer, a, b)(unsure). Items of B that it makes up are dropped."""
     links = stored(map_rooms(items, judge), "room-links")
     components = rooms_.components(items.select("run_id", "doc", "room").distinct(), links, max(0.40, least - 0.18))
     profiles = rooms_.profiles(items, rooms_.X.match_tokens)
@@ -74,7 +79,8 @@ def reconcile(items: DataFrame, judge: Callable | None = None, second: Callable[
     proposals, edges, offline = first_pass(items, blocks)
     if second is not None:
         first = stored(M.uncertain(proposals), "first-pass")
-        proposals = second_pass(first, edges, offline, second).drop("uncertain")
+        a, b = M.sides(items, blocks)
+        proposals = M.known_only(second_pass(first, edges, offline, lambda unsure: second(unsure, a, b)).drop("uncertain"), b)
     assigned = stored(M.assign_one_to_one(proposals), "assigned")
     pairs = stored(C.classify(C.with_sides(assigned, items)), "pairs")
     nuggets = C.nuggets(items, assigned, links)

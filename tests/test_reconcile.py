@@ -24,9 +24,27 @@ CLASSES = [
     (dict(amount=20.0), dict(quantity=2.0, unit_price=10.0), True, "green"),
     (dict(), dict(), True, "orange"),
     (dict(amount=5.0), dict(amount=5.0), False, "orange"),
+    (dict(quantity=1.0, unit_price=100.0), dict(amount=98.0), True, "green"),  # 2 / 100: what is computed divides
+    (dict(quantity=1.0, unit_price=98.0), dict(amount=100.0), True, "orange"),  # 2 / 98
 ]
 
 
+def test_reasons_name_what_made_a_pair_orange(spark):
+    """By hand: units and specifications only where the numbers agree; the proposal's reason comes first."""
+    schema = "b_id bigint, scope_same boolean, critical_blue boolean, rationale string, " + ", ".join(f"{s}_{f} {k}" for s in "ab" for f, k in zip(FIELDS, ("double", "double", "double", "string", "string")))
+    same = (10.0, 1.0, 10.0)
+    rows = [
+        (1, True, False, "r", *same, "SF", "wall", *same, "LF", "wall"), (2, True, False, "r", *same, "SF", "1/2 inch ply", *same, "sq ft", "5/8 inch ply"), (3, True, False, "r", *same, "SF", "1/2 inch", *same, "LF", "5/8 inch"),
+        (4, True, False, "r", 10.0, 1.0, 10.0, "SF", "x", 20.0, 2.0, 10.0, "LF", "x"), (5, False, False, "r", *same, "SF", "x", *same, "LF", "x"), (6, True, True, "r", *same, "SF", "x", *same, "SF", "x"),
+    ]
+    got = {x["b_id"]: (x["status"], x["rationale"]) for x in C.classify(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == ("orange", "r | metadata differs: unit (SF vs LF)")
+    assert got[2] == ("orange", "r | metadata differs: specs ({'1/2', '1/2inch'} vs {'5/8', '5/8inch'})")
+    assert got[3] == ("orange", "r | metadata differs: unit (SF vs LF)")
+    assert got[4] == ("orange", "r | metadata differs: amount, quantity")
+    assert got[5] == ("orange", "r") and got[6] == ("green", "r")
+
+
 def test_classify(spark):
     rows = [(k, scope, want, *(a.get(f) for f in FIELDS), *(b.get(f) for f in FIELDS)) for k, (a, b, scope, want) in enumerate(CLASSES)]
     kinds = dict(amount="double", quantity="double", unit_price="double", unit="string", description="string")
@@ -35,7 +53,7 @@ def test_classify(spark):
     for r in C.classify(df).collect():
         assert r["status"] == r["want"], r
     blue = C.classify(df.withColumn("b_id", F.lit(None).cast("bigint")).withColumn("critical_blue", F.lit(True))).select("status", "rationale").distinct().collect()
-    assert {r["status"] for r in blue} == {"blue"} and all(r["rationale"].startswith("[CRITICAL_BLUE]") for r in blue)
+    assert {r["status"] for r in blue} == {"blue"} and all(r["rationale"] == " | [CRITICAL_BLUE] high-priority JDR-only scope" for r in blue)
 
 
 PROPOSAL = "run_id string, room_a string, a_id bigint, a_page int, b_id bigint, confidence double, scope_same boolean, critical_blue boolean"
@@ -56,16 +74,25 @@ def test_one_to_one_is_the_sequential_walk(spark):
 
 def test_greedy_matching(spark):
     r = random.Random(2)
-    rows = [(f"r{k % 3}", "x", r.randrange(9), r.randrange(9) + 100, r.randrange(6) / 5) for k in range(120)]
-    got = {(x["run_id"], x["a_id"], x["b_id"]) for x in M.greedy_matching(spark.createDataFrame(list(set(rows)), "run_id string, room_a string, a_id bigint, b_id bigint, score double")).collect()}
+    schema = "run_id string, room_a string, a_id bigint, a_page int, b_id bigint, b_page int, score double"
+    pages = [r.randrange(4) for _ in range(200)]
+    edge = lambda run, a, b, score: (run, "x", a, pages[a], b, pages[b], score)
+    rows = [edge(f"r{k % 3}", r.randrange(9), r.randrange(9) + 100, r.randrange(6) / 5) for k in range(120)]
+    rows += [edge("chain", k, 100 + k, 0.5 - k / 100) for k in range(20)] + [edge("chain", k, 101 + k, 0.495 - k / 100) for k in range(20)]  # each edge waits for the one before
+    rows += [edge("equal", a, b, 1.0) for a in range(30) for b in range(100, 130)]
+    rows = list({x[:5]: x for x in rows}.values())
+    df = spark.createDataFrame(rows, schema)
+    got = {(x["run_id"], x["a_id"], x["b_id"]) for x in M.greedy_matching(df).collect()}
+    assert got == {(x["run_id"], x["a_id"], x["b_id"]) for x in M.greedy_matching(df, rounds=2).collect()}  # the rest walked
+    assert M.greedy_matching(df.limit(0)).count() == 0
     want = set()
-    for run in ("r0", "r1", "r2"):
+    for run in {x[0] for x in rows}:
         a, b = set(), set()
-        for x in sorted({x for x in rows if x[0] == run}, key=lambda x: (-x[4], x[2], x[3])):
-            if x[2] not in a and x[3] not in b:
-                want.add((run, x[2], x[3]))
+        for x in sorted({x for x in rows if x[0] == run}, key=lambda x: (-x[6], x[3], x[2], x[5], x[4])):
+            if x[2] not in a and x[4] not in b:
+                want.add((run, x[2], x[4]))
                 a.add(x[2])
-                b.add(x[3])
+                b.add(x[4])
     assert got == want
 
 
@@ -163,24 +190,103 @@ def test_equal_texts_are_all_matched(spark):
 def test_second_pass_enforces_exact_wording(spark):
     """As in the reference: among the reviewed items only, before the passes are coalesced."""
     first = M.uncertain(spark.createDataFrame([("r", "x", 1, 1, None, 0.1, False, False), ("r", "x", 2, 1, None, 0.1, False, True), ("r", "x", 3, 1, 13, 0.9, True, False), ("r", "x", 4, 1, None, 0.1, False, False)], PROPOSAL))
-    edges = spark.createDataFrame([("r", "x", a, b, s) for a, b, s in ((1, 11, 0.9), (1, 12, 0.5), (2, 11, 0.8), (2, 12, 0.4), (3, 14, 1.0))], "run_id string, room_a string, a_id bigint, b_id bigint, score double")
+    edges = spark.createDataFrame([("r", "x", a, 1, b, 1, s) for a, b, s in ((1, 11, 0.9), (1, 12, 0.5), (2, 11, 0.8), (2, 12, 0.4), (3, 14, 1.0))], EDGES)
     said = lambda asked: asked.select("run_id", "a_id", F.lit(11).cast("bigint").alias("b_id"), F.lit(True).alias("scope_same"), F.lit(0.95).alias("confidence"), F.lit(False).alias("critical_blue")).where("a_id = 2")
     got = {x["a_id"]: (x["b_id"], x["confidence"]) for x in second_pass(first, edges, first, said).collect()}
-    assert got == {1: (12, 0.93), 2: (11, 0.95), 3: (13, 0.9), 4: (None, 0.1)}
+    # item 4 has no answer, but its room gets a pair by exact wording: it counts as answered with nothing
+    assert got == {1: (12, 0.93), 2: (11, 0.95), 3: (13, 0.9), 4: (None, 0.0)}
+
+
+EDGES = "run_id string, room_a string, a_id bigint, a_page int, b_id bigint, b_page int, score double"
+
+
+def _two_rooms(spark):
+    """Two rooms of two equal texts on each side, and one of other texts."""
+    rows = []
+    for k, room in enumerate(("Hall", "Bath")):
+        for side, first in (("A", 1), ("B", 11)):
+            rows += [("r", side, 100 * k + first + n, 1, room, "1. Paint wall", 1.0, "EA", 5.0, 5.0 + n) for n in range(2)]
+    rows += [("r", "A", 300, 1, "Attic", "1. Blow insulation", 1.0, "EA", 1.0, 1.0), ("r", "B", 311, 1, "Attic", "1. Vacuum floor", 1.0, "EA", 1.0, 1.0)]
+    return spark.createDataFrame(rows, S.ITEMS)
+
+
+def test_a_room_that_fails_leaves_the_others_reviewed(spark):
+    """By hand. The Hall's review fails: offline proposals stand in and exact wording gives each text its own item, as after any
+    first pass. The Bath's is kept, and an item of B that the reviewer makes up leaves the Attic's item blue."""
+    from tallyweave.operators.review import by_room
+
+    seen = []
+
+    def reviewer(ask):
+        seen.append(ask)
+        if ask["room_a"] == "Hall":
+            raise ConnectionError("gone")
+        made_up = {"Bath": 112, "Attic": 999}[ask["room_a"]]
+        return [{"item_a_id": x["id"], "item_b_id": made_up, "scope_same": True, "confidence": 0.7 + 0.1 * k, "rationale": "said"} for k, x in enumerate(ask["items_a"])] + [{"item_a_id": 555, "item_b_id": 11, "confidence": 1.0}]
 
+    items = _two_rooms(spark)
+    a, b = M.sides(items)
+    edges = M.exact_edges(M.exact_hints(a, b), a, b)
+    offline = M.offline_proposals(a, edges, spark.createDataFrame([], "run_id string, room_a string, a_id bigint, b_id bigint, similarity double, rank int"))
+    first = offline.withColumns({"b_id": F.lit(None).cast("bigint"), "confidence": F.lit(0.0), "uncertain": F.lit(True)})
+    for size in (500, 1):  # whole rooms, and every item by itself
+        answers = by_room(reviewer, a, b, size)
+        both = M.known_only(second_pass(first, edges, offline, answers).drop("uncertain"), b)
+        got = {x["a_id"]: (x["b_id"], round(x["confidence"], 6)) for x in both.collect()}
+        assert {got[1][0], got[2][0]} == {11, 12} and got[1][1] == got[2][1] == 0.93
+        assert got[300] == (None, 0.7)
+        if size == 500:
+            assert got[101] == (112, 0.7) or got[102] == (112, 0.8)  # what was said of exact names stays, the rest is enforced
+        failed = {x["a_id"]: x["error"] for x in answers(first).where("failed").collect()}
+        assert failed == {1: "ConnectionError: gone", 2: "ConnectionError: gone"}
+    status = {x["a_id"]: x["status"] for x in C.classify(C.with_sides(M.assign_one_to_one(both), items)).collect()}
+    assert status[300] == "blue"
+
+
+def test_whole_reconciliation_with_a_reviewer(spark):
+    from tallyweave.operators.review import by_room
+
+    none = lambda ask: [{"item_a_id": x["id"], "item_b_id": 12345, "confidence": 1.0} for x in ask["items_a"]]
+    done = reconcile(spark.createDataFrame(ITEM_ROWS, S.ITEMS), second=lambda unsure, a, b: by_room(none, a, b)(unsure))
+    status = {x["a_id"]: (x["b_id"], x["status"]) for x in done.pairs.collect()}
+    assert status[1] == (11, "green") and status[4] == (None, "blue")
+
+
+def test_an_exception_of_the_second_pass_itself_ends_the_job(spark):
+    cols = PROPOSAL + ", uncertain boolean"
+    first = spark.createDataFrame([("r", "x", 2, 1, None, 0.0, False, False, True)], cols)
+    with pytest.raises(Exception, match="disk full"):
+        second_pass(first, spark.createDataFrame([], EDGES), first.drop("uncertain"), lambda df: df.withColumn("b_id", F.raise_error(F.lit("disk full")).cast("bigint")))
+
+
+def test_losers_and_rescued_rows_say_so(spark):
+    rows = spark.createDataFrame([("r", "x", 1, 1, 7, 0.9, True, False, "a"), ("r", "x", 2, 1, 7, 0.8, True, False, "b"), ("r", "x", 3, 1, None, 0.8, True, False, "c")], PROPOSAL + ", rationale string")
+    assert {x["a_id"]: x["rationale"] for x in M.assign_one_to_one(rows).collect()} == {1: "a", 2: "b | B=7 already claimed by higher-confidence pair", 3: "c"}
+    second = rows.withColumn("b_id", F.lit(None).cast("bigint")).withColumn("rationale", F.lit("n"))
+    assert {x["a_id"]: x["rationale"] for x in M.coalesce_passes(rows, second).collect()} == {1: "[kept pass1 over pass2-null] a", 2: "[kept pass1 over pass2-null] b", 3: "n"}
 
-def test_second_pass_that_fails_leaves_offline_proposals(spark):
-    cols = "run_id string, room_a string, a_id bigint, a_page int, b_id bigint, scope_same boolean, confidence double, critical_blue boolean, uncertain boolean"
-    first = spark.createDataFrame([("r", "x", 1, 1, 5, True, 0.93, False, False), ("r", "x", 2, 1, None, False, 0.0, False, True)], cols)
-    offline = first.drop("uncertain").withColumns({"b_id": F.lit(7).cast("bigint"), "confidence": F.lit(0.7)})
-    edges = spark.createDataFrame([], "run_id string, room_a string, a_id bigint, b_id bigint, b_page int, score double")
 
-    def fails(df):
-        return df.withColumn("b_id", F.raise_error(F.lit("no answer")).cast("bigint"))
+def test_links_are_folded_in_order(spark):
+    g = lambda *rows: spark.createDataFrame([("r", a, "b", c, why) for a, c, why in rows], S.ROOM_LINKS)
+    got = {x["room_a"]: (x["confidence"], x["rationale"]) for x in G.merge_links(g(("x", 0.9, "one"), ("y", 0.5, "weak"), ("z", 0.5, "in"), ("w", 0.3, "low")), g(("x", 0.8, "two"), ("y", 0.7, "sure"), ("z", 0.6, "contains in"), ("w", 0.41, "low")), g(("x", 0.95, "one three"), ("y", 0.7, "sure"), ("z", 0.1, None))).collect()}
+    assert got == {"x": (0.95, "one three; one; two"), "y": (0.7, "sure; weak"), "z": (0.6, "contains in")}
 
-    with pytest.warns(UserWarning, match="second pass failed"):
-        got = {x["a_id"]: (x["b_id"], x["confidence"]) for x in second_pass(first, edges, offline, fails).collect()}
-    assert got == {1: (5, 0.93), 2: (7, 0.7)}
+
+def test_cascade_by_hand(spark):
+    """A link that is strong, one that is weak, one in the graph only, none, and one to a room that is gone."""
+    profile = lambda d, room, *w: ("r", d, room, list(w))
+    rooms = [profile("A", x, "oak") for x in ("Strong", "Weak", "Graph", "Bare", "Gone")] + [profile("B", x, "oak") for x in ("One", "Two", "Three")] + [profile("B", "One bis one", "oak")]
+    p = spark.createDataFrame(rows := rooms, "run_id string, doc string, room string, profile array<string>")
+    links = spark.createDataFrame([("r", "Strong", "One", 0.9, ""), ("r", "Weak", "Two", 0.5, ""), ("r", "Graph", "Three", 0.43, ""), ("r", "Gone", "Nowhere", 0.9, "")], S.ROOM_LINKS)
+    parts = G.components(p.select("run_id", "doc", "room"), links, 0.42)
+    got = {}
+    for x in G.candidate_cascade(p, links, parts, with_ratio=False).collect():
+        got.setdefault((x["room_a"], x["mode"], x["expanded"]), set()).add(x["room_b"])
+    every = {r[2] for r in rows if r[1] == "B"}
+    assert got == {
+        ("Strong", "strong", True): {"One", "One bis one"}, ("Weak", "low-confidence-fallback", False): {"Two"}, ("Graph", "room-group-fallback", False): {"Three"},
+        ("Bare", "name-profile-fallback", False): every, ("Gone", "global-room-fallback", False): every,
+    }
 
 
 def test_judged_links_are_checked(spark):
@@ -217,19 +323,115 @@ def test_report_details(spark):
 
 
 def test_pages_are_read(spark):
-    def text(t):
-        return [{"description": w, "room": "Hall", "confidence": 0.9} for w in t.split()]
+    """By hand: image first; where it fails, is weak or missing, two text readers in order, a second source, and the page's headings."""
+    def first(t):
+        if "hard" in t:
+            raise ValueError("too hard")
+        return [{"description": x, "room": "Hall", "confidence": 0.9 if "tile" in x else 0.39} for x in t.split("\n") if x[:1].isdigit()]
+
+    def other(t):
+        if "harder" in t:
+            raise KeyError("no")
+        return [{"description": "9. Found by the other one", "confidence": 0.5}]
+
+    def second(t):
+        return [{"description": x.upper(), "room": "hall", "quantity": 3.0, "confidence": 0.95} for x in t.split("\n") if "tile" in x] + [{"description": "Seen by second only", "room": "Hall", "confidence": 0.59}]
 
     def image(b):
         if b == b"bad":
             raise ValueError
-        return [{"description": b.decode(), "confidence": 0.3 if b == b"weak" else 0.8}]
-
-    rows = [("r", "A", 1, "one two", None), ("r", "A", 2, "three", bytearray(b"seen")), ("r", "A", 3, "four", bytearray(b"bad")), ("r", "A", 4, "five", bytearray(b"weak")), ("r", "A", 5, None, None)]
-    out = E.read_pages(spark.createDataFrame(rows, "run_id string, doc string, page int, text string, image binary"), text, image)
-    assert sorted((x["page"], x["description"], x["reader"]) for x in out.collect()) == [(1, "one", "text"), (1, "two", "text"), (2, "seen", "image"), (3, "four", "text"), (4, "five", "text")]
-    counted = E.extraction_counters(out).first()
-    assert (counted["pages"], counted["items"], counted["image_pages"], counted["usage"]) == (4, 5, 1, {"image": 1, "text": 4})
+        return [{"description": b.decode(), "room": "", "confidence": 0.3 if b == b"weak text here" else 0.8}, {"description": "Door", "confidence": 1.0}]
+
+    rows = [
+        ("r", "A", 1, "Kitchen\n1. Remove the tile\n2. Poor grout work", None), ("r", "A", 2, "three", bytearray(b"- seen well here -")), ("r", "A", 3, "1. Tub tile four", bytearray(b"bad")), ("r", "A", 4, "hard text", bytearray(b"weak text here")),
+        ("r", "A", 5, None, None), ("r", "A", 6, "harder", None),
+    ]
+    pages = spark.createDataFrame(rows, "run_id string, doc string, page int, text string, image binary")
+    out = E.read_pages(pages, [("first", first), ("other", other)], [("eye", image)], [("second", second)])
+    got = sorted((x["page"], x["room"], x["description"], x["quantity"], round(x["confidence"], 6), x["source"], x["reassigned"]) for x in out.items.collect())
+    assert got == [
+        (1, "Kitchen", "1. REMOVE THE TILE", 3.0, 1.0, "both", True),  # the surer side's item; 0.39 alone is too little
+        (2, "Unspecified", "seen well here", None, 0.8, "image", False),
+        (3, "hall", "1. TUB TILE FOUR", 3.0, 1.0, "both", False),
+        (4, "Unspecified", "9. Found by the other one", None, 0.5, "primary", False),
+    ]
+    told = {x["page"]: x["read"] for x in out.pages.collect()}
+    assert [told[k]["chunks"] for k in range(1, 7)] == [1, 1, 1, 1, 0, 1] and [told[k]["chunks_with_items"] for k in range(1, 7)] == [1, 1, 1, 1, 0, 0]
+    assert [told[k]["attempts"] for k in range(1, 7)] == [2, 1, 2, 4, 0, 1]  # none where every reader of a chain failed
+    assert [told[k]["image"] for k in range(1, 7)] == [False, True, False, True, False, False]
+    assert told[4]["usage"] == {"eye": 1, "other": 1, "second": 1} and told[6]["errors"] == ["other: KeyError: 'no'"]
+    counted = E.extraction_counters(out.pages).first()
+    assert (counted["pages"], counted["chunks"], counted["attempts"], counted["image_pages"], counted["reassigned"]) == (6, 5, 10, 2, 1)
+    assert counted["usage"] == {"eye": 2, "first": 2, "other": 1, "second": 4}
+    plain = E.read_pages(pages.drop("image"), [("first", first)])
+    assert sorted((x["page"], x["description"]) for x in plain.items.collect()) == [(1, "1. Remove the tile"), (3, "1. Tub tile four")]
+
+
+def test_a_floor_holds_for_text_items(spark):
+    pages = spark.createDataFrame([("r", "A", 1, "x")], "run_id string, doc string, page int, text string")
+    items = [{"description": "almost sure enough", "confidence": 0.39}, {"description": "just sure enough", "confidence": 0.40}, {"description": "no confidence given"}]
+    assert [x["description"] for x in E.read_pages(pages, [("a", lambda t: items)]).items.collect()] == ["just sure enough"]
+
+
+def test_descriptions_come_out_clean(spark):
+    schema = "run_id string, doc string, page int, room string, description string, confidence double"
+    df = spark.createDataFrame([("r", "A", 1, "  ", "  - Remove   the tile : ", 0.5)], schema)
+    assert [(x["room"], x["description"]) for x in E.sanitize(df).collect()] == [("Unspecified", "Remove the tile")]
+
+
+def test_surer_side_is_taken_whole(spark):
+    schema = "run_id string, doc string, page int, room string, description string, quantity double, unit string, unit_price double, amount double, confidence double, pos int"
+    row = lambda d, q, c: ("r", "A", 1, "Hall", d, q, None, None, 1.0, c, 0)
+    p = spark.createDataFrame([row("first item", 1.0, 0.50), row("equal sides", 1.0, 0.50), row("both too weak", 1.0, 0.10)], schema)
+    s = spark.createDataFrame([row("FIRST item", 2.0, 0.95), row("EQUAL sides", 2.0, 0.50), row("BOTH too weak", 2.0, 0.10)], schema)
+    got = {x["description"]: (x["quantity"], round(x["confidence"], 6)) for x in E.merge_sources(p, s).collect()}
+    assert got == {"FIRST item": (2.0, 0.805), "equal sides": (1.0, 0.58)}
+
+
+def test_coverage_goes_by_the_page(spark):
+    """By hand: the page says 5, 3, 9, 3, 7; the extraction 9, 4, 5, 2."""
+    n = lambda page, *numbers: [("r", "A", page, x, k) for k, x in enumerate(numbers)]
+    schema = "run_id string, doc string, page int, number int, pos int"
+    pages = E.page_coverage(spark.createDataFrame(n(1, 5, 3, 9, 3, 7) + n(2, 1), schema), spark.createDataFrame(n(1, 9, 4, 5, 2) + n(2, 1) + n(3, 8), schema))
+    x = pages.where("page = 1").first()
+    assert (x["first"], x["last"], x["missing"], x["extra"], x["expected"], x["extracted"], x["covered"], x["is_full"]) == (5, 7, [3, 7], [4, 2], 4, 4, 2, False)
+    d = E.document_coverage(pages).first()
+    assert (d["pages_with_indices"], d["pages_full"], d["pages_incomplete"], d["expected_total"], d["covered_total"], d["missing_total"], d["percent"], d["problem_pages"]) == (2, 1, 1, 5, 3, 2, 60.0, [1])
+    many = spark.createDataFrame([y for k in range(40) for y in n(k, 1)], schema)
+    assert E.document_coverage(E.page_coverage(many, many.limit(0))).first()["problem_pages"] == list(range(25))
+
+
+def test_fills_over_pages_equal_a_plain_walk(spark):
+    r = random.Random(4)
+    said = ["Kitchen", "Bath", "1. tile 2 EA 3.00", "2. grout 1 EA 2.00", "Totals: Kitchen 5.00", "Total Bath"]
+    rows = [(f"r{k % 2}", "A", p, n, r.choice(said + said[2:4] * 3)) for k in range(2) for p in range(1, 15) for n in range(r.randrange(6))]
+    lines = spark.createDataFrame(rows, S.LINES).repartition(5)
+    down = {(x["run_id"], x["page"], x["line_no"]): x["room"] for x in E.fill_rooms_down(lines, F.col("text").isin("Kitchen", "Bath")).collect()}
+    up = {(x["run_id"], x["page"], x["line_no"]): x["room"] for x in E.fill_rooms_up(lines).collect()}
+    want_down, want_up = {}, {}
+    for run in ("r0", "r1"):
+        own = sorted(x for x in rows if x[0] == run)
+        room = "(unknown)"
+        for x in own:
+            if x[4] in ("Kitchen", "Bath"):
+                room = x[4]
+            else:
+                want_down[x[0], x[2], x[3]] = room
+        room = None
+        for x in reversed(own):
+            if x[4].startswith("Total"):
+                room = "Kitchen" if "Kitchen" in x[4] else "Bath"
+            elif x[4][0].isdigit():
+                want_up[x[0], x[2], x[3]] = room
+    assert down == want_down and up == want_up
+
+
+def test_render_counters(spark):
+    """By hand: four notes of eight nuggets fit on a page of 792 points, a fifth doesn't."""
+    rows = [("r", 1, None, "blue", 1, True), ("r", 2, None, "green", 3, False), ("r", 3, None, "orange", 2, False)] + [("r", None, k, "nugget", 1, False) for k in range(40)] + [("s", 1, None, "blue", 1, True)]
+    df = spark.createDataFrame(rows, "run_id string, a_id bigint, b_id bigint, status string, a_page int, critical_blue boolean").withColumns({"room_b": F.lit("x"), "b_desc": F.lit("y")})
+    got = {x["run_id"]: tuple(x[1:]) for x in R.render_stats(df, spark.createDataFrame([("r", 2)], "run_id string, n_pages int")).select("run_id", "line_items_targeted", "critical", "pages", "nuggets", "nugget_notes").collect()}
+    assert got == {"r": (2, 1, 2, 40, 4), "s": (0, 0, 0, 0, 0)}
 
 
 def test_briefs(spark):
