@@ -467,5 +467,6 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
 def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """docs without those that a smaller id of their component stands for; rows with a null id stay. Same columns."""
     found = similar_components(docs, text_col, id_col, n, threshold)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone__")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone__"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
