@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, components, per_process, saved, shuffle_partitions
+from .shared import bounded_batches, components, free_name, per_process, saved, shuffle_partitions
 
 LONG_WORD, BLOCK_BYTES = 4096, 1 << 18
 HOT_ELEMENTS = 200_000  # the most common elements that are put last; the broadcast is bounded by this

@@ -25,7 +25,8 @@ from .shared import SHORT, bounded_batches, free_name, saved
 #: Bounds of the labelled sample that the weights are learned from, in documents.
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 MAX_WEIGHTS = 50_000
-MIN_TOXIC_DOCS = 5
+MIN_TOXIC_DOCS = 5  # that a feature must be in; two or four find no more of the held-out ones of a small sample
+JOINED_PARTS = 2  # neighbouring parts of a token that are read as one word
 MEMO_WORDS = 150_000
 N_BEST = 3
 
@@ -152,6 +153,7 @@ _RUN = re.compile(r"(.)\1{3,}", re.S)
 _OUTER = re.compile(rf"^[^\w{re.escape(_SIGNS)}]+|(?:(?![{re.escape(_SIGNS)}])[\W_])+$")
 # signs between words of a long token: beside two word characters, so that letters set apart stay together
 _BETWEEN = re.compile(r"(?<=\w\w)[^\w@$!|+(€£*]+|[^\w@$!|+(€£*]+(?=\w\w)")
+_PARTS = re.compile(r"[^\n]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _SPACED_HINT = re.compile(r"\s\S\s+\S\s+\S\s")
 
@@ -171,10 +173,12 @@ def restored(token: str, decoder: Decoder) -> list[str]:
     plain = [w for w in re.split(r"[\W\d_]+", word) if w]
     if word == whole and word.isalpha() and not _TRIPLE.search(word):
         return [word]
-    if len(whole) > 64:  # keys, addresses, markup: word by word
-        parts = [p for p in _BETWEEN.split(whole) if p]
-        if len(parts) > 1:
-            return [w for p in parts for w in restored(p, decoder)] + plain
+    parts = [m.span() for m in _PARTS.finditer(_BETWEEN.sub(lambda m: "\n" * len(m[0]), whole))]
+    if len(parts) > JOINED_PARTS:  # keys, addresses, markup, whatever their length: parts, and neighbours joined
+        runs = [whole[parts[k][0] : parts[min(k + n, len(parts)) - 1][1]] for n in (1, JOINED_PARTS) for k in range(len(parts) - n + 1)]
+        return [w for run in dict.fromkeys(runs) for w in restored(run, decoder)] + plain
+    if len(parts) > 1:
+        plain += [w for a, z in parts for w in restored(whole[a:z], decoder)]
     if not disguised(whole):
         return plain
     best = decoder.decode(whole)

@@ -231,3 +231,10 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
             shared.scratch_dir(Session())
     table = shared.saved(spark.range(3), "three")
     assert table.count() == 3 and shared.drop_saved(spark) >= 1 and shared.drop_saved(spark) == 0
+
+
+@pytest.mark.parametrize("before", ["", "path/", "a" * 70 + "/", "www.site.org/" + "key=" * 40])
+def test_parts_of_a_token_are_joined_and_cut_whatever_its_length(before):
+    """The tail of a token is read alike after any other parts."""
+    said = toxicity.restored(before + "st--upid", toxicity.Decoder(np.zeros((toxicity.ALPHABET,) * 3, "f4")))
+    assert {"stupid", "upid"} <= set(said)

@@ -77,3 +77,23 @@ def test_run_and_empty(spark, folder, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_and_very_long_texts(spark, tmp_path):
+    """Columns named as what stages use inside stay as they are; texts of hundreds of thousands of words go through."""
+    r = random.Random(8)
+    names = ["gone", "gone__", "id", "n", "fp", "row", "keep_id", "kept", "toxic_score", "score", "s", "t", "component_id", "text_hash", "id__"]
+    long = prose(r, 150_000)
+    texts = [long, long, long + " one more", "x" * 300_000, *(prose(r, 40) for _ in range(30))]
+    rows = [(k, t, "en", "s", len(t), *range(len(names))) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} int" for c in names))
+    spark.createDataFrame([(k, 1, 0) for k in range(4, 20)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert all(tuple(x)[5:] == tuple(range(len(names))) for x in docs.collect()), name
+    assert {x["doc_id"] for x in docs.select("doc_id").collect()} == {0, *range(3, len(texts))}  # the copy and the near copy go
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {x["doc_id"] for x in packed.select("doc_id").distinct().collect()} == {0, *range(3, len(texts))}
