@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,13 +37,24 @@ def exact_hints(a: DataFrame, b: DataFrame, k: int = 8) -> DataFrame:
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: the signs of a normalised description
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789' "
+
+
+def signs(c: str) -> Column:
+    """How often each of SIGNS occurs."""
+    return F.array(*(F.length(c) - F.length(F.replace(F.col(c), F.lit(s), F.lit(""))) for s in SIGNS))
+
+
 def near_hints(a: DataFrame, b: DataFrame, least: float = 0.64, k: int = 6) -> DataFrame:
     """The k most alike items of B for each item of A. Texts are compared once for each pair of different ones in a
-    room, and only if their lengths allow the score or their tokens do."""
+    room, and only if the signs they share, counted, or their tokens allow the score."""
     key = ["run_id", "room_a"]
-    names = lambda df, s: df.where(f"{s}_norm <> ''").select(*key, f"{s}_norm").distinct().withColumn(f"{s}_set", F.array_distinct(F.split(f"{s}_norm", " ")))
+    names = lambda df, s: df.where(f"{s}_norm <> ''").select(*key, f"{s}_norm").distinct().withColumns({f"{s}_set": F.array_distinct(F.split(f"{s}_norm", " ")), f"{s}_signs": signs(f"{s}_norm")})
     pairs = names(a, "a").join(names(b, "b"), key).withColumn("jaccard", N.jaccard(F.col("a_set"), F.col("b_set")))
-    bound = F.least(F.length("a_norm"), F.length("b_norm")) * 2.0 / (F.length("a_norm") + F.length("b_norm"))
+    # matching blocks hold no sign more often than both texts do
+    shared = F.aggregate(F.zip_with("a_signs", "b_signs", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    bound = shared * 2.0 / (F.length("a_norm") + F.length("b_norm"))
     pairs = pairs.where((bound >= least) | (F.col("jaccard") >= least)).select(*key, "a_norm", "b_norm", "jaccard")
     texts = pairs.select("a_norm", "b_norm").distinct()
     scored = texts.withColumn("ratio", sequence_ratio("a_norm", "b_norm"))

@@ -105,10 +105,10 @@ def _exact_proposals(items: DataFrame) -> DataFrame:
     a, b = M.sides(items)
     key = ["run_id", "room_a"]
     same = a.where("a_norm <> ''").join(b, (a.run_id == b.run_id) & (a.room_a == b.room_a) & (a.a_norm == b.b_norm)).drop(b.run_id).drop(b.room_a)
-    w = Window.partitionBy("run_id", "a_id")
-    # the first eight as hints, then the closest numbers
-    hints = same.withColumn("k", F.row_number().over(w.orderBy("b_page", "b_id"))).where("k <= 8").withColumn("align", N.metadata_alignment("a_", "b_"))
-    best = hints.withColumn("r", F.row_number().over(w.orderBy(F.desc("align"), "b_page", "b_id"))).where("r = 1").select("run_id", "a_id", "b_id")
+    w = Window.partitionBy("run_id", "a_id").orderBy("b_page", "b_id")
+    # the first eight as hints, then the closest numbers: five narrow columns are shuffled and sorted once
+    hints = same.select("run_id", "a_id", "b_page", "b_id", N.metadata_alignment("a_", "b_").alias("align")).withColumn("k", F.row_number().over(w)).where("k <= 8")
+    best = hints.groupBy("run_id", "a_id").agg(F.min_by("b_id", F.struct(-F.col("align"), "b_page", "b_id")).alias("b_id"))
     out = a.select(*key, "a_id", "a_page").join(best, ["run_id", "a_id"], "left")
     return out.select(*key, "a_id", "a_page", "b_id", F.col("b_id").isNotNull().alias("scope_same"), F.when(F.col("b_id").isNotNull(), 0.93).otherwise(0.0).alias("confidence"), F.lit(False).alias("critical_blue"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -78,8 +79,12 @@ def with_columns_of(df: DataFrame, schema: str) -> DataFrame:
 
 
 def replace_runs(df: DataFrame, path: str) -> None:
-    """Writes df by run; runs that df has are replaced, others stay. One run's files are swapped as a whole."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    """Writes df by run; runs that df has are replaced, others stay.
+
+    Rows are dealt by run first, so a run is one file and not one for each task; AQE splits only those runs that are large.
+    Files are staged, and runs swapped when all tasks are done: a job that fails leaves every run as it was.
+    """
+    df.hint("rebalance", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -97,6 +102,19 @@ def from_payload(df: DataFrame, schema: str, column: str = "payload") -> DataFra
 
 
 _LOCAL: list[str] = []
+_OPEN: list[list[str]] = []  # tables stored inside each tables_until_done that is open
+
+
+@contextlib.contextmanager
+def tables_until_done(spark: SparkSession):
+    """Tables that stored writes inside are deleted at the end, whatever happens; for use round a write of the results."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for name in _OPEN.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -111,5 +129,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tallyweave-"))
         folder = _LOCAL[0]
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -304,6 +304,27 @@ def test_runs_are_replaced(spark, tmp_path):
     assert {x["run_id"]: x["count"] for x in got} == {"r1": 1, "r2": 2}
 
 
+def test_a_write_that_fails_half_way_leaves_the_old_runs(spark, tmp_path):
+    path = str(tmp_path / "matches")
+    rows = lambda last: S.with_columns_of(spark.range(0, 400, 1, 8).select(F.format_string("r%d", F.col("id") % 5).alias("run_id"), F.lit("a").alias("room_a"), F.when(F.col("id") < last, F.col("id")).otherwise(F.raise_error(F.lit("killed")).cast("bigint")).alias("item_a_id")), S.MATCHES)
+    S.replace_runs(rows(400), path)
+    files = sorted(str(f) for f in (tmp_path / "matches").rglob("part-*.parquet"))
+    assert len(files) == 5  # one for each run, though eight tasks had rows of each
+    with pytest.raises(Exception, match="killed"):
+        S.replace_runs(rows(390), path)
+    assert sorted(str(f) for f in (tmp_path / "matches").rglob("part-*.parquet")) == files
+    assert S.read_runs(spark, path, S.MATCHES).count() == 400
+
+
+def test_tables_go_when_a_batch_is_written(spark):
+    import os
+
+    with S.tables_until_done(spark):
+        path = S.stored(spark.range(5), "for-now").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
 def test_stream_of_runs(spark, tmp_path):
     from tallyweave.streaming.incremental import reconcile_stream
 
