@@ -165,13 +165,11 @@ def components(rooms: DataFrame, links: DataFrame, floor: float, max_rounds: int
     now = stored(nodes.withColumn("component", F.col("node")), "room-labels")
     for _ in range(max_rounds):
         near = both.join(now, (both.run_id == now.run_id) & (both.v == now.node)).groupBy(both.run_id, F.col("u").alias("node")).agg(F.min("component").alias("low"))
-        after = now.join(near, ["run_id", "node"], "left").select("run_id", "node", F.least("component", F.coalesce("low", "component")).alias("component"))
+        after = now.join(near, ["run_id", "node"], "left").select("run_id", "node", F.col("component").alias("old"), F.least("component", F.coalesce("low", "component")).alias("component"))
         up = after.select("run_id", F.col("node").alias("component"), F.col("component").alias("top"))
-        after = stored(after.join(up, ["run_id", "component"]).select("run_id", "node", F.col("top").alias("component")), "room-labels")
-        changed = after.join(now.withColumnRenamed("component", "old"), ["run_id", "node"]).where("component <> old")
-        done = changed.isEmpty()
-        now = after
-        if done:
+        after = stored(after.join(up, ["run_id", "component"]).select("run_id", "node", F.col("top").alias("component"), (F.col("top") != F.col("old")).alias("moved")), "room-labels")
+        now = after.drop("moved")
+        if after.where("moved").isEmpty():
             return now
     raise RuntimeError("room components did not settle")
 

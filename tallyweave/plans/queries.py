@@ -595,8 +595,14 @@ COMPONENTS_SQL = "recursive " + LINKS_SQL + f""", nd as (select distinct run_id,
   union select e.run_id, e.v, min(w.component) from cp w join ed e on e.run_id = w.run_id and e.u = w.node join recurring.cp c on c.run_id = e.run_id and c.node = e.v where w.component < c.component group by e.run_id, e.v)"""
 
 
+def _linked(spark, sf_dir):
+    """Components, and the links they are made of, worked out once."""
+    links = S.stored(_links(spark, sf_dir), "links")
+    return G.components(S.items(spark, sf_dir).select("run_id", "doc", "room").distinct(), links, FLOOR), links
+
+
 def _components(spark, sf_dir):
-    return G.components(S.items(spark, sf_dir).select("run_id", "doc", "room").distinct(), _links(spark, sf_dir), FLOOR)
+    return _linked(spark, sf_dir)[0]
 
 
 @query("with " + COMPONENTS_SQL + " select run_id, node, component from cp")
@@ -611,7 +617,7 @@ select sz.run_id, sz.component, rooms_a, rooms_b, coalesce(link_count, 0) link_c
  row_number() over (partition by sz.run_id order by rooms_a + rooms_b desc, round(coalesce(hi, 0) + 1e-9, 6) desc, sz.component) place from sz left join st on st.run_id = sz.run_id and st.component = sz.component""")
 def room_group_stats(spark, sf_dir):
     """Groups in order: most rooms, then the best link."""
-    g = G.group_stats(_components(spark, sf_dir), _links(spark, sf_dir))
+    g = G.group_stats(*_linked(spark, sf_dir))
     g = g.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("max_confidence", "avg_confidence")})
     return G.group_order(g).select("run_id", "component", "rooms_a", "rooms_b", "link_count", "max_confidence", "avg_confidence", F.col("place").cast("bigint").alias("place"))
 
