@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []  # this process's own folder, where Spark runs in one machine and none is named
 _SAVED: list[str] = []
+_STAGE: list[str] = []  # those that the last stage of a pipeline saved
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,12 +40,34 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes the tables that df is read from, where saved wrote them, once nothing reads them any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for path in [p for p in _SAVED if p.split(":", 1)[-1].lstrip("/") == name.split(":", 1)[-1].lstrip("/")]:
-            _SAVED.remove(path)
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(df.sparkSession, _read_by(df))
+
+
+def _read_by(df: DataFrame) -> list[str]:
+    """The saved tables that df is read from."""
+    plain = lambda path: path.split(":", 1)[-1].lstrip("/")
+    folders = {plain(f.rsplit("/", 1)[0]) for f in df.inputFiles()}
+    return [p for p in _SAVED if plain(p) in folders]
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _SAVED.remove(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def stage_tables(docs: DataFrame):
+    """For a stage that takes docs once the stage before it has been written: deletes the tables that one saved, but for those
+    that docs is read from, and remembers those saved inside for the next stage. Other tables stay."""
+    read = set(_read_by(docs))
+    _delete(docs.sparkSession, [p for p in _STAGE if p in _SAVED and p not in read])
+    before = len(_SAVED)
+    try:
+        yield
+    finally:
+        _STAGE[:] = [*read.intersection(_STAGE), *_SAVED[before:]]
 
 
 def drop_saved(spark: SparkSession) -> int:

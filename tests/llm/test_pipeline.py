@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
+from tallyweave.llm import shared
 from test_operators import plain_components, plain_sets, prose
 
 
@@ -92,6 +93,7 @@ def test_clashing_names_and_very_long_texts(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
         out.write.parquet(f"{tmp_path}/{name}")
+        assert set(shared._STAGE) <= set(shared._SAVED), name  # those of the stage before are gone
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert all(tuple(x)[5:] == tuple(range(len(names))) for x in docs.collect()), name
     assert {x["doc_id"] for x in docs.select("doc_id").collect()} == {0, *range(3, len(texts))}  # the copy and the near copy go
