@@ -29,11 +29,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Executors delete a query's shuffle files as it ends, for queries run inside; else they stay until the driver's JVM happens
+    to collect the plan. For writes only: a plan that is run once more would have to shuffle again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back, which cuts its lineage. drop_saved deletes it."""
+    """df written as Parquet to the shared folder and read back, which cuts its lineage; its shuffle files go with the write.
+    drop_saved deletes it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     _SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
