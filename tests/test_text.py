@@ -110,6 +110,24 @@ def test_alignment(spark):
         assert r["got"] == pytest.approx(r["want"])
 
 
+def test_alignment_is_sqls_to_the_last_bit(spark):
+    """SQL sums the weights as decimals; scores that are equal there are equal here, whichever fields are there."""
+    import duckdb
+
+    from tallyweave.plans.queries import ALIGN
+
+    r = random.Random(1)
+    side = lambda: (r.choice([None, 12.6, 37.8, 33.3]), r.choice([1.0, 2.0, 3.0]), r.choice([None, 12.6, 11.1]), r.choice(["EA", "SF", ""]))
+    rows = [(k, *side(), *side()) for k in range(400)]
+    own = spark.createDataFrame(rows, "id int, " + ITEM.replace(", want double", "")).select("id", N.metadata_alignment("a_", "b_").alias("got")).collect()
+    names = ["amount", "quantity", "unit_price", "unit"]
+    con = duckdb.connect()
+    con.execute("create table t (id int, " + ", ".join(f"{s}_{n} {'varchar' if n == 'unit' else 'double'}" for s in "ab" for n in names) + ")")
+    con.executemany("insert into t values (?, ?, ?, ?, ?, ?, ?, ?, ?)", rows)
+    split = ", ".join(f"(select id, {', '.join(f'{s}_{n} {n}' for n in names)} from t) {s}" for s in "ab")
+    assert {x["id"]: x["got"] for x in own} == dict(con.execute(f"select a.id, {ALIGN} from {split} where a.id = b.id").fetchall())
+
+
 def test_geometry(spark):
     df = spark.createDataFrame([(0.0, 0.0, 10.0, 10.0, 5.0, 5.0, 15.0, 15.0), (0.0, 0.0, 10.0, 10.0, 20.0, 0.0, 30.0, 10.0), (0.0, 0.0, 10.0, 10.0, 500.0, 90.0, 510.0, 99.0)], "a_x0 double, a_y0 double, a_x1 double, a_y1 double, b_x0 double, b_y0 double, b_x1 double, b_y1 double")
     got = [tuple(r) for r in df.select(N.overlap_ratio("a_", "b_"), N.rectangle_used("a_", "b_")).collect()]
