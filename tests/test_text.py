@@ -85,6 +85,15 @@ def test_money(spark):
 NAMES = [("Kitchen", "Kitchen", 1.0), ("Bedroom", "Bedroom Closet", 0.25), ("Bedroom", "Master Bedroom", 0.92), ("Bedroom 1", "Bedroom 2", 0.0), ("Bedroom", "Bedroom 2", 0.875), ("Main Level", "Main Level", 0.0)]
 
 
+def test_locator_phrases_are_worked_out_once(spark):
+    """The plan holds each phrase's text a few times, not once for each phrase and element: its size is that of the work."""
+    plan = spark.range(1).select(X.locator_candidates(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 60
+    rows = [("1. The blue tile  10 EA $5.00", "1. The blue | 1. The blue tile 10 | 1. The blue tile 10 EA $5.00 | The blue tile 10 EA $5.00 | The blue tile"), ("ab", ""), (None, ""), ("12. abc", "12. abc")]
+    got = spark.createDataFrame(rows, "s string, want string").select("want", F.array_join(X.locator_candidates("s"), " | ").alias("got")).collect()
+    assert [x["got"] for x in got] == [x["want"] for x in got]
+
+
 def test_room_names(spark):
     df = spark.createDataFrame(NAMES, "a string, b string, want double")
     ratio = G.sequence_ratio(F.array_join(X.room_tokens("a"), " "), F.array_join(X.room_tokens("b"), " "))
