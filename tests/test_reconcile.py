@@ -522,3 +522,13 @@ def test_soft_rooms_come_without_a_union(spark):
     only = p.where("doc = 'A'").select("run_id", F.col("room").alias("room_a"))
     plan = G.soft_candidates(p, only=only)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_lines_are_made_in_one_pass(spark):
+    """No union of parts that each work the items out again; by hand, a room of two items and one without an amount."""
+    schema = "run_id string, doc string, id bigint, room string, description string, quantity double, amount double"
+    items = spark.createDataFrame([("r", "A", 2, "Hall", "1. tile", 2.0, 10.5), ("r", "A", 1, "Hall", "1. wall", 1.0, 2.0), ("r", "A", 3, "Attic", "2. roof", 3.0, None)], schema)
+    got = S.lines(items)
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(1, 0, "Attic"), (1, 1, "1. roof 3 EA"), (1, 2, "Totals: Attic 0.00"), (2, 0, "Hall"), (2, 1, "1. wall 1 EA 2.00"), (2, 2, "2. tile 2 EA 10.50"), (2, 3, "Totals: Hall 12.50")]
+    assert sorted(tuple(x)[2:] for x in got.collect()) == want
