@@ -532,3 +532,11 @@ def test_lines_are_made_in_one_pass(spark):
     assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = [(1, 0, "Attic"), (1, 1, "1. roof 3 EA"), (1, 2, "Totals: Attic 0.00"), (2, 0, "Hall"), (2, 1, "1. wall 1 EA 2.00"), (2, 2, "2. tile 2 EA 10.50"), (2, 3, "Totals: Hall 12.50")]
     assert sorted(tuple(x)[2:] for x in got.collect()) == want
+
+
+def test_stored_tables_are_sized_as_rows(spark):
+    """A file of equal values is tiny; joined by its size alone, a million rows would be broadcast."""
+    labels = S.stored(spark.range(3_000_000).select((F.col("id") % 60000).cast("string").alias("run_id"), F.concat(F.lit("A::room "), (F.col("id") % 60).cast("string")).alias("node")).orderBy("run_id"), "labels")
+    size = int(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size > 10 * 1024 * 1024
+    assert "BroadcastHashJoin" not in labels.join(labels.withColumnRenamed("node", "other"), "run_id")._jdf.queryExecution().sparkPlan().toString()
