@@ -540,3 +540,34 @@ def test_stored_tables_are_sized_as_rows(spark):
     size = int(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert size > 10 * 1024 * 1024
     assert "BroadcastHashJoin" not in labels.join(labels.withColumnRenamed("node", "other"), "run_id")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_claims_on_nothing_are_worked_out_once(spark):
+    """Proposals are read once, with and without a partner; those without one are no group together."""
+    rows = spark.createDataFrame([("r", "X", k, 1, 5 if k < 2 else None, 0.9 - k / 100, True, False) for k in range(6)], PROPOSAL)
+    out = M.assign_one_to_one(rows)
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x["a_id"], x["b_id"]) for x in out.collect()) == [(0, 5)] + [(k, None) for k in range(1, 6)]
+
+
+def test_first_rows_need_no_places(spark):
+    """The first row of each item is the same by the report's key as by its place; no table of places is made."""
+    schema = "run_id string, room_a string, a_id bigint, b_id bigint, status string, a_page int, a_desc string"
+    rows = spark.createDataFrame([("r", "X", k % 4, k, "green", k % 3, f"{9 - k}. wall") for k in range(9)] + [("r", "X", None, k % 2, "nugget", 1 + k, "") for k in range(4)], schema)
+    pick = lambda df: sorted(tuple(x) for x in df.select("a_id", "b_id", "status", "a_page").fillna(-1).collect())
+    assert pick(R.once_each(rows, R.report_key())) == pick(R.once_each(R.in_order(rows)))
+
+
+@pytest.mark.parametrize("height", [120.0, 300.0, 792.0, 5000.0])
+def test_notes_of_so_many_nuggets(spark, height):
+    """By hand: chunks of eight from the top down until one doesn't fit."""
+
+    def plain(n):
+        for k in range(-(-n // 8)):
+            tall = min(220.0, max(86.0, 22 + 14.0 * (min(8, n - 8 * k) + 1)))
+            if height - 18 - k * (tall + 8) - tall < 12:
+                return k
+        return -(-n // 8)
+
+    got = spark.range(90).select("id", R.nugget_notes(F.col("id"), 8, height).alias("n")).collect()
+    assert [x["n"] for x in got] == [plain(x["id"]) for x in got]
