@@ -29,9 +29,9 @@ class Reconciled:
 def map_rooms(items: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Room links of every run. judge may turn ambiguous pairs into links (run_id, room_a, room_b, confidence,
     rationale); links to pairs that it was not asked about are left out. By default it finds none."""
-    profiles = rooms_.profiles(items)
+    profiles = stored(rooms_.profiles(items), "room-profiles")
     ranked = stored(rooms_.ranked(rooms_.score_pairs(profiles)), "room-pairs")
-    groups = [rooms_.exact_links(items.select("run_id", "doc", "room").distinct()), rooms_.deterministic_links(ranked)]
+    groups = [rooms_.exact_links(profiles), rooms_.deterministic_links(ranked)]
     if judge is not None:
         asked = rooms_.ambiguous_pairs(ranked)
         groups.append(judge(asked).join(asked.select("run_id", "room_a", "room_b"), ["run_id", "room_a", "room_b"], "left_semi"))

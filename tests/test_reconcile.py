@@ -571,3 +571,29 @@ def test_notes_of_so_many_nuggets(spark, height):
 
     got = spark.range(90).select("id", R.nugget_notes(F.col("id"), 8, height).alias("n")).collect()
     assert [x["n"] for x in got] == [plain(x["id"]) for x in got]
+
+
+def test_components_walked_as_in_rounds(spark):
+    """Runs walked as a stream give what labels spread in rounds give; rooms without links are their own."""
+    rng = random.Random(5)
+    rooms = spark.createDataFrame([(f"r{k}", d, f"{n}") for k in range(3) for d in "AB" for n in range(30)], "run_id string, doc string, room string")
+    links = spark.createDataFrame([(f"r{rng.randrange(4)}", f"{rng.randrange(40)}", f"{rng.randrange(30)}", rng.random()) for _ in range(120)], "run_id string, room_a string, room_b string, confidence double")
+    told = [sorted(map(tuple, G.components(rooms, links, 0.3, walk=w).collect())) for w in (0, 45, G.WALK)]
+    assert told[0] == told[1] == told[2] and len(told[0]) >= 180
+
+
+def test_parts_follow_the_pairs(spark, monkeypatch):
+    """The number of parts grows with the pairs of rooms, so that a task's share doesn't."""
+    monkeypatch.setattr(G, "PAIRS_IN_TASK", 10)
+    rooms = spark.createDataFrame([(f"r{k}", d, f"{n} hall", ["wall"]) for k in range(20) for d in "AB" for n in range(5)], "run_id string, doc string, room string, profile array<string>")
+    out = G.score_pairs(rooms, with_ratio=False)
+    assert out.rdd.getNumPartitions() == 50 and out.count() == 500
+
+
+def test_links_that_may_be_accepted(spark):
+    """Pairs under LEAST_FIT change nothing that is accepted."""
+    rng = random.Random(9)
+    rows = [("r", f"a{k % 20}", f"b{k}", n, p, n * 0.78 + p * 0.22) for k in range(800) for n, p in [(rng.random(), rng.random())]] + [("r", "e", f"b{k}", 0.78, 0.15, 0.78 * 0.78 + 0.15 * 0.22) for k in range(5)]
+    pairs = spark.createDataFrame(rows, "run_id string, room_a string, room_b string, name double, profile double, combined double")
+    pick = lambda df: sorted((x["room_a"], x["room_b"]) for x in G.ranked(df).where("accepted").collect())
+    assert pick(pairs) == pick(pairs.where(F.col("combined") >= G.LEAST_FIT)) != []
