@@ -597,3 +597,14 @@ def test_links_that_may_be_accepted(spark):
     pairs = spark.createDataFrame(rows, "run_id string, room_a string, room_b string, name double, profile double, combined double")
     pick = lambda df: sorted((x["room_a"], x["room_b"]) for x in G.ranked(df).where("accepted").collect())
     assert pick(pairs) == pick(pairs.where(F.col("combined") >= G.LEAST_FIT)) != []
+
+
+def test_near_texts_are_measured_once(spark, monkeypatch):
+    """Signs are counted of one row for each pair of different texts, however many rooms have it."""
+    made = {}
+    keep = M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name: made.setdefault(name, keep(df, name)))
+    a = spark.createDataFrame([(f"r{k}", "x", "blue ring", k) for k in range(9)], "run_id string, room_a string, a_norm string, a_id bigint")
+    b = spark.createDataFrame([(f"r{k}", "x", t, 10 * k + n, 1) for k in range(9) for n, t in enumerate(("blue rings", "old plate"))], "run_id string, room_a string, b_norm string, b_id bigint, b_page int")
+    got = sorted((x["a_id"], x["b_id"], x["similarity"]) for x in M.near_hints(a, b).collect())
+    assert got == [(k, 10 * k, 0.947) for k in range(9)] and made["near-texts"].count() == 2
