@@ -608,3 +608,22 @@ def test_near_texts_are_measured_once(spark, monkeypatch):
     b = spark.createDataFrame([(f"r{k}", "x", t, 10 * k + n, 1) for k in range(9) for n, t in enumerate(("blue rings", "old plate"))], "run_id string, room_a string, b_norm string, b_id bigint, b_page int")
     got = sorted((x["a_id"], x["b_id"], x["similarity"]) for x in M.near_hints(a, b).collect())
     assert got == [(k, 10 * k, 0.947) for k in range(9)] and made["near-texts"].count() == 2
+
+
+def test_few_names_are_compared_once(spark, monkeypatch):
+    """Two names are compared in one row for all runs, with the scores of comparing them pair by pair; least leaves out nothing else."""
+    made = {}
+    keep = G.stored
+    monkeypatch.setattr(G, "stored", lambda df, name: made.setdefault(name, keep(df, name)) if name == "room-names" and "name" in df.columns else keep(df, name))
+    names = ["Hall 1", "Hall 2", "Hall closet", "Old hall", "Kitchen", "1 2", "", None]
+    rows = [(f"r{k}", d, n, [f"w{j}" for j in range(j0 % 5)]) for k in range(6) for d in "AB" for j0, n in enumerate(names, k)]
+    rooms = spark.createDataFrame(rows, "run_id string, doc string, room string, profile array<string>")
+    told = lambda **how: sorted((tuple(x) for x in G.score_pairs(rooms, **how).collect()), key=str)
+    for ratio in (False, True):
+        made.clear()
+        few, some = told(with_ratio=ratio), told(with_ratio=ratio, least=0.45)
+        assert made["room-names"].count() == len(names) ** 2 and len(few) == 6 * len(names) ** 2
+        assert some == [x for x in few if x[5] >= 0.45] and 0 < len(some) < len(few)
+        with monkeypatch.context() as m:
+            m.setattr(G, "NAME_PAIRS", 0)
+            assert told(with_ratio=ratio) == few and told(with_ratio=ratio, least=0.45) == some
