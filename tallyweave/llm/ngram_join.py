@@ -38,6 +38,7 @@ STAR_ROUNDS = 2
 BLOCK = 2000
 SETS_BYTES = 4 << 20  # of sets in one batch
 ROLES = 500  # or so, in one row
+HEAD = 16  # a set's rarest elements that go with it into blocks
 BINS = 256  # of a histogram of hashes, a byte each; FULL stands for FULL or more
 FULL = 255
 
@@ -265,14 +266,17 @@ def _star(lists: DataFrame, comp: DataFrame | None, round_no: int, num: int, den
 
 def _blocks(lists: DataFrame, comp: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) in one list, of different components, that the histograms allow. Long lists are cut into blocks,
-    and pairs of blocks are dealt out to tasks."""
+    and pairs of blocks are dealt out to tasks.
+
+    The list of the first element that two sets share decides on them: what both have from there on must be enough, and
+    lists of later elements leave the pair out where their heads tell of an earlier one."""
     here = lists.join(comp, F.col("fp") == F.col("node"), "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
     mixed = here.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("len")).where("low <> high")
     here = here.join(mixed.select("token", "len"), "token")
     here = here.withColumn("blocks", F.ceil(F.col("len") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     here = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    here = here.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "fp", "n", "c", "heavy")
-    here = here.join(classes.select(F.col("fp").alias("f2"), F.col("n").alias("n2"), "hist"), (F.col("fp") == F.col("f2")) & (F.col("n") == F.col("n2"))).drop("f2", "n2")
+    here = here.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "fp", "n", "c", "heavy", "pos")
+    here = here.join(classes.select(F.col("fp").alias("f2"), F.col("n").alias("n2"), "hist", "head"), (F.col("fp") == F.col("f2")) & (F.col("n") == F.col("n2"))).drop("f2", "n2")
     parts = shuffle_partitions(lists.sparkSession)
     dealt = here.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
 
@@ -286,9 +290,12 @@ def _blocks(lists: DataFrame, comp: DataFrame, classes: DataFrame, num: int, den
             ok &= np.minimum(right["n"], p) * den >= np.maximum(right["n"], p) * num
             if lo == hi:
                 ok &= right["fp"] > left["fp"][k]
+            ok &= np.minimum(right["n"] - right["pos"], p - left["pos"][k]) * (den + num) >= num * (right["n"] + p)
             at = np.flatnonzero(ok)
             if len(at):
                 at = at[_may_link(right["hist"][at], left["hist"][k], right["n"][at], p, num, den)]
+                shared = (right["head"][at][:, None, :] == left["head"][k][None, :, None]).any(2)
+                at = at[~shared[:, : left["pos"][k]].any(1)]
                 if len(at):
                     out.append((np.full(len(at), left["fp"][k]), right["fp"][at]))
         return out
@@ -298,8 +305,12 @@ def _blocks(lists: DataFrame, comp: DataFrame, classes: DataFrame, num: int, den
 
         def flush():
             table = pa.Table.from_batches(held)
-            rows = {k: table.column(k).to_numpy() for k in ("mine", "fp", "n", "c", "heavy")}
+            rows = {k: table.column(k).to_numpy() for k in ("mine", "fp", "n", "c", "heavy", "pos")}
             rows["hist"] = np.stack([np.frombuffer(h, "u1") for h in table.column("hist").to_pylist()])
+            heads = table.column("head").combine_chunks()
+            sizes = heads.value_lengths().to_numpy()
+            # shorter ones end in repeats of their last element
+            rows["head"] = heads.flatten().to_numpy()[(np.cumsum(sizes) - sizes)[:, None] + np.minimum(np.arange(HEAD), sizes[:, None] - 1)]
             found = pairs_of(rows, key[1], key[2])
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
@@ -442,7 +453,7 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     edges = saved(edges.select(F.col("m.fp").alias("a"), F.col("fp").alias("b")).distinct(), "ngram-links")
 
     # heavy with all: inverted lists
-    lists = classes.select(F.explode("prefix").alias("token"), "fp", "n", (F.col("n") > light).alias("heavy"))
+    lists = classes.select(F.posexplode("prefix").alias("pos", "token"), "fp", "n", (F.col("n") > light).alias("heavy"))
     shared = lists.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
     lists = saved(lists.join(shared.select("token"), "token"), "ngram-lists")
     slim = classes.select("fp", "n", "hist", "id")
@@ -453,7 +464,8 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
             break
         comp = _joined(comp, saved(_verified(pairs, docs, slim, n, num, den), "ngram-links"))
     comp = edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if comp is None else comp  # none at all
-    pairs = saved(_blocks(lists, comp, slim, num, den), "ngram-pairs")
+    heads = classes.select("fp", "n", "hist", F.slice("prefix", 1, HEAD).alias("head"))
+    pairs = saved(_blocks(lists, comp, heads, num, den), "ngram-pairs")
     if not pairs.isEmpty():
         comp = _joined(comp, saved(_verified(pairs, docs, slim, n, num, den), "ngram-links"))
 

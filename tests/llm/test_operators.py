@@ -564,3 +564,17 @@ def test_ngram_join_of_texts_beyond_the_histogram(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))]
     got = {x["doc_id"]: x["component_id"] for x in ngram_join.similar_components(spark.createDataFrame(rows, DOCS), n=3, threshold=(9, 10)).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_ngram_join_meets_two_sets_once(spark, monkeypatch):
+    """Texts that share hundreds of elements, not enough to link, aren't compared in the list of each of these."""
+    kind, made = type(spark.range(1)), []
+    keep = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *how, **more: (made.append((self.columns, keep(self, *how, **more))), made[-1][1])[1])
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(1000)]
+    rows = [(k, " ".join([*base[:875], *(f"x{k}y{j}" for j in range(125))])) for k in range(12)]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.similar_components(spark.createDataFrame(rows, DOCS), n=3, threshold=(4, 5)).collect()}
+    assert got == {k: k for k in range(12)}
+    met = [out for columns, out in made if columns[:3] == ["token", "lo", "hi"]]
+    assert met[0].distinct().count() == 12 * 11 // 2 <= met[0].count() <= 12 * 11
