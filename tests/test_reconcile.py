@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.functions import numeric as N
 from tallyweave.operators import classify as C
 from tallyweave.operators import extract as E
 from tallyweave.operators import matching as M
@@ -627,3 +629,28 @@ def test_few_names_are_compared_once(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(G, "NAME_PAIRS", 0)
             assert told(with_ratio=ratio) == few and told(with_ratio=ratio, least=0.45) == some
+
+
+def test_profiles_in_bits(spark, monkeypatch):
+    """Words as bits give the scores that sets of words give, with more words than a number has bits, with nulls and without any word; with
+    too many words or texts sets are kept."""
+    rng = random.Random(3)
+    say = lambda: rng.choice([None, "", "a 1", " ".join(f"word{rng.randrange(150)}" for _ in range(rng.randrange(9)))])
+    rows = [(f"r{k % 3}", "AB"[k % 2], rng.choice(["Hall 1", "Old hall", "Bath", None]), say()) for k in range(400)] + [("r0", d, "Bare", t) for d, t in (("A", None), ("B", "a 1"))]
+    items = spark.createDataFrame(rows, "run_id string, doc string, room string, description string")
+    told = lambda p: sorted(map(tuple, G.score_pairs(p, with_ratio=False).collect()), key=str)
+    coded, want = G.coded_profiles(items), told(G.profiles(items))
+    assert "bits_2" in coded.columns and "profile" not in coded.columns and told(coded) == want and len(want) > 40
+    assert any(0 < x[4] < 1 for x in want) and any(x[1:3] == ("Bare", "Bare") and x[4] == 0 for x in want)
+    for bound in ("PROFILE_WORDS", "PROFILE_TEXTS"):
+        with monkeypatch.context() as m:
+            m.setattr(G, bound, 5)
+            assert "profile" in (sets := G.coded_profiles(items)).columns and told(sets) == want
+    assert told(G.coded_profiles(items.withColumn("description", F.lit(None).cast("string")))) == [(*x[:4], 0.0, x[3] * 0.78) for x in want]
+
+
+def test_nine_places(spark):
+    """Rounded as DuckDB does it, ties too."""
+    values = [0.0, 1.0, 1 / 3, 1 / 1024, 5 / 1024, 0.92 * 0.78 + 0.22 / 7, 5e-10, 0.1234567885] + [k / 7 * 0.78 + j / 11 * 0.22 for k in range(8) for j in range(12)]
+    got = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(N.nine_places(F.col("v"))).collect()]
+    assert got == [duckdb.execute("select round(?::double, 9)", [v]).fetchall()[0][0] for v in values]
