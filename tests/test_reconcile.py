@@ -654,3 +654,15 @@ def test_nine_places(spark):
     values = [0.0, 1.0, 1 / 3, 1 / 1024, 5 / 1024, 0.92 * 0.78 + 0.22 / 7, 5e-10, 0.1234567885] + [k / 7 * 0.78 + j / 11 * 0.22 for k in range(8) for j in range(12)]
     got = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(N.nine_places(F.col("v"))).collect()]
     assert got == [duckdb.execute("select round(?::double, 9)", [v]).fetchall()[0][0] for v in values]
+
+
+def test_dealt_links_are_capped_in_place(spark):
+    """Links that come by run are walked where they are, without another shuffle and without being written, as others are."""
+    names = [f"{n} {k} hall" for n in ("old", "new", "red") for k in (1, 2)] + [f"{n} hall" for n in ("a", "b", "c", "d")]
+    rooms = spark.createDataFrame([(f"r{k}", d, n, [f"w{j}" for j in range(i % 4)]) for k in range(4) for d in "AB" for i, n in enumerate(names, k)], "run_id string, doc string, room string, profile array<string>")
+    links = G.score_pairs(rooms, with_ratio=False, least=0.42).select("run_id", "room_a", "room_b", F.col("combined").alias("confidence"))
+    capped = G.cap_links(links, dealt=True)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(capped) == shuffles(links)
+    got = sorted(map(tuple, capped.collect()))
+    assert got == sorted(map(tuple, G.cap_links(links).collect())) and 0 < len(got) < links.count()
