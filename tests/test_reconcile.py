@@ -666,3 +666,13 @@ def test_dealt_links_are_capped_in_place(spark):
     assert shuffles(capped) == shuffles(links)
     got = sorted(map(tuple, capped.collect()))
     assert got == sorted(map(tuple, G.cap_links(links).collect())) and 0 < len(got) < links.count()
+
+
+def test_links_are_merged_as_rows(spark):
+    """No list is made of a link before the shuffle; reasons are folded as before."""
+    link = "run_id string, room_a string, room_b string, confidence double, rationale string"
+    first = spark.createDataFrame([("r", "a", "b", 0.5, "x"), ("r", "a", "b", 0.7, "y"), ("r", "a", "c", 0.3, "z"), ("r", None, "d", 0.9, None)], link)
+    second = spark.createDataFrame([("r", "a", "b", 0.9, "w"), ("r", "a", "b", 0.6, "y"), ("r", None, "d", 0.8, "v")], link)
+    merged = G.merge_links(first, second)
+    assert "ObjectHashAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, merged.collect()), key=str) == [("r", "a", "b", 0.9, "w; y; x"), ("r", None, "d", 0.9, "")]
