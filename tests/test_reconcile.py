@@ -676,3 +676,17 @@ def test_links_are_merged_as_rows(spark):
     merged = G.merge_links(first, second)
     assert "ObjectHashAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, merged.collect()), key=str) == [("r", "a", "b", 0.9, "w; y; x"), ("r", None, "d", 0.9, "")]
+
+
+def test_strong_links_are_sorted_once(spark):
+    """The best link and the ranks come of one sort, so that a task holds its links once."""
+    rng = random.Random(4)
+    rows = [("r", f"a{k % 30}", f"b{k}", rng.choice([0.3, 0.44, 0.46, 0.5, 0.55, 0.59] + [0.7] * (k % 30 > 20))) for k in range(240)]
+    kept = G.strong_links(spark.createDataFrame(rows, "run_id string, room_a string, room_b string, confidence double"))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    want = []
+    for a in {x[1] for x in rows}:
+        of_a = sorted((x for x in rows if x[1] == a), key=lambda x: (-x[3], x[2]))
+        top = of_a[0][3]
+        want += [x for k, x in enumerate(of_a) if x[3] >= 0.6 or (0.45 <= top < 0.6 and x[3] >= max(0.45, top - 0.12) and k < 3)]
+    assert sorted(map(tuple, kept.collect())) == sorted(want) and 0 < len(want) < len(rows)
