@@ -690,3 +690,12 @@ def test_strong_links_are_sorted_once(spark):
         top = of_a[0][3]
         want += [x for k, x in enumerate(of_a) if x[3] >= 0.6 or (0.45 <= top < 0.6 and x[3] >= max(0.45, top - 0.12) and k < 3)]
     assert sorted(map(tuple, kept.collect())) == sorted(want) and 0 < len(want) < len(rows)
+
+
+def test_ratio_with_profiles_in_bits(spark):
+    """The sequence ratio of names and profiles in bits go together as with sets of words."""
+    rows = [(f"r{k % 2}", "AB"[k // 2 % 2], n, f"oak board{k % 5} {n}") for k in range(40) for n in ("Bed room", "Bedroom", "Kitchn 2", "Kitchen 2")]
+    items = spark.createDataFrame(rows, "run_id string, doc string, room string, description string")
+    told = lambda p: sorted(map(tuple, G.score_pairs(p).collect()))
+    assert "bits_0" in (coded := G.coded_profiles(items)).columns
+    assert told(coded) == told(G.profiles(items)) and any(0.5 < x[3] < 0.92 for x in told(coded))
