@@ -38,29 +38,50 @@ def by_room(reviewer: Reviewer, a: DataFrame, b: DataFrame, size: int = 500) ->
 
     def ask(unsure: DataFrame) -> DataFrame:
         first = unsure.select(*KEY, "a_id", F.col("b_id").alias("first_b"), F.col("scope_same").alias("first_scope"), F.col("confidence").alias("first_confidence"))
-        own, other = a.join(first, [*KEY, "a_id"]).drop("a_norm"), b.drop("b_norm")
+        own, other = a.join(first, [*KEY, "a_id"]), b
         parts = stored(_parts(own, size, "parts_a").join(_parts(other, size, "parts_b"), KEY), "review-parts")
         part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        own = own.join(parts, KEY).withColumn("part_a", part("a_id", "parts_a")).withColumn("part_b", every("parts_b"))
-        other = other.join(parts, KEY).withColumn("part_b", part("b_id", "parts_b")).withColumn("part_a", every("parts_a"))
-        other = other.select(*(F.col(c).alias(c) for c in other.columns))  # names of its own: both sides come of the same items
         call = [*KEY, "part_a", "part_b"]
+        shown = lambda s: [F.col(f"{s}_{c}").alias(c) for c in ("page", "id", *FIELDS)]
+        said = ["first_b", "first_scope", "first_confidence"]
+        own = own.join(parts, KEY).withColumn("part_a", part("a_id", "parts_a")).withColumn("part_b", every("parts_b")).select(*call, F.lit(0).alias("side"), *shown("a"), *said)
+        none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in said]
+        other = other.join(parts, KEY).withColumn("part_b", part("b_id", "parts_b")).withColumn("part_a", every("parts_a")).select(*call, F.lit(1).alias("side"), *shown("b"), *none)
         n = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.sparkSession.sparkContext.defaultParallelism)
-        own, other = own.repartition(n, *call), other.repartition(n, *call)  # a number of its own: calls are slow, and small sizes aren't put together
-        return own.groupBy(*call).cogroup(other.groupBy(*call)).applyInArrow(one, ANSWERS)
-
-    def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        run, room = key[0].as_py(), key[1].as_py()
-        items = lambda rows, s: [{"id": r[f"{s}_id"], **{f: r[f"{s}_{f}"] for f in FIELDS}} for r in sorted(rows, key=lambda r: (r[f"{s}_page"] is not None, r[f"{s}_page"] or 0, r[f"{s}_id"]))]
-        rows = left.to_pylist()
-        asked, ids = items(rows, "a"), {r["a_id"] for r in rows}
-        said = {r["a_id"]: {"item_b_id": r["first_b"], "scope_same": bool(r["first_scope"]), "confidence": r["first_confidence"]} for r in rows}
+        # a number of its own: calls are slow, and small sizes aren't put together
+        dealt = own.unionByName(other).repartition(n, *call).sortWithinPartitions(*call, "side", "page", "id")
+        return dealt.mapInArrow(walk, ANSWERS)
+
+    def walk(batches):
+        """Sorted items as they come, a call's together, its items of A first; only one call's items are held, and answers go out by batch."""
+        at, held, ids, said = None, ([], []), set(), {}
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in (*KEY, "part_a", "part_b", "side", "id", *FIELDS, "first_b", "first_scope", "first_confidence")]
+            for run, room, i, j, side, id_, *more in zip(*columns):
+                if (run, room, i, j) != at:
+                    out += one(at, held, ids, said)
+                    at, held, ids, said = (run, room, i, j), ([], []), set(), {}
+                held[side].append({"id": id_, **dict(zip(FIELDS, more))})
+                if side == 0:
+                    ids.add(id_)
+                    said[id_] = {"item_b_id": more[-3], "scope_same": bool(more[-2]), "confidence": more[-1]}
+            yield from told(out)
+        yield from told(one(at, held, ids, said))
+
+    def one(at, held, ids, said) -> list[tuple]:
+        if not ids:  # nobody to be asked about
+            return []
+        run, room = at[:2]
         try:
-            answers = reviewer({"run_id": run, "room_a": room, "items_a": asked, "items_b": items(right.to_pylist(), "b"), "first": said})
-            out = [(run, room, x["item_a_id"], x.get("item_b_id"), bool(x.get("scope_same")), float(x.get("confidence") or 0.0), x.get("rationale") or "", bool(x.get("critical_blue")), k, False, None) for k, x in enumerate(answers) if x.get("item_a_id") in ids]
+            answers = reviewer({"run_id": run, "room_a": room, "items_a": held[0], "items_b": held[1], "first": said})
+            return [(run, room, x["item_a_id"], x.get("item_b_id"), bool(x.get("scope_same")), float(x.get("confidence") or 0.0), x.get("rationale") or "", bool(x.get("critical_blue")), k, False, None) for k, x in enumerate(answers) if x.get("item_a_id") in ids]
         except Exception as e:  # noqa: BLE001  the room falls back; a lost executor isn't an exception here
-            out = [(run, room, i, None, False, 0.0, "", False, 0, True, f"{type(e).__name__}: {e}") for i in sorted(ids)]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(TYPES), TYPES)], schema=TYPES)
+            return [(run, room, i, None, False, 0.0, "", False, 0, True, f"{type(e).__name__}: {e}") for i in sorted(ids)]
+
+    def told(rows: list[tuple]):
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), TYPES)], schema=TYPES)
 
     return ask

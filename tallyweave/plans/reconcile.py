@@ -42,7 +42,7 @@ def first_pass(items: DataFrame, blocks: DataFrame | None = None, near: bool = T
     """Offline proposals for every item of A, exact wording enforced; the scored pairs of exact names; and the proposals
     before that. near: whether names that are only alike are proposed too."""
     a, b = M.sides(items, blocks)
-    edges = stored(M.exact_edges(M.exact_hints(a, b), a, b), "exact-edges")
+    edges = stored(M.exact_edges(M.exact_hints(a, b, fields=True), a, b), "exact-edges")
     alike = M.near_hints(a, b) if near else items.sparkSession.createDataFrame([], "run_id string, room_a string, a_id bigint, b_id bigint, similarity double, rank int")
     proposals = stored(M.offline_proposals(a, edges, alike), "offline")
     return M.enforce_exact(proposals, edges), edges, proposals

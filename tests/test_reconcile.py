@@ -1,12 +1,14 @@
 """Relational operators: plain versions, invariants, edges."""
 
 import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import numeric as N
+from tallyweave.functions import text as X
 from tallyweave.operators import classify as C
 from tallyweave.operators import extract as E
 from tallyweave.operators import matching as M
@@ -699,3 +701,50 @@ def test_ratio_with_profiles_in_bits(spark):
     told = lambda p: sorted(map(tuple, G.score_pairs(p).collect()))
     assert "bits_0" in (coded := G.coded_profiles(items)).columns
     assert told(coded) == told(G.profiles(items)) and any(0.5 < x[3] < 0.92 for x in told(coded))
+
+
+def test_exact_names_meet_once(spark):
+    """Equal texts and equal sets of words come of one join and one sort, with the numbers of both items, as from a plain walk."""
+    rng = random.Random(5)
+    texts = ["1. red oak door", "2) door red oak", "the door", "door", "door door", "and", None, "oak", "red, oak door"]
+    rows = [(f"r{k % 2}", rng.choice("AB"), k, rng.randrange(4), f"room {rng.randrange(9)}", rng.choice(texts), 1.0, "EA", None, float(k % 3)) for k in range(160)]
+    a, b = M.sides(spark.createDataFrame(rows, S.ITEMS))
+    hints = M.exact_hints(a, b, 3, fields=True)
+    plan = hints._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Window [") == 2 and plan.count("Sort [") <= 3
+    words = lambda s: [w for w in re.findall(r"[a-z0-9']+", re.sub(r"^\s*\d+\s*[.)]\s*", "", (s or "").lower())) if w not in X.STOPWORDS]
+    want = set()
+    for x in (r for r in rows if r[1] == "A"):
+        near = sorted((r for r in rows if r[1] == "B" and (r[0], r[4]) == (x[0], x[4])), key=lambda r: (r[3], r[2]))
+        same = [r for r in near if words(r[5]) == words(x[5]) != []]
+        alike = [r for r in near if set(words(r[5])) == set(words(x[5])) and len(set(words(x[5]))) > 1]
+        want |= {(x[2], r[2], n + 1, "text" if same else "tokens") for n, r in enumerate((same or alike)[:3])}
+    assert {(h["a_id"], h["b_id"], h["rank"], h["kind"]) for h in hints.collect()} == want and {w[3] for w in want} == {"text", "tokens"}
+    told = lambda e: sorted(map(tuple, e.collect()))
+    assert told(M.exact_edges(hints, a, b)) == told(M.exact_edges(M.exact_hints(a, b, 3), a, b)) != []
+
+
+def test_rooms_are_asked_as_a_stream(spark):
+    """Calls are walked in sorted batches, many to a batch, not grouped one by one; each has its room's items by page and id, A's and B's."""
+    from tallyweave.operators.review import by_room
+
+    rng = random.Random(6)
+    rows = [(f"r{k % 3}", "AB"[k % 5 > 1], k, rng.choice([None, 1, 2]), f"room {k % 7}", f"thing {k}", 1.0, "EA", None, 2.0) for k in range(400)]
+    rows += [("r9", "A", 900, 1, "bare", "thing", 1.0, "EA", None, 2.0), ("r9", "B", 901, 1, "empty", "thing", 1.0, "EA", None, 2.0)]
+
+    def reviewer(ask):
+        seen = ",".join(str(x["id"]) for x in ask["items_a"]) + "|" + ",".join(str(x["id"]) for x in ask["items_b"])
+        return [{"item_a_id": x["id"], "item_b_id": 5, "rationale": f"{seen}|{ask['first'][x['id']]['item_b_id']}|{x['description']}", "scope_same": True, "confidence": 1} for x in ask["items_a"]]
+
+    a, b = M.sides(spark.createDataFrame(rows, S.ITEMS))
+    unsure = a.where("a_id % 2 = 0").select("run_id", "room_a", "a_id", (F.col("a_id") + 1).alias("b_id"), F.lit(True).alias("scope_same"), F.lit(0.1).alias("confidence"))
+    answers = by_room(reviewer, a, b)(unsure)
+    plan = answers._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "MapInArrow" in plan
+    want = {}
+    for run, room in {(r[0], r[4]) for r in rows}:
+        here = sorted((r for r in rows if (r[0], r[4]) == (run, room)), key=lambda r: (r[3] is not None, r[3] or 0, r[2]))
+        left, right = [r for r in here if r[1] == "A" and r[2] % 2 == 0], [r for r in here if r[1] == "B"]
+        seen = ",".join(str(r[2]) for r in left) + "|" + ",".join(str(r[2]) for r in right)
+        want |= {r[2]: f"{seen}|{r[2] + 1}|{r[5]}" for r in left if right}
+    assert {x["a_id"]: x["rationale"] for x in answers.collect()} == want and len(want) > 20
