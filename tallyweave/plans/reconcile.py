@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,18 +13,23 @@ from ..operators import classify as C
 from ..operators import matching as M
 from ..operators import report as R
 from ..operators import rooms as rooms_
-from ..sources.tables import stored
+from ..sources.tables import kept, stored, tables_until_done
 
 
 @dataclass
 class Reconciled:
+    items: DataFrame
     links: DataFrame
     components: DataFrame
     pairs: DataFrame
     matches: DataFrame
     counts: DataFrame
     audit: DataFrame
-    report: DataFrame
+
+    @functools.cached_property
+    def report(self) -> DataFrame:
+        """Report rows in order, commented; its places are worked out, and stored, when it is first asked for."""
+        return R.once_each(R.in_order(R.report_rows(self.matches, self.items))).withColumn("comment", R.comment())
 
 
 def map_rooms(items: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -43,8 +49,9 @@ def first_pass(items: DataFrame, blocks: DataFrame | None = None, near: bool = T
     before that. near: whether names that are only alike are proposed too."""
     a, b = M.sides(items, blocks)
     edges = stored(M.exact_edges(M.exact_hints(a, b, fields=True), a, b), "exact-edges")
-    alike = M.near_hints(a, b) if near else items.sparkSession.createDataFrame([], "run_id string, room_a string, a_id bigint, b_id bigint, similarity double, rank int")
-    proposals = stored(M.offline_proposals(a, edges, alike), "offline")
+    with tables_until_done(items.sparkSession):
+        alike = M.near_hints(a, b) if near else items.sparkSession.createDataFrame([], "run_id string, room_a string, a_id bigint, b_id bigint, similarity double, rank int")
+        proposals = kept(M.offline_proposals(a, edges, alike), "offline")
     return M.enforce_exact(proposals, edges), edges, proposals
 
 
@@ -72,21 +79,24 @@ def second_pass(first: DataFrame, edges: DataFrame, proposals: DataFrame, second
 def reconcile(items: DataFrame, judge: Callable | None = None, second: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None, least: float = 0.6) -> Reconciled:
     """second may review the uncertain first-pass rows: it takes them, with both sides of their rooms for a reviewer by room, as
     in second=lambda unsure, a, b: by_room(reviewer, a, b)(unsure). Items of B that it makes up are dropped."""
-    links = stored(map_rooms(items, judge), "room-links")
+    spark = items.sparkSession
+    # what leads to a result is deleted as soon as that is written
+    with tables_until_done(spark):
+        links = kept(map_rooms(items, judge), "room-links")
     components = rooms_.components(items.select("run_id", "doc", "room").distinct(), links, max(0.40, least - 0.18))
-    profiles = rooms_.profiles(items, rooms_.X.match_tokens)
-    blocks = stored(rooms_.candidate_rooms(profiles, links, components, least), "room-blocks")
-    proposals, edges, offline = first_pass(items, blocks)
-    if second is not None:
-        first = stored(M.uncertain(proposals), "first-pass")
-        a, b = M.sides(items, blocks)
-        proposals = M.known_only(second_pass(first, edges, offline, lambda unsure: second(unsure, a, b)).drop("uncertain"), b)
-    assigned = stored(M.assign_one_to_one(proposals), "assigned")
+    with tables_until_done(spark):
+        with tables_until_done(spark):
+            profiles = rooms_.profiles(items, rooms_.X.match_tokens)
+            blocks = kept(rooms_.candidate_rooms(profiles, links, components, least), "room-blocks")
+        proposals, edges, offline = first_pass(items, blocks)
+        if second is not None:
+            first = stored(M.uncertain(proposals), "first-pass")
+            a, b = M.sides(items, blocks)
+            proposals = M.known_only(second_pass(first, edges, offline, lambda unsure: second(unsure, a, b)).drop("uncertain"), b)
+        assigned = kept(M.assign_one_to_one(proposals), "assigned")
     pairs = stored(C.classify(C.with_sides(assigned, items)), "pairs")
     nuggets = C.nuggets(items, assigned, links)
     matches = pairs.select("run_id", "room_a", F.col("b_room").alias("room_b"), "a_id", "b_id", "status", "rationale").unionByName(
         nuggets.select("run_id", "room_a", "room_b", F.lit(None).cast("bigint").alias("a_id"), "b_id", "status", F.lit("").alias("rationale"))
     )
-    matches = stored(matches, "matches")
-    report = R.once_each(R.in_order(R.report_rows(matches, items))).withColumn("comment", R.comment())
-    return Reconciled(links, components, pairs, matches, C.status_counts(matches), C.coverage_audit(items, pairs), report)
+    return Reconciled(items, links, components, pairs, matches, C.status_counts(matches), C.coverage_audit(items, pairs))
